@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("murmuration")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
