@@ -10,17 +10,25 @@ HOT_SHARE = 1000  # a key is hot when it owns more than 1/HOT_SHARE of the rows
 
 
 def skew_join(
-    big: DataFrame, small: DataFrame, key: str, weight: str, spread: str | list[str], how: str = "inner"
+    big: DataFrame,
+    small: DataFrame,
+    key: str,
+    weight: str,
+    spread: str | list[str],
+    how: str = "inner",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Join a large table to a table with one row per key, where ``weight`` is the key's row count.
+    """Join a large table to a table with few rows per key. ``weight`` is the number of rows of the large
+    table a key holds; it is a column of ``small`` or, when given, of ``sizes`` (one row per key).
 
     Keys holding more than 1/1000 of all rows can number fewer than 1000, so their list is broadcast
     whatever the data size. Each hot key is cut into pieces of at most 1/1000 of the rows by the hash
     of ``spread``; the small side repeats its row once per piece. No reducer gets more than that share.
     """
     spread = [spread] if isinstance(spread, str) else spread
-    total = small.agg(F.sum(weight).alias("_total"))
-    hot = small.where(F.col(weight) * HOT_SHARE > total.scalar()).select(
+    sizes = small if sizes is None else sizes
+    total = sizes.agg(F.sum(weight).alias("_total"))
+    hot = sizes.where(F.col(weight) * HOT_SHARE > total.scalar()).select(
         key, F.ceil(F.col(weight) * HOT_SHARE / total.scalar()).cast("int").alias("_pieces")
     )
     left = (

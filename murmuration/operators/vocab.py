@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,37 +92,57 @@ def extend_vocab(vocabulary: DataFrame, extra: list[str]) -> DataFrame:
     return vocabulary.select("term_id", "term").unionByName(new.select("term_id", "term"))
 
 
-def doc2bow(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(doc_id, term_id, cnt)`` for terms of a bounded vocabulary; unknown terms are dropped."""
-    return counts.join(F.broadcast(vocabulary.select("term", "term_id")), "term").select(
-        "doc_id", "term_id", "cnt"
+def pin(vocabulary: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Compute a bounded vocabulary once: the table as a local relation, and its words in id order."""
+    spark = vocabulary.sparkSession
+    rows = sorted(vocabulary.limit(MAX_VOCABULARY + 1).collect(), key=lambda r: r["term_id"])
+    if len(rows) > MAX_VOCABULARY or [r["term_id"] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"expected dense ids and at most {MAX_VOCABULARY} terms")
+    return spark.createDataFrame(rows, vocabulary.schema), [r["term"] for r in rows]
+
+
+def feature_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
+    """Documents with a sparse ``features`` vector of counts, position = term id. Counting happens
+    inside each row, so nothing is shuffled; the bounded word list travels to the executors."""
+    model = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
+    return model.transform(docs)
+
+
+def doc_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens", keep: list[str] = ()) -> DataFrame:
+    """``(doc_id, ..., ids, cnts)``: one sparse row per document with ascending ids, empty arrays for
+    documents without any known word."""
+    vector = F.unwrap_udt("features")
+    return feature_vectors(docs, words, tokens).select(
+        "doc_id", *keep, vector["indices"].alias("ids"), vector["values"].alias("cnts")
     )
 
 
-def doc_vectors(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(doc_id, ids, cnts)``: one sparse row per document, empty arrays for documents without any
-    known term. ``ids`` ascend. A row is bounded by the vocabulary size."""
-    words = docs.select("doc_id", F.explode_outer(tokens).alias("term"))
-    known = words.join(F.broadcast(vocabulary.select("term", "term_id")), "term", "left")
-    counts = known.groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("cnt"))
-    pair = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "cnt"))
-    rows = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return rows.select(
-        "doc_id",
-        F.col("pairs.term_id").cast("array<int>").alias("ids"),
-        F.col("pairs.cnt").cast("array<double>").alias("cnts"),
+def doc2bow(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
+    """``(doc_id, term_id, cnt)`` for known words; unknown ones are dropped."""
+    pairs = F.arrays_zip("ids", "cnts")
+    return doc_vectors(docs, words, tokens).select("doc_id", F.explode(pairs).alias("p")).select(
+        "doc_id", F.col("p.ids").cast("long").alias("term_id"), F.col("p.cnts").cast("long").alias("cnt")
     )
 
 
-def doc_term_matrix(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Long counts for a given vocabulary; a document without known terms keeps one row of nulls."""
-    vectors = doc_vectors(docs, vocabulary, tokens)
-    pairs = F.arrays_zip(F.col("ids").alias("ids"), F.col("cnts").alias("cnts"))
-    return vectors.select("doc_id", F.explode_outer(pairs).alias("p")).select(
+def doc_term_matrix(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
+    """Long counts for a given vocabulary; a document without known words keeps one row of nulls."""
+    pairs = F.arrays_zip("ids", "cnts")
+    return doc_vectors(docs, words, tokens).select("doc_id", F.explode_outer(pairs).alias("p")).select(
         "doc_id", F.col("p.ids").cast("long").alias("term_id"), F.col("p.cnts").cast("long").alias("cnt")
     )
 
 
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, words: list[str], n_docs: int, tokens: str = "tokens") -> DataFrame:
+    """Documents with a unit ``tfidf`` vector over a pinned vocabulary, computed row by row in the JVM."""
+    df_of = {r["term_id"]: r["df"] for r in vocabulary.select("term_id", "df").collect()}
+    idf = Vectors.dense([math.log((1 + n_docs) / (1 + df_of[i])) + 1 for i in range(len(words))])
+    weighted = ElementwiseProduct(scalingVec=idf, inputCol="features", outputCol="weighted").transform(
+        feature_vectors(docs, words, tokens)
+    )
+    return Normalizer(p=2.0, inputCol="weighted", outputCol="tfidf").transform(weighted).drop("features", "weighted")
+
+
 def l2_normalize(weights: DataFrame, value: str, by: str = "doc_id") -> DataFrame:
     """Each document's row scaled to length one. A document's terms are a bounded group."""
     norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(by)))

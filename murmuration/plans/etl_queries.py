@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.functions import text as T
 from murmuration.operators import timechunks
-from murmuration.operators.vocab import build_vocab, doc_vectors
-from murmuration.plans import sql
+from murmuration.operators.vocab import build_vocab, doc_vectors, pin
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
 from murmuration.session import scratch_path
@@ -259,8 +255,8 @@ def stage_metrics(spark, sf_dir):
         n = docs.select(F.size("tokens").alias("n")).agg(F.sum("n")).first()[0]
         metrics.add("tokenise", "tokens", n)
     with metrics.stage("vocabulary"):
-        words = build_vocab(preprocessed(spark, sf_dir), 5, 0.5, 1000)
-        metrics.add("vocabulary", "terms", words.count())
+        words = pin(build_vocab(preprocessed(spark, sf_dir), 5, 0.5, 1000))[1]
+        metrics.add("vocabulary", "terms", len(words))
     with metrics.stage("vectors"):
         vectors = metrics.observe(doc_vectors(preprocessed(spark, sf_dir), words), "vectors")
         metrics.add("vectors", "nnz", vectors.agg(F.sum(F.size("ids"))).first()[0])

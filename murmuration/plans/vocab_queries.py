@@ -40,6 +40,10 @@ def corpus_vocab(docs):
     return vocab.build_vocab(docs, MIN_DF, MAX_DF, MAX_FEATURES)
 
 
+def corpus_words(docs) -> list[str]:
+    return vocab.pin(corpus_vocab(docs))[1]
+
+
 @query(
     "build_vocab",
     f"WITH tok0 AS (SELECT doc_id, {sql.kept_tokens('strip_accents(text)')} AS w FROM documents), "
@@ -82,7 +86,7 @@ def load_vocab(spark, sf_dir):
 )
 def doc2bow(spark, sf_dir):
     docs = preprocessed(spark, sf_dir)
-    return vocab.doc2bow(vocab.term_counts(docs), corpus_vocab(docs))
+    return vocab.doc2bow(docs, corpus_words(docs))
 
 
 MATRIX = (
@@ -94,13 +98,14 @@ MATRIX = (
 @query("dtm_fixed_vocab", f"{BASE}, {VOCAB}, " + MATRIX.format(vocab="vocab"))
 def dtm_fixed_vocab(spark, sf_dir):
     docs = preprocessed(spark, sf_dir)
-    return vocab.doc_term_matrix(docs, corpus_vocab(docs))
+    return vocab.doc_term_matrix(docs, corpus_words(docs))
 
 
 @query("vocab_plus_terms", f"{BASE}, {EXTENDED}, " + MATRIX.format(vocab="vocab2"))
 def vocab_plus_terms(spark, sf_dir):
     docs = preprocessed(spark, sf_dir)
-    return vocab.doc_term_matrix(docs, vocab.extend_vocab(corpus_vocab(docs), EXTRA))
+    extended = vocab.extend_vocab(corpus_vocab(docs), EXTRA)
+    return vocab.doc_term_matrix(docs, vocab.pin(extended)[1])
 
 
 SMOOTH = f"ln((1.0 + {sql.N_DOCS}) / (1.0 + df)) + 1"
@@ -135,8 +140,8 @@ def tfidf_gensim(spark, sf_dir):
 )
 def tfidf_two_step(spark, sf_dir):
     docs = preprocessed(spark, sf_dir)
-    terms = corpus_vocab(docs)
-    bow = vocab.doc2bow(vocab.term_counts(docs), terms)
+    terms, words = vocab.pin(corpus_vocab(docs))
+    bow = vocab.doc2bow(docs, words)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     return vocab.tfidf_from_bow(bow, terms, n_docs).withColumn("tfidf", F.round("tfidf", 6))
 
