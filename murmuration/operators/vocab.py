@@ -117,6 +117,14 @@ def doc_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens", keep:
     )
 
 
+def l1_scale(vectors: DataFrame) -> DataFrame:
+    """Each document's counts scaled to sum to one, so that very long documents do not outweigh the rest."""
+    total = F.aggregate("cnts", F.lit(0.0), lambda s, v: s + v)
+    summed = vectors.withColumn("_total", total)
+    shares = F.when(F.size("cnts") > 0, F.transform("cnts", lambda v: v / F.col("_total"))).otherwise(F.col("cnts"))
+    return summed.withColumn("cnts", shares).drop("_total")
+
+
 def doc2bow(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
     """``(doc_id, term_id, cnt)`` for known words; unknown ones are dropped."""
     pairs = F.arrays_zip("ids", "cnts")

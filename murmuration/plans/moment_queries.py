@@ -30,9 +30,7 @@ def prepared(spark, sf_dir: str, limits: dict, scale: bool = False):
     terms, words = vocab.pin(vocab.build_vocab(docs, **limits))
     vectors = vocab.doc_vectors(docs, words)
     if scale:
-        total = F.aggregate("cnts", F.lit(0.0), lambda s, v: s + v)
-        shares = F.when(F.size("cnts") > 0, F.transform("cnts", lambda v: v / total)).otherwise(F.col("cnts"))
-        vectors = vectors.withColumn("cnts", shares)
+        vectors = vocab.l1_scale(vectors)
     return vectors.persist(), terms, words
 
 
@@ -356,6 +354,15 @@ def tlda_fit_options(spark, sf_dir):
     )
 
 
+@query("stream_weekly_closed")
+def stream_weekly_closed(spark, sf_dir):
+    """The append form: only weeks the watermark has passed are written."""
+    stream = jobs.stream_table(spark, sf_dir, "events").select("ts", F.array("event_type").alias("tokens"))
+    path = scratch_path(spark, "weekly-closed")
+    jobs.run_to_table(jobs.weekly_term_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "tokens"), path)
+    return spark.read.schema("week_start timestamp, term string, cnt long").parquet(f"{path}/data")
+
+
 @query("tlda_partial_fit")
 def tlda_partial_fit(spark, sf_dir):
     """A model fitted on the documents, updated with the conversations as a further batch."""
@@ -365,9 +372,9 @@ def tlda_partial_fit(spark, sf_dir):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
         T.preprocess(F.col("text"), normalize=False).alias("tokens"),
     )
-    vectors = vocab.doc_vectors(turns, words).persist()
+    vectors = vocab.l1_scale(vocab.doc_vectors(turns, words)).persist()
     tensors, counts = tensor_lda.batch_tensors(vectors, model.whitening, vectors.count(), 15000)
-    updated = model.partial_fit(tensors, counts / counts.sum(), n_iter=50)
+    updated = model.partial_fit(tensors, counts, n_iter=200)
     return updated.topic_table(spark, terms)
 
 
@@ -484,8 +491,8 @@ def stream_weekly_term_counts(spark, sf_dir):
     stream = jobs.stream_table(spark, sf_dir, "events").select("ts", F.array("event_type").alias("tokens"))
     path = scratch_path(spark, "weekly")
     counts = jobs.weekly_term_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "tokens")
-    jobs.run_to_table(counts, path)
-    table_ = spark.read.parquet(f"{path}/data")
+    jobs.run_updates(counts, path)
+    table_ = jobs.read_updates(spark, path, ["week_start", "term"], "cnt")
     return table_.select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "term", "cnt")
 
 

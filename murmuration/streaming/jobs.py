@@ -29,6 +29,28 @@ def run_to_table(frame: DataFrame, path: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def run_updates(frame: DataFrame, path: str) -> None:
+    """Drain the stream and keep, per micro-batch, the rows that changed, open weeks included."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+
+    query = (
+        frame.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The latest value of every key."""
+    rows = spark.read.parquet(f"{path}/data")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def run_moments(posts: DataFrame, words: list[str], path: str, tokens: str = "tokens") -> None:
     """Write each micro-batch's moment sums to its own folder. A repeated batch overwrites its folder,
     so every document counts once."""
