@@ -34,9 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), f"murmuration-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), f"murmuration-{spark.sparkContext.applicationId}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
