@@ -19,11 +19,11 @@ def digamma(x):
 
 
 def gammaln(x):
-    """ln Gamma(x) for x > 0: recurrence up to 7, then Stirling's series."""
+    """ln Gamma(x) for x > 0: recurrence up to 12, then Stirling's series."""
     x = np.array(x, dtype=float)
     shift = np.zeros_like(x)
-    for _ in range(7):
-        small = x < 7
+    for _ in range(12):
+        small = x < 12
         shift = np.where(small, shift + np.log(np.where(small, x, 1.0)), shift)
         x = np.where(small, x + 1, x)
     r = 1.0 / (x * x)

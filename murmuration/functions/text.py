@@ -131,5 +131,12 @@ def ngrams_1_2(tokens: Column) -> Column:
 
 def preprocess(text: Column, stop_words=STOP_WORDS, longer_than: int = 3, normalize: bool = True) -> Column:
     """The pipeline's default tokeniser: tokens, stop words out, short ones out, normalised."""
-    tokens = min_length(drop_stop_words(tokenize(text), stop_words), longer_than)
+    words = [str(w) for w in stop_words]
+    shortest = max(TOKEN_MIN, longer_than + 1)
+
+    def wanted(t: Column) -> Column:  # the three filters above as one pass over the tokens
+        fits = F.length(t).between(shortest, TOKEN_MAX) & ~F.startswith(t, F.lit("_"))
+        return fits & ~t.isin(words) if words else fits
+
+    tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0)), wanted)
     return normalize_tokens(tokens) if normalize else tokens

@@ -50,12 +50,11 @@ def merge_equal(points: DataFrame, id_col: str) -> DataFrame:
     return points.groupBy("x", "y").agg(F.min(id_col).alias("p"), F.count(F.lit(1)).alias("w"))
 
 
-def to_members(points: DataFrame, per_position: DataFrame) -> DataFrame:
+def to_members(points: DataFrame, per_position: DataFrame, rows: int) -> DataFrame:
     """Results per distinct position back to every point there."""
     place = F.struct("x", "y")
-    return skew_join(
-        points.withColumn("_place", place), per_position.withColumn("_place", place).drop("x", "y"), "_place", "w", "id"
-    ).drop("_place")
+    places = per_position.withColumn("_place", place).drop("x", "y")
+    return skew_join(points.withColumn("_place", place), places, "_place", "w", "id", rows=rows).drop("_place")
 
 
 def neighbour_cells(cx: Column, cy: Column, reach: int) -> Column:
@@ -84,17 +83,18 @@ def knn_distances(points: DataFrame, id_col: str, k: int = 4) -> DataFrame:
     placed = unique.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).select(
         "p", "x", "y", "w", F.struct("level", cell("x", box[0]).alias("cx"), cell("y", box[2]).alias("cy")).alias("cell")
     )
+    n_placed = box[4] * (levels + 1)
     sizes = placed.groupBy("cell").agg(F.sum("w").alias("held"), F.count(F.lit(1)).alias("rows"))
     full = sizes.where((F.col("held") >= k) | (F.col("cell.level") == 0))
     own = (
-        skew_join(placed.select("p", "x", "y", "cell"), full, "cell", "rows", "p")
+        skew_join(placed.select("p", "x", "y", "cell"), full, "cell", "rows", "p", rows=n_placed)
         .groupBy("p", "x", "y")
         .agg(F.max("cell").alias("cell"))
     )
     around = neighbour_cells(F.col("cell.cx"), F.col("cell.cy"), 2)
     probes = own.select(F.col("p").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), "cell.level", F.explode(around).alias("c"))
     probes = probes.select("q", "qx", "qy", F.struct("level", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")).alias("cell"))
-    met = skew_join(placed, probes, "cell", "rows", "p", sizes=sizes)
+    met = skew_join(placed, probes, "cell", "rows", "p", sizes=sizes, rows=n_placed)
     square = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     nearest = top_per_group(
         met.select("q", "qx", "qy", "p", "w", F.sqrt(square).alias("d")), ["q", "qx", "qy"], [F.col("d"), F.col("p")], k, "r"
@@ -103,7 +103,7 @@ def knn_distances(points: DataFrame, id_col: str, k: int = 4) -> DataFrame:
     repeated = F.flatten(F.transform("l", lambda e: F.array_repeat(e["d"], F.least(e["w"], F.lit(k)).cast("int"))))
     per_position = listed.select(F.col("qx").alias("x"), F.col("qy").alias("y"), F.slice(repeated, 1, k).alias("ds"))
     counted = per_position.join(unique.select("x", "y", "w"), ["x", "y"])
-    return to_members(named, counted).select(F.col("id").alias(id_col), F.posexplode("ds").alias("nn", "distance"))
+    return to_members(named, counted, box[5]).select(F.col("id").alias(id_col), F.posexplode("ds").alias("nn", "distance"))
 
 
 def knn_curve(distances: DataFrame, id_col: str, nn: int = 1) -> DataFrame:
@@ -138,20 +138,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = cut_lineage(links, "links")
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    seen = None
+    seen, size = None, links.count()
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         stars = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = skew_join(both, stars, "u", "degree", "v").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = skew_join(both, stars, "u", "degree", "v", rows=2 * size).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        small = skew_join(large, least, "u", "degree", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = skew_join(large, least, "u", "degree", "v", rows=2 * size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             named = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        seen = state
+        seen, size = state, state[0]
     raise RuntimeError("components did not settle")
 
 
@@ -172,7 +172,7 @@ def _box_distance(far: bool) -> Column:
     return x * x + y * y
 
 
-def touching_cells(dense: DataFrame, sizes: DataFrame, eps: float, side: float) -> DataFrame:
+def touching_cells(dense: DataFrame, sizes: DataFrame, eps: float, side: float, rows: int) -> DataFrame:
     """``(a, b)`` pairs of full cells with two points within ``eps``, found without pairing points.
 
     Cells are compared by the boxes of their points. Boxes wholly within eps settle a pair, boxes
@@ -209,7 +209,7 @@ def touching_cells(dense: DataFrame, sizes: DataFrame, eps: float, side: float)
         if open_pairs.isEmpty():
             return found
         wanted = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct()
-        inside = skew_join(dense, wanted, "node", "rows", ["x", "y"], sizes=sizes)
+        inside = skew_join(dense, wanted, "node", "rows", ["x", "y"], sizes=sizes, rows=rows)
         children = boxes(inside, depth).withColumn(
             "parent", F.struct(F.floor(F.col("sub.sx") / 2).alias("sx"), F.floor(F.col("sub.sy") / 2).alias("sy"))
         )
@@ -237,8 +237,9 @@ def dbscan(points: DataFrame, id_col: str, eps: float = 0.29, min_samples: int =
         ).withColumn("full", F.col("held") >= min_samples),
         "cells",
     )
+    n_unique, n_points = unique.agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
     placed = cut_lineage(
-        skew_join(unique, cells.drop("held"), "cell", "rows", "p").withColumn(
+        skew_join(unique, cells.drop("held"), "cell", "rows", "p", rows=n_unique).withColumn(
             "node", F.when(F.col("full"), F.col("first")).otherwise(F.col("p"))
         ),
         "placed",
@@ -248,7 +249,8 @@ def dbscan(points: DataFrame, id_col: str, eps: float = 0.29, min_samples: int =
         F.explode(neighbour_cells(F.col("cell.cx"), F.col("cell.cy"), 2)).alias("cell"),
     )
     square = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    near = skew_join(placed, thin, "cell", "rows", "p", sizes=cells.select("cell", "rows")).where(square <= eps * eps)
+    cell_rows = cells.select("cell", "rows")
+    near = skew_join(placed.drop("rows"), thin, "cell", "rows", "p", sizes=cell_rows, rows=n_unique).where(square <= eps * eps)
     touched = cut_lineage(near.groupBy("q", "node", "full").agg(F.sum("w").alias("w")), "touched")
     core = touched.groupBy("q").agg(F.sum("w").alias("w")).where(F.col("w") >= min_samples).select("q")
     solid = touched.where("full").unionByName(
@@ -259,7 +261,7 @@ def dbscan(points: DataFrame, id_col: str, eps: float = 0.29, min_samples: int =
     dense = placed.where("full").select("node", "cell", "x", "y")
     links = (
         solid.join(core, "q", "left_semi").select(F.col("q").alias("a"), F.col("node").alias("b"))
-        .unionByName(touching_cells(dense, node_sizes, eps, side))
+        .unionByName(touching_cells(dense, node_sizes, eps, side, n_unique))
     )
     cores = node_sizes.select("node").union(core.select(F.col("q").alias("node")))
     named_cores = cores.join(connected_components(links), "node", "left").select(
@@ -274,6 +276,8 @@ def dbscan(points: DataFrame, id_col: str, eps: float = 0.29, min_samples: int =
     labelled = by_node.join(numbered, "component").select("node", "label")
     rows_of = cells.select(F.when(F.col("full"), F.col("first")).alias("node"), "rows").where("node is not null")
     sizes = labelled.join(rows_of, "node", "left").na.fill(1, ["rows"])
-    per_position = skew_join(placed.select("p", "x", "y", "w", "node"), sizes, "node", "rows", "p", how="left")
-    result = to_members(named, per_position.select("x", "y", "w", F.coalesce("label", F.lit(-1)).alias("label")))
+    members = placed.select("p", "x", "y", "w", "node")
+    per_position = skew_join(members, sizes, "node", "rows", "p", how="left", rows=n_unique)
+    labels = per_position.select("x", "y", "w", F.coalesce("label", F.lit(-1)).alias("label"))
+    result = to_members(named, labels, n_points)
     return result.select(F.col("id").alias(id_col), "label")

@@ -25,6 +25,7 @@ def lda_online(
         docConcentration=[alpha],
         topicConcentration=eta,
         subsamplingRate=subsampling,
+        optimizeDocConcentration=False,
         seed=seed,
     ).fit(features)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.functions.numeric import cube_sum, symmetrize_pair, top_eigen, triples, unpack_symmetric
-from murmuration.operators.skew import global_rank
+from murmuration.operators.skew import by_bounds, global_rank
 
 MAX_GRAM = 6000  # widest vocabulary whose second moment (V x V) is built
 CHUNK = 512  # documents made dense at a time inside a task
@@ -235,8 +235,11 @@ def assign_batches(rows: DataFrame, n: int, batch_size: int, max_batches: int =
     size = max(batch_size, -(-n // max_batches))
     if n <= size:
         return rows.withColumn("batch_id", F.lit(0))
-    ranked = global_rank(rows, "doc_id", "_rank")
-    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
+    # only ids are ranked; the first id of each batch then places the rows without moving them
+    ranked = global_rank(rows.select("doc_id"), "doc_id", "_rank")
+    firsts = [r["doc_id"] for r in ranked.where((F.col("_rank") > 1) & ((F.col("_rank") - 1) % size == 0)).collect()]
+    placed = by_bounds(rows.withColumn("_key", F.col("doc_id").cast("double")), "_key", firsts, "_batch")
+    return placed.withColumn("batch_id", F.col("_batch").cast("int")).drop("_key", "_batch")
 
 
 def third_moment(whitened: DataFrame, k: int, keys: str = "batch_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.operators.vocab import l2_normalize, term_stats, tfidf_smooth
+from murmuration.operators.vocab import l2_normalize, pinned_stats, tfidf_smooth
 
 
 def query_weights(terms: list[str], stats: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def query_weights(terms: list[str], stats: DataFrame, n_docs: DataFrame) -> Data
 def document_search(docs: DataFrame, terms: list[str], top_n: int = 3, weights: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text, similarity)`` of the ``top_n`` closest documents, ties by doc_id. Pass a saved
     TF-IDF table as ``weights`` to search many times."""
-    stats = term_stats(docs)
+    stats = pinned_stats(docs)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    weights = tfidf_smooth(docs, stats=stats) if weights is None else weights
+    if weights is None:  # only documents that share a word with the query need weighing
+        sharing = docs.where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in dict.fromkeys(terms)])))
+        weights = tfidf_smooth(sharing, stats=stats, n_docs=n_docs)
     query = query_weights(terms, stats, n_docs)
     scores = (
         weights.where(F.col("term").isin(list(dict.fromkeys(terms))))

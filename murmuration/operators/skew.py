@@ -6,6 +6,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.session import cut_lineage
+
+PLAIN_ROWS = 1_000_000  # up to here a single task copes, so nothing needs spreading
 HOT_SHARE = 1000  # a key is hot when it owns more than 1/HOT_SHARE of the rows
 
 
@@ -17,6 +20,7 @@ def skew_join(
     spread: str | list[str],
     how: str = "inner",
     sizes: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a large table to a table with few rows per key. ``weight`` is the number of rows of the large
     table a key holds; it is a column of ``small`` or, when given, of ``sizes`` (one row per key).
@@ -24,7 +28,11 @@ def skew_join(
     Keys holding more than 1/1000 of all rows can number fewer than 1000, so their list is broadcast
     whatever the data size. Each hot key is cut into pieces of at most 1/1000 of the rows by the hash
     of ``spread``; the small side repeats its row once per piece. No reducer gets more than that share.
+
+    A caller that knows the large table's ``rows`` gets a plain join while one task could hold them all.
     """
+    if rows is not None and rows <= PLAIN_ROWS:
+        return big.join(small, key, how)
     spread = [spread] if isinstance(spread, str) else spread
     sizes = small if sizes is None else sizes
     total = sizes.agg(F.sum(weight).alias("_total"))
@@ -92,12 +100,20 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly ``floor(n * fraction)`` or ``size`` rows, overall or of every group, without replacement."""
     order = hash_order(id_col, seed)
-    cuts = hash_threshold(df, order, by, fraction, size)
+    cuts = cut_lineage(hash_threshold(df, order, by, fraction, size), "sample-cuts")
     if by is None:
         return df.where(order <= cuts.select("_cut").scalar())
     return skew_join(df, cuts, by, "_rows", id_col).where(order <= F.col("_cut")).drop("_rows", "_cut")
 
 
+def by_bounds(df: DataFrame, key: str, bounds: list[float], piece: str) -> DataFrame:
+    """Number the pieces that literal bounds cut a numeric column into; a binary search per row."""
+    splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
+    if len(splits) == 2:
+        return df.withColumn(piece, F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=key, outputCol=piece).transform(df)
+
+
 def global_rank(df: DataFrame, key: str, rank: str = "rank", rows_per_task: int = 2_000_000) -> DataFrame:
     """``row_number() over (order by key)`` for a unique numeric key, ranked piece by piece.
 
@@ -112,12 +128,7 @@ def global_rank(df: DataFrame, key: str, rank: str = "rank", rows_per_task: int
     pieces = min(4096, -(-n // rows_per_task))
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     cuts = keyed.approxQuantile("_key", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    placed = (
-        Bucketizer(splits=bounds, inputCol="_key", outputCol="_piece").transform(keyed)
-        if len(bounds) > 2
-        else keyed.withColumn("_piece", F.lit(0.0))
-    )
+    placed = by_bounds(keyed, "_key", cuts, "_piece")
     offsets = (
         placed.groupBy("_piece")
         .count()

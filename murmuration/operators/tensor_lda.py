@@ -67,8 +67,9 @@ def descend(phi: np.ndarray, tensors: np.ndarray, params: TopicParams, first_epo
     phi = phi.copy()
     for epoch in range(first_epoch, params.n_iter):
         rate = step_size(params, epoch)
-        for tensor in tensors:
-            phi -= rate * cumulant_gradient(phi, tensor, params.alpha0, params.theta)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for tensor in tensors:
+                phi -= rate * cumulant_gradient(phi, tensor, params.alpha0, params.theta)
         if not np.isfinite(phi).all():
             raise FloatingPointError("the descent left the finite range; use a smaller learning rate")
     return phi

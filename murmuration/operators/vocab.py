@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.operators.skew import skew_join
+from murmuration.session import cut_lineage
 
 # A vocabulary at or below this size may be broadcast; every bounded builder here enforces it.
 MAX_VOCABULARY = 200_000
 
 
+def each_token(docs: DataFrame, *keep: str, tokens: str = "tokens", name: str = "term") -> DataFrame:
+    """One row per token. An inner explode would make the optimiser test the token list for emptiness
+    below it, and so tokenise every text three times; an outer one does not."""
+    return docs.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
+
+
 def term_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(term, cf, df)``: occurrences and documents per term, in one pass.
 
@@ -35,7 +42,7 @@ def term_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """``(doc_id, term, cnt)``; documents without tokens have no row."""
-    words = docs.select(id_col, F.explode(tokens).alias("term"))
+    words = each_token(docs, id_col, tokens=tokens)
     return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -120,9 +127,9 @@ def doc_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens", keep:
 def l1_scale(vectors: DataFrame) -> DataFrame:
     """Each document's counts scaled to sum to one, so that very long documents do not outweigh the rest."""
     total = F.aggregate("cnts", F.lit(0.0), lambda s, v: s + v)
-    summed = vectors.withColumn("_total", total)
-    shares = F.when(F.size("cnts") > 0, F.transform("cnts", lambda v: v / F.col("_total"))).otherwise(F.col("cnts"))
-    return summed.withColumn("cnts", shares).drop("_total")
+    # zipped with a constant array: inside a lambda the total would be added up again for every entry
+    totals = F.array_repeat(total, F.size("cnts"))
+    return vectors.withColumn("cnts", F.zip_with("cnts", totals, lambda v, t: v / t))
 
 
 def doc2bow(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
@@ -157,16 +164,25 @@ def l2_normalize(weights: DataFrame, value: str, by: str = "doc_id") -> DataFram
     return weights.withColumn(value, F.when(norm > 0, F.col(value) / norm).otherwise(F.col(value)))
 
 
+def pinned_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Term totals written once. They are needed for the list of hot terms as well as for the join, and
+    the corpus should not be tokenised again for each."""
+    return cut_lineage(term_stats(docs, tokens), "term-stats")
+
+
 def _weighted(counts: DataFrame, stats: DataFrame, idf) -> DataFrame:
     """Join each count to its term's document frequency; frequent terms are hot keys."""
     joined = skew_join(counts, stats.select("term", "df"), "term", "df", "doc_id")
     return joined.withColumn("tfidf", F.col("cnt") * idf)
 
 
-def tfidf_smooth(docs: DataFrame, tokens: str = "tokens", stats: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, term, tfidf)`` with idf = ln((1+N)/(1+df)) + 1 and unit rows."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = term_stats(docs, tokens) if stats is None else stats
+def tfidf_smooth(
+    docs: DataFrame, tokens: str = "tokens", stats: DataFrame | None = None, n_docs: DataFrame | None = None
+) -> DataFrame:
+    """``(doc_id, term, tfidf)`` with idf = ln((1+N)/(1+df)) + 1 and unit rows. Pass the ``stats`` and
+    document count of the whole corpus to weigh a part of it."""
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")) if n_docs is None else n_docs
+    stats = pinned_stats(docs, tokens) if stats is None else stats
     idf = F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1
     weights = _weighted(term_counts(docs, tokens=tokens), stats, idf)
     return l2_normalize(weights, "tfidf").select("doc_id", "term", "tfidf")
@@ -175,7 +191,7 @@ def tfidf_smooth(docs: DataFrame, tokens: str = "tokens", stats: DataFrame | Non
 def tfidf_log2(docs: DataFrame, tokens: str = "tokens", stats: DataFrame | None = None) -> DataFrame:
     """``(doc_id, term, tfidf)`` with idf = log2(N/df), unit rows, entries near zero dropped."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = term_stats(docs, tokens) if stats is None else stats
+    stats = pinned_stats(docs, tokens) if stats is None else stats
     idf = F.log2(n_docs.scalar() / F.col("df"))
     weights = _weighted(term_counts(docs, tokens=tokens), stats, idf)
     return l2_normalize(weights, "tfidf").where(F.abs("tfidf") > 1e-12).select("doc_id", "term", "tfidf")

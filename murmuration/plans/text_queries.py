@@ -149,10 +149,10 @@ def token_normalize(spark, sf_dir):
 )
 def token_normalize_table(spark, sf_dir):
     """Normalisation through a (token, norm) table, here five-letter stems of the corpus's own words."""
-    from murmuration.operators.vocab import term_counts, term_stats
+    from murmuration.operators.vocab import pinned_stats, term_counts
 
     docs = preprocessed(spark, sf_dir)
-    forms = term_stats(docs).select("term", "df", F.substring("term", 1, 5).alias("norm"))
+    forms = pinned_stats(docs).select("term", "df", F.substring("term", 1, 5).alias("norm"))
     joined = skew_join(term_counts(docs), forms, "term", "df", "doc_id")
     return joined.groupBy("doc_id", "norm").agg(F.sum("cnt").alias("cnt"))
 

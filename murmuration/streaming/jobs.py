@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.operators import moments as M
-from murmuration.operators.vocab import doc_vectors
+from murmuration.operators.vocab import doc_vectors, each_token
 
 
 def weekly_term_counts(posts: DataFrame, ts: str, tokens: str, late: str = "1 day") -> DataFrame:
     """``(week_start, term, cnt)`` of a stream, final once the watermark has passed the week."""
-    words = posts.withWatermark(ts, late).select(ts, F.explode(tokens).alias("term"))
+    words = each_token(posts.withWatermark(ts, late), ts, tokens=tokens)
     counts = words.groupBy(F.window(ts, "7 days"), "term").agg(F.count(F.lit(1)).alias("cnt"))
     return counts.select(F.col("window.start").alias("week_start"), "term", "cnt")
 

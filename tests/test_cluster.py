@@ -47,6 +47,19 @@ def test_dbscan(spark, seed, n, eps, m):
     assert got == brute_dbscan(xy, eps, m)
 
 
+def test_spread_joins_give_the_same(spark, monkeypatch):
+    """The path for inputs too large for one task, forced on a small one with a hot spot."""
+    from murmuration.operators import skew
+
+    monkeypatch.setattr(skew, "PLAIN_ROWS", 0)
+    xy = clouds(5, 240)
+    got = {r.id: r.label for r in cluster.dbscan(plane(spark, xy), "id", 0.1, 4).collect()}
+    assert got == brute_dbscan(xy, 0.1, 4)
+    want = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), axis=1)[:, :4]
+    for r in cluster.knn_distances(plane(spark, xy), "id", 4).collect():
+        assert r.distance == pytest.approx(want[r.id, r.nn], abs=1e-12)
+
+
 def test_dbscan_all_noise(spark):
     xy = np.array([[0.0, 0], [10, 0], [20, 0]])
     got = {r.id: r.label for r in cluster.dbscan(plane(spark, xy), "id", 1.0, 2).collect()}
