@@ -9,6 +9,7 @@ from murmuration.operators import timechunks
 from murmuration.operators.vocab import build_vocab, doc_vectors, pin
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
+from murmuration import workflow
 from murmuration.session import scratch_path
 from murmuration.sources import posts, sinks
 
@@ -36,9 +37,10 @@ def posts_from_documents(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_files(spark, sf_dir: str, spoil: bool = False) -> str:
+def raw_files(spark, sf_dir: str, spoil: bool = False, one_file_each: bool = False) -> str:
     """The posts written as objects back to back, one folder per source."""
     rows = posts_from_documents(spark, sf_dir)
+    rows = rows.repartition("source") if one_file_each else rows
     fields = [c for c in rows.columns if c != "source"]
     line = F.to_json(F.struct(*fields))
     if spoil:  # an unquoted language makes the object unreadable
@@ -188,6 +190,28 @@ def write_clean(spark, sf_dir):
     return spark.read.parquet(f"{path}/manifest")
 
 
+@query(
+    "clean_archive",
+    f"WITH {RAW} SELECT doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, text FROM raw WHERE lang = 'en' AND kind <> '0'",
+)
+def clean_archive(spark, sf_dir):
+    """Raw files to the clean table: English originals with their best text and time."""
+    clean = workflow.clean_archive(spark, raw_files(spark, sf_dir), scratch_path(spark, "archive"))
+    return clean.select("doc_id", F.col("created_at").cast("string").alias("created_at"), "text")
+
+
+@query(
+    "load_posts_sample",
+    f"WITH {RAW}, kept AS (SELECT source, count(*) AS n FROM raw WHERE lang = 'en' AND kind <> '0' GROUP BY source) "
+    "SELECT CAST(floor(n * 0.5) AS BIGINT) AS size, count(*) AS files FROM kept WHERE floor(n * 0.5) > 0 GROUP BY 1",
+)
+def load_posts_sample(spark, sf_dir):
+    """Half of every raw file's usable posts: how many files gave a sample of each size. One file holds one source."""
+    path = raw_files(spark, sf_dir, one_file_each=True)
+    sample = workflow.load_posts(spark, path, 0.5)
+    return sample.groupBy("source").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("files"))
+
+
 # --- time
 
 CHUNKS = (

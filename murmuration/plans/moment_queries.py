@@ -13,6 +13,7 @@ from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
 from murmuration.plans.vocab_queries import BASE
 from murmuration.session import scratch_path
+from murmuration.sources import sinks
 from murmuration.streaming import jobs
 
 ALPHA0 = 0.003
@@ -109,9 +110,12 @@ def whiten_unit(spark, sf_dir):
 
 @query("whiten_transform")
 def whiten_transform(spark, sf_dir):
+    """Whitened rows, written and read back."""
     vectors, _, words = prepared(spark, sf_dir, FIT)
     fitted = moments.whiten_fit(moments.Moments.of(vectors, len(words)), 5, ALPHA0)
-    return moments.whiten_transform(vectors, fitted)
+    path = scratch_path(spark, "whitened")
+    sinks.write_whitened(moments.whiten_transform(vectors, fitted), path)
+    return spark.read.parquet(path)
 
 
 EMBEDDED = (

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from murmuration.operators import coherence, lexicon, topics, vocab
 from murmuration.operators.cluster import cluster_distinct_terms as distinct_terms
+from murmuration.operators.skew import skew_join
 from murmuration.plans import sql
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
 from murmuration.plans.vocab_queries import BASE, LEXICON_SQL, TFIDF, toy_lexicon
+from murmuration.session import scratch_path
+from murmuration.sources import sinks
 
 TOPIC_VOCAB = dict(min_df=5, max_df=0.9, max_features=400)
 RUNS = ("occurrences", "documents", "roots")
@@ -247,6 +250,26 @@ def whitened_allclose(spark, sf_dir):
     return close.withColumn("max_diff", F.round("max_diff", 7))
 
 
+@query("write_distribution", f"{TOPICS} SELECT run, topic, term, round(weight, 8) AS prob FROM runs")
+def write_distribution(spark, sf_dir):
+    """The full tables of all runs, written by run and read back."""
+    path = scratch_path(spark, "distributions")
+    sinks.write_distribution(lang_runs(spark, sf_dir).select("run", "topic", "term", F.col("weight").alias("prob")), path)
+    saved = spark.read.parquet(path)
+    return saved.select("run", "topic", "term", F.round("prob", 8).alias("prob"))
+
+
+@query(
+    "write_top_words",
+    f"{TOPICS} SELECT topic, {TOP.format(by='topic')}::INTEGER AS rank, term FROM topics QUALIFY {TOP.format(by='topic')} <= 20",
+)
+def write_top_words(spark, sf_dir):
+    """Top words through a CSV with a header."""
+    path = scratch_path(spark, "top-words")
+    sinks.write_csv(topics.top_words(lang_topics(spark, sf_dir), 20).select("topic", "rank", "term"), path)
+    return spark.read.csv(path, header=True, schema="topic string, rank int, term string")
+
+
 # A small made-up sentiment lexicon in the corpus's own words.
 SENTIMENT = [("thention", 0.7, 0.1, 0.2), ("onthe", 0.1, 0.8, 0.1), ("erenin", 0.25, 0.25, 0.5), ("inere", 0.6, 0.2, 0.2)]
 SENTIMENT_SQL = "senti(token, positive, negative, neutral) AS (VALUES " + ", ".join(
@@ -305,8 +328,6 @@ def cluster_distinct_terms(spark, sf_dir):
     )
     by_cluster = sums.groupBy("cluster").count()
     sized = sizes.join(by_cluster, "cluster")
-    from murmuration.operators.skew import skew_join
-
     centres = skew_join(sums, sized, "cluster", "count", "term").select(
         "cluster", "term", F.round(F.col("total") / F.col("size"), 9).alias("weight")
     )

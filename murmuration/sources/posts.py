@@ -26,12 +26,12 @@ def _objects(spark: SparkSession, path, first_key: str, whole_files: bool) -> Da
     if whole_files:
         lines = spark.read.text(path, wholetext=True)
         parts = F.split("value", r"(?<=\})\s*(?=\{\"" + first_key + r"\")")
-        return lines.select(F.col("_metadata.file_name").alias("file"), F.explode(parts).alias("json"))
+        return lines.select(F.col("_metadata.file_path").alias("file"), F.explode(parts).alias("json"))
     lines = spark.read.option("lineSep", "}" + head).text(path)
     value = F.col("value")
     opened = F.when(F.startswith(value, F.lit("{")), value).otherwise(F.concat(F.lit(head), value))
     return lines.select(
-        F.col("_metadata.file_name").alias("file"), F.concat(opened, F.lit("}")).alias("json")
+        F.col("_metadata.file_path").alias("file"), F.concat(opened, F.lit("}")).alias("json")
     )
 
 
