@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.numeric import cube_sum, symmetrize_pair, top_eigen, triples, unpack_symmetric
 from murmuration.operators.skew import by_bounds, global_rank
+from murmuration.session import cut_lineage
 
 MAX_GRAM = 6000  # widest vocabulary whose second moment (V x V) is built
 CHUNK = 512  # documents made dense at a time inside a task
@@ -36,8 +37,11 @@ def _blocks(frames, width: int):
 
 
 def one_pass_per_core(df: DataFrame) -> DataFrame:
-    """As many tasks as cores, so that few model-sized partial results travel."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    """About as many tasks as cores, so that few model-sized partial results travel. The shuffle setting
+    counts too, since executors may not have arrived yet when the plan is made."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.coalesce(tasks)
 
 
 def add_up(partials: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -52,24 +56,34 @@ def gram_rows(vectors: DataFrame, width: int, period: str | None = None) -> Data
     if width > MAX_GRAM:
         raise ValueError(f"second moments need a vocabulary of at most {MAX_GRAM} terms")
 
+    def emit(label, gram, first, count):
+        for start in range(0, width, 256):
+            index = range(start, min(width, start + 256))
+            yield pd.DataFrame({"period": label, "i": list(index), "v": [gram[i, i:] for i in index]})
+        yield pd.DataFrame({"period": label, "i": [-1, -2], "v": [first, np.array([float(count)])]})
+
     def partial(frames):
-        sums = {}
+        state = None  # one period at a time: rows arrive sorted by it
         for part, block in _blocks(frames, width):
             labels = part["period"].to_numpy() if period else np.zeros(len(part), dtype=int)
             for label in pd.unique(labels):
                 rows = block[labels == label]
-                gram, first, count = sums.get(label) or (np.zeros((width, width)), np.zeros(width), 0)
-                gram += rows.T @ rows
-                sums[label] = (gram, first + rows.sum(axis=0), count + len(rows))
-        for label, (gram, first, count) in sums.items():
-            for start in range(0, width, 256):
-                index = range(start, min(width, start + 256))
-                yield pd.DataFrame({"period": label, "i": list(index), "v": [gram[i, i:] for i in index]})
-            yield pd.DataFrame({"period": label, "i": [-1, -2], "v": [first, np.array([float(count)])]})
+                if state is not None and state[0] != label:
+                    yield from emit(*state)
+                    state = None
+                if state is None:
+                    state = [label, np.zeros((width, width)), np.zeros(width), 0]
+                state[1] += rows.T @ rows
+                state[2] += rows.sum(axis=0)
+                state[3] += len(rows)
+        if state is not None:
+            yield from emit(*state)
 
     source = vectors.select("ids", "cnts", *([F.col(period).alias("period")] if period else []))
     label = source.schema["period"].dataType.simpleString() if period else "long"
-    partials = one_pass_per_core(source).mapInPandas(partial, f"period {label}, i int, v array<double>")
+    tasks = one_pass_per_core(source)
+    tasks = tasks.sortWithinPartitions("period") if period else tasks
+    partials = tasks.mapInPandas(partial, f"period {label}, i int, v array<double>")
     return add_up(partials, ["period", "i"])
 
 
@@ -119,7 +133,7 @@ class Moments:
 
 def second_moment(vectors: DataFrame, width: int, alpha0: float, exact: bool = False) -> DataFrame:
     """``(i, j, v)`` for i <= j: the centred second moment, or with ``exact`` the single-topic form."""
-    rows = gram_rows(vectors, width).drop("period").persist()
+    rows = cut_lineage(gram_rows(vectors, width).drop("period"), "gram")
     count = rows.where("i = -2").select(F.col("v")[0]).scalar()
     mean = rows.where("i = -1").select(F.posexplode("v").alias("term", "s")).select("term", (F.col("s") / count).alias("m"))
     mean_i = F.broadcast(mean.select(F.col("term").alias("i"), F.col("m").alias("mi")))  # V rows

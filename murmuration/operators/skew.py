@@ -33,6 +33,9 @@ def skew_join(
     """
     if rows is not None and rows <= PLAIN_ROWS:
         return big.join(small, key, how)
+    if rows is not None:  # known to be large: keep what is read several times below
+        small = cut_lineage(small, "join-rows")
+        sizes = sizes if sizes is None else cut_lineage(sizes.select(key, weight), "join-sizes")
     spread = [spread] if isinstance(spread, str) else spread
     sizes = small if sizes is None else sizes
     total = sizes.agg(F.sum(weight).alias("_total"))

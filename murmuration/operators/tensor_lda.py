@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.operators import moments as M
+from murmuration.session import cut_lineage
 
 MAX_TENSOR_RANK = 150  # above this a tensor per batch is too large; gradients come from the data instead
 
@@ -257,15 +258,16 @@ def load_model(spark, path: str) -> TopicModel:
 def fit_periods(vectors: DataFrame, period: str, width: int, params: TopicParams, vocabulary: DataFrame) -> DataFrame:
     """``(period, topic, term_id, term, weight)``: a model per period from two passes over all of them.
 
-    Periods are calendar pieces, so few; each contributes a V x V state. Periods with too few documents
-    for the wanted rank are left out of the result.
+    Periods are calendar pieces, so few. Their V x V states are written out and solved one after the
+    other. Periods with too few documents for the wanted rank are left out of the result.
     """
     spark = vectors.sparkSession
-    states = M.Moments.from_rows(M.gram_rows(vectors, width, period).collect(), width)
+    sums = cut_lineage(M.gram_rows(vectors, width, period), "period-moments")
     fitted = {}
-    for name, state in states.items():
+    for (name,) in sums.where("i = -2").select("period").orderBy("period").collect():
+        rows = sums.where(F.col("period") == F.lit(name)).collect()
         try:
-            fitted[name] = M.whiten_fit(state, params.n_topics, params.alpha0)
+            fitted[name] = M.whiten_fit(M.Moments.from_rows(rows, width)[name], params.n_topics, params.alpha0)
         except ValueError:
             continue
     shared = spark.sparkContext.broadcast({p: (w.forward, w.mean @ w.forward) for p, w in fitted.items()})

@@ -9,6 +9,7 @@ from murmuration.operators import timechunks
 from murmuration.operators.vocab import build_vocab, doc_vectors, pin
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
+from murmuration.plans.vocab_queries import BASE, VOCAB
 from murmuration import workflow
 from murmuration.session import scratch_path
 from murmuration.sources import posts, sinks
@@ -270,6 +271,18 @@ def bucket_weeks(spark, sf_dir):
     return timechunks.rows_in_buckets(events, "ts", buckets).select("event_id", "bucket")
 
 
+@query(
+    "stage_metrics_counts",
+    f"{BASE}, {VOCAB}, every AS (SELECT count(*)::DOUBLE AS n FROM documents) "
+    "SELECT 'tokenise' AS stage, 'rows' AS metric, n AS value FROM every UNION ALL SELECT 'vectors', 'rows', n FROM every "
+    "UNION ALL SELECT 'tokenise', 'tokens', sum(cnt)::DOUBLE FROM counts UNION ALL SELECT 'vocabulary', 'terms', count(*)::DOUBLE "
+    "FROM vocab UNION ALL SELECT 'vectors', 'nnz', count(*)::DOUBLE FROM counts JOIN vocab USING (term)",
+)
+def stage_metrics_counts(spark, sf_dir):
+    """The counts of the run metrics, without the times."""
+    return stage_metrics(spark, sf_dir).where("metric <> 'seconds'").select("stage", "metric", "value")
+
+
 @query("stage_metrics")
 def stage_metrics(spark, sf_dir):
     """Rows and seconds of the vectorising stages, observed while they run."""

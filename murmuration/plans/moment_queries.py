@@ -358,13 +358,20 @@ def tlda_fit_options(spark, sf_dir):
     )
 
 
-@query("stream_weekly_closed")
+@query(
+    "stream_weekly_closed",
+    "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week_start, event_type AS term, count(*) AS cnt "
+    "FROM events GROUP BY ALL HAVING week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+)
 def stream_weekly_closed(spark, sf_dir):
     """The append form: only weeks the watermark has passed are written."""
-    stream = jobs.stream_table(spark, sf_dir, "events").select("ts", F.array("event_type").alias("tokens"))
+    stream = jobs.stream_table(spark, sf_dir, "events").select(
+        jobs.utc_instant("ts").alias("ts"), F.array("event_type").alias("tokens")
+    )
     path = scratch_path(spark, "weekly-closed")
-    jobs.run_to_table(jobs.weekly_term_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "tokens"), path)
-    return spark.read.schema("week_start timestamp, term string, cnt long").parquet(f"{path}/data")
+    jobs.run_to_table(jobs.weekly_term_counts(stream, "ts", "tokens"), path)
+    weeks = spark.read.schema("week_start timestamp, term string, cnt long").parquet(f"{path}/data")
+    return weeks.withColumn("week_start", jobs.utc_wall_time("week_start"))
 
 
 @query("tlda_partial_fit")
@@ -391,6 +398,36 @@ def exact_fit(spark, sf_dir):
     return spark.createDataFrame([(i, float(w), error) for i, w in enumerate(weights)], "topic long, weight double, error double")
 
 
+FEW = dict(min_df=5, max_df=0.5, max_features=6)
+FEW_BOW = f"{BASE}, {sql.vocab(**FEW)}, x AS (SELECT doc_id, term_id, cnt::DOUBLE AS c FROM counts JOIN vocab USING (term))"
+
+
+@query(
+    "third_moment_words",
+    f"{FEW_BOW}, m AS (SELECT term_id, sum(c) / {sql.N_DOCS} AS m FROM x GROUP BY term_id), "
+    f"p AS (SELECT a.term_id AS i, b.term_id AS j, sum(a.c * b.c) / {sql.N_DOCS} AS p FROM x a JOIN x b USING (doc_id) GROUP BY ALL), "
+    f"t AS (SELECT a.term_id AS i, b.term_id AS j, c.term_id AS m, sum(a.c * b.c * c.c) / {sql.N_DOCS} AS t FROM x a "
+    "JOIN x b USING (doc_id) JOIN x c USING (doc_id) GROUP BY ALL), "
+    "g AS (SELECT a.term_id AS i, b.term_id AS j, c.term_id AS m, a.m AS mi, b.m AS mj, c.m AS mm FROM m a, m b, m c "
+    "WHERE a.term_id <= b.term_id AND b.term_id <= c.term_id) "
+    f"SELECT g.i, g.j, g.m, round(({ALPHA0} + 1) * ({ALPHA0} + 2) / 2 * (coalesce(t, 0) "
+    "- CASE WHEN g.i = g.j THEN coalesce(jm.p, 0) ELSE 0 END - CASE WHEN g.i = g.m THEN coalesce(ij.p, 0) ELSE 0 END "
+    "- CASE WHEN g.j = g.m THEN coalesce(ij.p, 0) ELSE 0 END + CASE WHEN g.i = g.j AND g.j = g.m THEN 2 * mi ELSE 0 END) "
+    f"- {ALPHA0} * ({ALPHA0} + 1) / 2 * (CASE WHEN g.i = g.j THEN mi * mm ELSE 0 END + CASE WHEN g.i = g.m THEN mi * mj ELSE 0 END "
+    f"+ CASE WHEN g.j = g.m THEN mi * mj ELSE 0 END) + {ALPHA0} * {ALPHA0} * mi * mj * mm, 5) AS v FROM g "
+    "LEFT JOIN t ON t.i = g.i AND t.j = g.j AND t.m = g.m LEFT JOIN p ij ON ij.i = g.i AND ij.j = g.j "
+    "LEFT JOIN p jm ON jm.i = g.j AND jm.j = g.m",
+)
+def third_moment_words(spark, sf_dir):
+    """The exact third moment in word space, where the whitening table is the identity."""
+    vectors, _, words = prepared(spark, sf_dir, FEW)
+    state = moments.Moments.of(vectors, len(words))
+    plain = moments.Whitening(state.mean, np.eye(len(words)), np.ones(len(words)), False)
+    tensor = moments.exact_third_moment(vectors, plain, state, ALPHA0)
+    rows = [(int(i), int(j), int(m), round(float(tensor[i, j, m]), 5) + 0.0) for i, j, m in zip(*moments.triples(len(words)))]
+    return spark.createDataFrame(rows, "i long, j long, m long, v double")
+
+
 @query("third_moment_exact")
 def third_moment_exact(spark, sf_dir):
     vectors, _, words = prepared(spark, sf_dir, SMALL)
@@ -492,12 +529,13 @@ def per_period_topics(spark, sf_dir):
 )
 def stream_weekly_term_counts(spark, sf_dir):
     """Event types as one-word texts, counted per week by a stream."""
-    stream = jobs.stream_table(spark, sf_dir, "events").select("ts", F.array("event_type").alias("tokens"))
+    stream = jobs.stream_table(spark, sf_dir, "events").select(
+        jobs.utc_instant("ts").alias("ts"), F.array("event_type").alias("tokens")
+    )
     path = scratch_path(spark, "weekly")
-    counts = jobs.weekly_term_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "tokens")
-    jobs.run_updates(counts, path)
-    table_ = jobs.read_updates(spark, path, ["week_start", "term"], "cnt")
-    return table_.select(F.col("week_start").cast("timestamp_ntz").alias("week_start"), "term", "cnt")
+    jobs.run_updates(jobs.weekly_term_counts(stream, "ts", "tokens"), path)
+    weeks = jobs.read_updates(spark, path, ["week_start", "term"], "cnt")
+    return weeks.withColumn("week_start", jobs.utc_wall_time("week_start"))
 
 
 @query("stream_moments", f"{SMALL_BOW} SELECT term_id, round(sum(c) / {sql.N_DOCS}, 8) AS m FROM x GROUP BY term_id")

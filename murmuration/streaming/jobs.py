@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.operators import moments as M
 from murmuration.operators.vocab import doc_vectors, each_token
 
 
+def utc_instant(column: str) -> Column:
+    """A zone-free time read as UTC; event time must be an instant, and weeks must not depend on the
+    session's zone."""
+    micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})"
+    return F.expr(f"timestamp_micros({micros})")
+
+
+def utc_wall_time(column: str) -> Column:
+    """The way back from an instant to a zone-free time."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({column}), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+
+
 def weekly_term_counts(posts: DataFrame, ts: str, tokens: str, late: str = "1 day") -> DataFrame:
     """``(week_start, term, cnt)`` of a stream, final once the watermark has passed the week."""
     words = each_token(posts.withWatermark(ts, late), ts, tokens=tokens)
