@@ -6,11 +6,11 @@ import numpy as np
 
 
 def digamma(x):
-    """psi(x) for x > 0: recurrence up to 6, then the asymptotic series."""
+    """psi(x) for x > 0: recurrence up to 12, then the asymptotic series."""
     x = np.array(x, dtype=float)
     result = np.zeros_like(x)
-    for _ in range(6):
-        small = x < 6
+    for _ in range(12):
+        small = x < 12
         result = np.where(small, result - 1.0 / np.where(small, x, 1.0), result)
         x = np.where(small, x + 1, x)
     r = 1.0 / (x * x)

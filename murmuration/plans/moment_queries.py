@@ -360,8 +360,9 @@ def tlda_fit_options(spark, sf_dir):
 
 @query(
     "stream_weekly_closed",
-    "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week_start, event_type AS term, count(*) AS cnt "
-    "FROM events GROUP BY ALL HAVING week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+    "SELECT week_start, event_type AS term, count(*) AS cnt FROM (SELECT event_type, "
+    "time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week_start FROM events) "
+    "WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL",
 )
 def stream_weekly_closed(spark, sf_dir):
     """The append form: only weeks the watermark has passed are written."""
