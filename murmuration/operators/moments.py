@@ -20,20 +20,48 @@ from murmuration.operators.skew import by_bounds, global_rank
 from murmuration.session import cut_lineage
 
 MAX_GRAM = 6000  # widest vocabulary whose second moment (V x V) is built
-CHUNK = 512  # documents made dense at a time inside a task
+CHUNK = 512  # documents handled at a time inside a task
 
 
-def _blocks(frames, width: int):
-    """Dense blocks of at most CHUNK documents from batches of sparse rows."""
+def _flat(pdf):
+    """``(sizes, ids, cnts)`` of sparse rows laid end to end."""
+    sizes = pdf["ids"].map(len).to_numpy()
+    if not sizes.sum():
+        return sizes, np.zeros(0, dtype=np.int64), np.zeros(0)
+    return sizes, np.concatenate(pdf["ids"].to_numpy()).astype(np.int64), np.concatenate(pdf["cnts"].to_numpy())
+
+
+def _chunks(frames):
     for pdf in frames:
         for start in range(0, len(pdf), CHUNK):
-            part = pdf.iloc[start : start + CHUNK]
-            block = np.zeros((len(part), width))
-            sizes = part["ids"].map(len).to_numpy()
-            if sizes.sum():
-                rows = np.repeat(np.arange(len(part)), sizes)
-                block[rows, np.concatenate(part["ids"].to_numpy())] = np.concatenate(part["cnts"].to_numpy())
-            yield part, block
+            yield pdf.iloc[start : start + CHUNK]
+
+
+def _add_products(gram, sizes, ids, cnts) -> None:
+    """Add every row's x x^T to the upper triangle of ``gram``. Short rows touch only their own cells;
+    rows dense enough for it go through a matrix product."""
+    width = len(gram)
+    pairs = int((sizes * (sizes + 1) // 2).sum())
+    if pairs * 50 > len(sizes) * width * width:
+        block = np.zeros((len(sizes), width))
+        block[np.repeat(np.arange(len(sizes)), sizes), ids] = cnts
+        gram += block.T @ block
+        return
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    reach = ends - np.arange(len(ids))  # cells from each entry to the end of its row, itself included
+    first = np.repeat(np.arange(len(ids)), reach)
+    second = first + np.arange(pairs) - np.repeat(np.cumsum(reach) - reach, reach)
+    np.add.at(gram.reshape(-1), ids[first] * width + ids[second], cnts[first] * cnts[second])
+
+
+def _row_sums(table, sizes, ids, cnts):
+    """Each sparse row times a table with one line per term."""
+    result = np.zeros((len(sizes), table.shape[1]))
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        result[filled] = np.add.reduceat(table[ids] * cnts[:, None], starts, axis=0)
+    return result
 
 
 def one_pass_per_core(df: DataFrame) -> DataFrame:
@@ -64,18 +92,18 @@ def gram_rows(vectors: DataFrame, width: int, period: str | None = None) -> Data
 
     def partial(frames):
         state = None  # one period at a time: rows arrive sorted by it
-        for part, block in _blocks(frames, width):
+        for part in _chunks(frames):
             labels = part["period"].to_numpy() if period else np.zeros(len(part), dtype=int)
             for label in pd.unique(labels):
-                rows = block[labels == label]
+                sizes, ids, cnts = _flat(part[labels == label])
                 if state is not None and state[0] != label:
                     yield from emit(*state)
                     state = None
                 if state is None:
                     state = [label, np.zeros((width, width)), np.zeros(width), 0]
-                state[1] += rows.T @ rows
-                state[2] += rows.sum(axis=0)
-                state[3] += len(rows)
+                _add_products(state[1], sizes, ids, cnts)
+                state[2] += np.bincount(ids, cnts, minlength=width)
+                state[3] += len(sizes)
         if state is not None:
             yield from emit(*state)
 
@@ -208,17 +236,9 @@ def project(vectors: DataFrame, forward: np.ndarray, offset: np.ndarray, keep: l
 
     def apply(frames):
         table, shift = shared.value
-        for pdf in frames:
-            sizes = pdf["ids"].map(len).to_numpy()
-            result = np.tile(-shift, (len(pdf), 1))
-            if sizes.sum():
-                ids = np.concatenate(pdf["ids"].to_numpy())
-                weighted = table[ids] * np.concatenate(pdf["cnts"].to_numpy())[:, None]
-                filled = np.flatnonzero(sizes)
-                starts = (np.cumsum(sizes) - sizes)[filled]
-                result[filled] += np.add.reduceat(weighted, starts, axis=0)
-            out = pdf[columns].copy()
-            out["y"] = list(result)
+        for part in _chunks(frames):
+            out = part[columns].copy()
+            out["y"] = list(_row_sums(table, *_flat(part)) - shift)
             yield out
 
     types = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in columns)
@@ -305,10 +325,15 @@ def exact_third_moment(vectors: DataFrame, whitening: Whitening, moments: Moment
         table = shared.value
         squares = np.einsum("vi,vj->vij", table, table).reshape(len(table), k * k)
         total = np.zeros((k, k, k))
-        for _, block in _blocks(frames, len(table)):
-            rows = block @ table
-            spread = (block @ squares).reshape(len(block), k, k)
-            total += cube_sum(rows) - symmetrize_pair(spread, rows)
+        for part in _chunks(frames):
+            sizes, ids, cnts = _flat(part)
+            rows = _row_sums(table, sizes, ids, cnts)
+            spread = np.zeros((len(part), k * k))
+            ends = np.cumsum(sizes)
+            for start in range(0, len(part), 32):  # a few rows at a time: an entry opens k^2 numbers
+                piece = slice(ends[start] - sizes[start], ends[min(start + 32, len(part)) - 1])
+                spread[start : start + 32] = _row_sums(squares, sizes[start : start + 32], ids[piece], cnts[piece])
+            total += cube_sum(rows) - symmetrize_pair(spread.reshape(-1, k, k), rows)
         yield pd.DataFrame({"key": [0], "v": [total[index]]})
 
     sums = vectors.select("ids", "cnts").mapInPandas(partial, "key int, v array<double>")

@@ -17,7 +17,7 @@ from murmuration.plans import sql
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
 from murmuration.plans.vocab_queries import BASE, LEXICON_SQL, TFIDF, toy_lexicon
-from murmuration.session import scratch_path
+from murmuration.session import cut_lineage, scratch_path
 from murmuration.sources import sinks
 
 TOPIC_VOCAB = dict(min_df=5, max_df=0.9, max_features=400)
@@ -326,6 +326,7 @@ def cluster_distinct_terms(spark, sf_dir):
         .groupBy("cluster", "term")
         .agg(F.sum("tfidf").alias("total"))
     )
+    sums = cut_lineage(sums, "cluster-terms")  # read for the sizes and for the join
     by_cluster = sums.groupBy("cluster").count()
     sized = sizes.join(by_cluster, "cluster")
     centres = skew_join(sums, sized, "cluster", "count", "term").select(

@@ -60,6 +60,17 @@ def test_moments(spark, corpus, parts):
     assert np.allclose(state.exact_second(ALPHA0), want)
 
 
+def test_short_and_long_rows_add_up_alike():
+    rng = np.random.default_rng(4)
+    for width, share in ((200, 0.02), (40, 0.7)):
+        rows = rng.poisson(2.0, (90, width)) * (rng.random((90, width)) < share)
+        rows[5] = 0
+        ids, cnts = np.nonzero(rows)[1], rows[np.nonzero(rows)].astype(float)
+        gram = np.zeros((width, width))
+        moments._add_products(gram, (rows > 0).sum(1), ids, cnts)
+        assert np.allclose(np.triu(gram), np.triu(rows.T @ rows))
+
+
 def test_batches_add_up(spark, corpus):
     counts, _, vectors = corpus
     whole = moments.Moments.of(vectors, V)
