@@ -228,7 +228,7 @@ def dbscan(points: DataFrame, id_col: str, eps: float = 0.29, min_samples: int =
     point joins the lowest-numbered cluster it touches.
     """
     named = points.withColumnRenamed(id_col, "id")
-    side = eps / math.sqrt(2)
+    side = eps / math.sqrt(2) * (1 - 1e-9)  # rounding must not let a cell outgrow eps
     cell = F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
     unique = cut_lineage(merge_equal(named, "id").withColumn("cell", cell), "positions")
     cells = cut_lineage(

@@ -2,39 +2,54 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+DAY_MICROS = 86_400_000_000
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _micros(df: DataFrame, ts: str) -> Column:
+    """A time column as microseconds, so that boundaries pass the driver without any time zone."""
+    if df.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{ts}`)")
+    return F.unix_micros(ts)
+
+
+def _time(df: DataFrame, ts: str, micros: str) -> Column:
+    """The way back, for a number or a column of numbers."""
+    if df.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        return F.expr(f"timestampadd(MICROSECOND, {micros}, {EPOCH})")
+    return F.expr(f"timestamp_micros({micros})")
+
+
 def sort_by_time(df: DataFrame, ts: str, id_col: str) -> DataFrame:
     return df.orderBy(ts, id_col)
 
 
-def _first_rows(df: DataFrame, ts: str, id_col: str, start, n: int):
+def _first_rows(df: DataFrame, ts: str, id_col: str, start: int, n: int):
     """The ``n`` earliest rows at or after ``start``, looking at one day first so that a table laid out
     by time skips everything else."""
-    rows = df.select(ts, id_col)
-    for upper in (start + timedelta(days=1), None):
-        part = rows.where(F.col(ts) >= F.lit(start))
+    for upper in (start + DAY_MICROS, None):
+        part = df.select(ts, id_col).where(F.col(ts) >= _time(df, ts, f"{start}L"))
         if upper is not None:
-            part = part.where(F.col(ts) < F.lit(upper))
-        found = part.orderBy(ts, id_col).limit(n).collect()
+            part = part.where(F.col(ts) < _time(df, ts, f"{upper}L"))
+        found = part.orderBy(ts, id_col).limit(n).select(_micros(df, ts), id_col).collect()
         if len(found) == n or upper is None:
             return found
 
 
 def chunk_starts(df: DataFrame, ts: str, id_col: str, days: int = 7) -> list[tuple]:
-    """First row ``(ts, id)`` of every chunk. A chunk opens at its first row and closes with the first
+    """First row ``(microseconds, id)`` of every chunk. A chunk opens at its first row and closes with the first
     row at or after that time plus ``days``, which it still holds; the next row opens the next chunk.
     One top-2 query per chunk, so the loop is as long as the calendar span and not as the data."""
-    first = df.select(ts, id_col).orderBy(ts, id_col).limit(1).collect()
+    first = df.select(ts, id_col).orderBy(ts, id_col).limit(1).select(_micros(df, ts), id_col).collect()
     starts = []
     current = first[0] if first else None
     while current is not None:
         starts.append((current[0], current[1]))
-        closing = _first_rows(df, ts, id_col, current[0] + timedelta(days=days), 2)
+        closing = _first_rows(df, ts, id_col, current[0] + days * DAY_MICROS, 2)
         current = closing[1] if len(closing) == 2 else None
     return starts
 
@@ -43,11 +58,11 @@ def anchored_weeks(df: DataFrame, ts: str, id_col: str, days: int = 7) -> DataFr
     """Add ``chunk_id`` (0, 1, ...) to every row: the last chunk that opened at or before it."""
     starts = chunk_starts(df, ts, id_col, days)
     spark = df.sparkSession
-    kind = df.schema[ts].dataType.simpleString()
     rows = [
         (i, t, k, *(starts[i + 1] if i + 1 < len(starts) else (None, None))) for i, (t, k) in enumerate(starts)
     ]
-    chunks = spark.createDataFrame(rows, f"chunk_id long, _t {kind}, _k long, _t2 {kind}, _k2 long")
+    chunks = spark.createDataFrame(rows, "chunk_id long, _t long, _k long, _t2 long, _k2 long")
+    chunks = chunks.withColumns({"_t": _time(df, ts, "_t"), "_t2": _time(df, ts, "_t2")})
     last = df.agg(F.max(ts).alias("last")).scalar()
     # one row per chunk and calendar day, so the join below is a hash join on the day
     per_day = chunks.withColumn(

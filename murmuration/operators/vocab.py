@@ -46,6 +46,15 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens")
     return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def normalize_terms(counts: DataFrame, forms: DataFrame, stats: DataFrame) -> DataFrame:
+    """Counts with every term replaced by its form from a ``(term, form)`` table; terms the table lacks
+    stay. ``stats`` holds each term's document frequency, since frequent terms are hot keys."""
+    known = stats.select("term", "df").join(forms, "term", "left")
+    known = known.select("term", "df", F.coalesce("form", "term").alias("form"))
+    joined = skew_join(counts, known, "term", "df", "doc_id")
+    return joined.groupBy("doc_id", F.col("form").alias("term")).agg(F.sum("cnt").alias("cnt"))
+
+
 def with_term_ids(vocabulary: DataFrame, order: str = "term") -> DataFrame:
     """Dense alphabetical ids. Only for vocabularies of bounded size: the window is one task."""
     return vocabulary.withColumn("term_id", F.row_number().over(Window.orderBy(order)).cast("long") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
 from murmuration.operators import sampling
-from murmuration.operators.skew import skew_join
+from murmuration.operators.vocab import normalize_terms, pinned_stats, term_counts
 from murmuration.plans import sql
 from murmuration.plans.registry import documents, query, table
 
@@ -149,12 +149,10 @@ def token_normalize(spark, sf_dir):
 )
 def token_normalize_table(spark, sf_dir):
     """Normalisation through a (token, norm) table, here five-letter stems of the corpus's own words."""
-    from murmuration.operators.vocab import pinned_stats, term_counts
-
     docs = preprocessed(spark, sf_dir)
-    forms = pinned_stats(docs).select("term", "df", F.substring("term", 1, 5).alias("norm"))
-    joined = skew_join(term_counts(docs), forms, "term", "df", "doc_id")
-    return joined.groupBy("doc_id", "norm").agg(F.sum("cnt").alias("cnt"))
+    stats = pinned_stats(docs)
+    forms = stats.select("term", F.substring("term", 1, 5).alias("form")).where(F.length("term") > 5)
+    return normalize_terms(term_counts(docs), forms, stats).withColumnRenamed("term", "norm")
 
 
 @query(

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from murmuration.operators import timechunks
 
@@ -41,6 +42,20 @@ def test_anchored_weeks(spark, name):
     assert got == greedy(rows, 7)
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_other_time_zones(spark, kind):
+    rows = CASES["many"] + [(1000 + i, t + timedelta(days=200)) for i, t in CASES["many"]]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, ts timestamp_ntz")
+        if kind == "timestamp":  # the same moments as UTC instants
+            frame = frame.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts))"))
+        got = {r.doc_id: r.chunk_id for r in timechunks.anchored_weeks(frame, "ts", "doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == greedy(rows, 7)
+
+
 def test_empty_input(spark):
     frame = spark.createDataFrame([], "doc_id long, ts timestamp_ntz")
     assert timechunks.anchored_weeks(frame, "ts", "doc_id").isEmpty()
