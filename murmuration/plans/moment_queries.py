@@ -57,10 +57,10 @@ def first_moment(spark, sf_dir):
 
 
 def _pairs(frame: DataFrame) -> DataFrame:
-    return frame.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
+    return frame.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("v", 9).alias("v"))
 
 
-@query("covariance", f"{PAIRS} SELECT i, j, round(({ALPHA0} + 1) * (e - mi * mj), 6) AS v FROM p")
+@query("covariance", f"{PAIRS} SELECT i, j, round(({ALPHA0} + 1) * (e - mi * mj), 9) AS v FROM p")
 def covariance(spark, sf_dir):
     vectors, _, words = prepared(spark, sf_dir, SMALL)
     return _pairs(moments.second_moment(vectors, len(words), ALPHA0))
@@ -68,7 +68,7 @@ def covariance(spark, sf_dir):
 
 @query(
     "second_moment_exact",
-    f"{PAIRS} SELECT i, j, round(({ALPHA0} + 1) * (e - CASE WHEN i = j THEN mi ELSE 0 END) - {ALPHA0} * mi * mj, 6) AS v FROM p",
+    f"{PAIRS} SELECT i, j, round(({ALPHA0} + 1) * (e - CASE WHEN i = j THEN mi ELSE 0 END) - {ALPHA0} * mi * mj, 9) AS v FROM p",
 )
 def second_moment_exact(spark, sf_dir):
     vectors, _, words = prepared(spark, sf_dir, SMALL)

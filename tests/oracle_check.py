@@ -28,11 +28,11 @@ def canon(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value + 0.0:.5f}"
+        return "nan" if math.isnan(value) else repr(value + 0.0)  # both sides round, so equal means equal
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(canon(v) for v in value) + "]"
     if hasattr(value, "is_integer") and not isinstance(value, int):
-        return f"{float(value):.5f}"
+        return repr(float(value) + 0.0)
     return f"{type(value).__name__}:{value}"
 
 
