@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, html, packing, topk
+from murmuration.llm import bpe, fingerprint, html, packing, sharding, topk
 from murmuration.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_histogram_sort_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 OP5_SQL = """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -54,6 +60,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+@query("op6_quartile_digest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query("op8_best_two_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
