@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, fingerprint, html, langid, packing, quality, sharding, topk
+from murmuration.llm import bpe, fingerprint, html, langid, minhash, packing, quality, sharding, topk
 from murmuration.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,40 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words
+),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+members AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM sizes UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.seen = e.a)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op1_lsh_forest_near_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op2_histogram_sort_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
