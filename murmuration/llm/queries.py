@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, fingerprint, html, langid, minhash, packing, quality, sharding, topk
+from murmuration.llm import bpe, fingerprint, html, langid, minhash, packing, quality, sharding, suffix, topk
 from murmuration.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+@query("op4_bucket_pointer_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
