@@ -77,7 +77,7 @@ def test_pack(spark, library, monkeypatch):
         places.sort()
         assert [p[0] for p in places] == [sum(x[1] for x in places[:i]) for i in range(len(places))]
         assert sum(p[1] for p in places) <= 64
-    assert len(sequences) <= sum(r.length for r in packed) / 64 + 6
+    assert len(sequences) <= sum(r.length for r in packed) / 64 + len(packed) / 30 + 1  # at most a part of one a group
     assert packing.pack(documents(spark, []), TOKENIZER).collect() == []
 
 
