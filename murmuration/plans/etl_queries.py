@@ -39,13 +39,20 @@ def posts_from_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark, sf_dir: str, spoil: bool = False, one_file_each: bool = False) -> str:
-    """The posts written as objects back to back, one folder per source."""
+    """The posts written as objects back to back, one folder per source. The source's last digit varies the layout:
+    4 a line each, 5 spaces between, 6 another first key; with ``spoil``, 7 cannot be read and 8 is cut off."""
     rows = posts_from_documents(spark, sf_dir)
     rows = rows.repartition("source") if one_file_each else rows
     fields = [c for c in rows.columns if c != "source"]
-    line = F.to_json(F.struct(*fields))
+    kind = F.substring("source", -1, 1)
+    line = F.when(kind == "6", F.to_json(F.struct("id", "lang", *[c for c in fields if c not in ("id", "lang")]))).otherwise(
+        F.to_json(F.struct(*fields))
+    )
     if spoil:  # an unquoted language makes the object unreadable
-        line = F.when(F.endswith("source", F.lit("7")), F.replace(line, F.lit('"lang":"'), F.lit('"lang":'))).otherwise(line)
+        unquoted = F.replace(line, F.lit('"lang":"'), F.lit('"lang":'))
+        cut_off = F.substring(line, F.lit(1), F.length(line) - 3)
+        line = F.when(kind == "7", unquoted).when(kind == "8", cut_off).otherwise(line)
+    line = F.concat(F.when(kind == "4", F.lit("\n")).when(kind == "5", F.lit("  ")).otherwise(F.lit("")), line)
     path = scratch_path(spark, "raw-posts")
     # the closing brace is the line separator, so the objects touch
     body = rows.select("source", F.expr("1").alias("_"), line.alias("value")).drop("_")
@@ -71,7 +78,7 @@ def scan_concat_json(spark, sf_dir):
 
 @query(
     "quarantine_bad_files",
-    f"WITH {RAW} SELECT doc_id, CASE WHEN kind = '7' THEN 'rejected' ELSE 'good' END AS status FROM raw",
+    f"WITH {RAW} SELECT doc_id, CASE WHEN kind IN ('7', '8') THEN 'rejected' ELSE 'good' END AS status FROM raw",
 )
 def quarantine_bad_files(spark, sf_dir):
     good, bad = posts.split_rejects(posts.scan_concat_json(spark, raw_files(spark, sf_dir, spoil=True)))
@@ -209,7 +216,7 @@ def clean_archive(spark, sf_dir):
 def load_posts_sample(spark, sf_dir):
     """Half of every raw file's usable posts: how many files gave a sample of each size. One file holds one source."""
     path = raw_files(spark, sf_dir, one_file_each=True)
-    sample = workflow.load_posts(spark, path, 0.5)
+    sample = workflow.load_posts(spark, path, 0.5, rejects=scratch_path(spark, "rejects"))
     return sample.groupBy("source").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("files"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,44 +16,88 @@ POST_SCHEMA = (
     "created_at string, id bigint, lang string, text string, full_text string, "
     "extended_tweet struct<full_text: string>, retweeted_status struct<id: bigint>"
 )
-CORRUPT = "_corrupt_record"
-
-
-def _objects(spark: SparkSession, path, first_key: str, whole_files: bool) -> DataFrame:
-    """``(file, json)``: the top-level objects of files that hold objects back to back.
-
-    Every object starts with the same key, so ``}{"key"`` can only stand between two objects: inside
-    a string the quote would be escaped. It serves as the record separator, which keeps large files
-    splittable. ``whole_files`` also accepts white space between objects, at one task per file.
+CORRUPT, REASON = "_corrupt_record", "_reason"
+SEPARATOR = '}{"created_at"'  # inside a string the quotes would be escaped, so it only stands between two objects
+BOUNDARY = re.compile(r"\}\s*(?=\{)")
+
+
+def root_objects(text: str) -> Iterator[tuple[str, str | None]]:
+    """``(object, None)`` for every JSON object that stands in a stretch of text, touching or with white space
+    between, and ``(text, reason)`` for all else, so nothing is lost. The last object may lack its closing
+    brace, which a record separator has taken. After an error the next object at a boundary is looked for."""
+    decode, n = json.JSONDecoder(strict=False).raw_decode, len(text)
+    closed, at = text + "}", 0
+    while True:
+        while at < n and (text[at].isspace() or text[at] == "\ufeff"):
+            at += 1
+        if at >= n:
+            return
+        try:
+            value, end = decode(closed, at)
+            if isinstance(value, dict):
+                yield closed[at:end], None
+            else:
+                yield text[at:end], "text outside an object"
+        except (ValueError, RecursionError):
+            found = BOUNDARY.search(text, at + 1)
+            end = found.end() if found else n
+            yield text[at:end], "not a JSON object" if text[at] == "{" else "text outside an object"
+        at = end
+
+
+def _objects(spark: SparkSession, path, separator: str, whole_files: bool) -> DataFrame:
+    """``(file, json, reason)``: the top-level objects of files, and whatever else stands in them.
+
+    The separator parts records at the brace before it and keeps large files splittable; what it leaves
+    together is parted by ``root_objects``. ``whole_files`` reads each file as one record.
     """
-    head = f'{{"{first_key}"'
     if whole_files:
-        lines = spark.read.text(path, wholetext=True)
-        parts = F.split("value", r"(?<=\})\s*(?=\{\"" + first_key + r"\")")
-        return lines.select(F.col("_metadata.file_path").alias("file"), F.explode(parts).alias("json"))
-    lines = spark.read.option("lineSep", "}" + head).text(path)
-    value = F.col("value")
-    opened = F.when(F.startswith(value, F.lit("{")), value).otherwise(F.concat(F.lit(head), value))
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"), F.concat(opened, F.lit("}")).alias("json")
-    )
+        records = spark.read.text(path, wholetext=True)
+        opened = F.col("value")
+    else:
+        records = spark.read.option("lineSep", separator).text(path)
+        start = separator[separator.index("{") :]
+        value = F.col("value")
+        opened = F.when(value.rlike(r"^[\s\x{FEFF}]*\{"), value).otherwise(F.concat(F.lit(start), value))
+
+    def run(batches):
+        for batch in batches:
+            files, parts, reasons = [], [], []
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part, reason in root_objects(text):
+                    files.append(file)
+                    parts.append(part)
+                    reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (files, parts, reasons)], names=["file", "json", "reason"])
+
+    source = records.select(F.col("_metadata.file_path").alias("file"), opened.alias("value"))
+    return source.mapInArrow(run, "file string, json string, reason string")
 
 
 def scan_concat_json(
-    spark: SparkSession, path, schema: str = POST_SCHEMA, first_key: str = "created_at", whole_files: bool = False
+    spark: SparkSession, path, schema: str = POST_SCHEMA, separator: str = SEPARATOR, whole_files: bool = False
 ) -> DataFrame:
-    """Parsed posts plus ``file`` and, for objects that do not parse, their text in ``_corrupt_record``."""
-    objects = _objects(spark, path, first_key, whole_files)
+    """Parsed posts plus ``file`` and, for what does not parse, its text in ``_corrupt_record`` and ``_reason``.
+
+    Objects may touch or have white space between them, in any mix and with any order of keys; every object gives
+    one row. The separator decides only where large files can be split, here between touching objects with the usual
+    first key; a file without it is read by one task. It must end with a quoted key (``'}\\n{"id"'`` for lines).
+    """
+    objects = _objects(spark, path, separator, whole_files)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = objects.withColumn("post", F.from_json("json", f"{schema}, {CORRUPT} string", options))
-    return parsed.select("file", "post.*")
+    fields = [f for f in parsed.schema["post"].dataType.names if f != CORRUPT]
+    fault = F.when(F.col("reason").isNotNull(), F.col("json")).otherwise(F.col(f"post.{CORRUPT}"))
+    reason = F.coalesce("reason", F.when(F.col(f"post.{CORRUPT}").isNotNull(), F.lit("does not fit the schema")))
+    sound = F.when(F.col("reason").isNull(), F.col("post"))
+    return parsed.select("file", *[sound[f].alias(f) for f in fields], fault.alias(CORRUPT), reason.alias(REASON))
 
 
 def split_rejects(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and ``(file, reason, content)`` for the others; one bad object spoils no neighbour."""
-    good = posts.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good = posts.where(F.col(CORRUPT).isNull()).drop(CORRUPT, REASON)
     bad = posts.where(F.col(CORRUPT).isNotNull())
-    return good, bad.select("file", F.lit("not a JSON object").alias("reason"), F.col(CORRUPT).alias("content"))
+    return good, bad.select("file", F.col(REASON).alias("reason"), F.col(CORRUPT).alias("content"))
 
 
 def drop_retweets(posts: DataFrame) -> DataFrame:

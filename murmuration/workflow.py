@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.text import preprocess
 from murmuration.operators import coherence, inference, lda, sampling, tensor_lda, timechunks, topics, vocab
+from murmuration.session import cut_lineage
 from murmuration.sources import posts, sinks
 
 Tokenizer = Callable[[Column], Column]
@@ -17,7 +18,8 @@ Tokenizer = Callable[[Column], Column]
 
 def clean_archive(spark: SparkSession, raw, out: str, whole_files: bool = False) -> DataFrame:
     """Read raw post files, write clean posts by day and the rejects beside them; returns the clean table."""
-    good, bad = posts.split_rejects(posts.scan_concat_json(spark, raw, whole_files=whole_files))
+    parsed = cut_lineage(posts.scan_concat_json(spark, raw, whole_files=whole_files), "parsed")  # parsed once, read twice
+    good, bad = posts.split_rejects(parsed)
     sinks.write_clean(posts.clean_posts(good), out)
     bad.write.mode("overwrite").parquet(f"{out}/rejects")
     return spark.read.parquet(f"{out}/data").drop("day")
@@ -30,10 +32,16 @@ def weekly_archive(clean: DataFrame, out: str, ts: str = "created_at", days: int
 
 
 def load_posts(
-    spark: SparkSession, raw, fraction: float = 1.0, tokenizer: Tokenizer | None = preprocess, seed: int = 0
+    spark: SparkSession, raw, fraction: float = 1.0, tokenizer: Tokenizer | None = preprocess, seed: int = 0, rejects: str | None = None
 ) -> DataFrame:
-    """English original posts of raw files, an exact share of every file, tokenised when a tokeniser is given."""
-    good, _ = posts.split_rejects(posts.scan_concat_json(spark, raw))
+    """English original posts of raw files, an exact share of every file, tokenised when a tokeniser is given.
+    What cannot be read is written to the folder ``rejects``; without one it is an error."""
+    parsed = cut_lineage(posts.scan_concat_json(spark, raw), "parsed")
+    good, bad = posts.split_rejects(parsed)
+    if rejects is not None:
+        bad.write.mode("overwrite").parquet(rejects)
+    elif not bad.isEmpty():
+        raise ValueError("some of the input cannot be read; name a folder for rejects")
     clean = posts.clean_posts(good)
     if fraction < 1.0:
         clean = sampling.sample_per_group(clean, "doc_id", "source", fraction, seed)

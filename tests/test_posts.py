@@ -75,6 +75,47 @@ def test_truncated_file_is_quarantined(spark, folder, whole_files):
     assert reject.file.endswith("x-y-A-2020-04-25-1.json") and '"id":12' in reject.content
 
 
+MIXED = [
+    ROWS[0] + ROWS[1] + "\n" + ROWS[2] + " \n " + ROWS[3],
+    ROWS[4] + json.dumps({"id": 6, "lang": "en", "text": "another first key"}) + ROWS[6],
+    "\n".join(ROWS[7:]) + "\n",
+]
+
+
+@pytest.mark.parametrize("whole_files", [False, True])
+def test_any_layout_and_key_order(spark, tmp_path, whole_files):
+    for i, text in enumerate(MIXED):
+        (tmp_path / f"{i}.json").write_text(text)
+    good, bad = posts.split_rejects(posts.scan_concat_json(spark, str(tmp_path), whole_files=whole_files))
+    assert sorted(r.id for r in good.collect()) == sorted(ALL_IDS) and bad.isEmpty()
+
+
+@pytest.mark.parametrize("whole_files", [False, True])
+def test_every_object_is_a_row_or_a_reject(spark, tmp_path, whole_files):
+    broken = ROWS[2].replace('"lang":"en"', '"lang":en')
+    texts = [
+        ROWS[0] + broken + ROWS[1],
+        ROWS[0] + "\n" + broken + "\n" + ROWS[1] + " trailing words",
+        ROWS[3] + ROWS[5] + ROWS[4][:-12],
+        ROWS[6] + "[1, 2]",
+        json.dumps({"id": "no number", "created_at": 5}) + ROWS[7],
+    ]
+    expected = [(2, 1), (2, 2), (2, 1), (1, 1), (1, 1)]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+    good, bad = posts.split_rejects(posts.scan_concat_json(spark, str(tmp_path), whole_files=whole_files))
+    name = F.regexp_extract("file", r"(\d)\.json", 1).cast("int").alias("i")
+    counts = [{r.i: r["count"] for r in rows.groupBy(name).count().collect()} for rows in (good, bad)]
+    assert [(counts[0].get(i, 0), counts[1].get(i, 0)) for i in range(len(texts))] == expected
+    assert any("trailing words" in r.content for r in bad.collect())
+
+
+def test_lines_are_split_by_their_separator(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(ROWS))
+    good, bad = posts.split_rejects(posts.scan_concat_json(spark, str(tmp_path), separator='}\n{"created_at"'))
+    assert {r.id for r in good.collect()} == ALL_IDS and bad.isEmpty()
+
+
 def test_clean_posts(spark, folder):
     rows = posts.clean_posts(posts.scan_concat_json(spark, str(folder))).collect()
     assert {r.doc_id for r in rows} == ALL_IDS - {5, 7}
