@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.skew import global_rank
 
-# Bin edges of the occurrence histogram; the last bin is closed.
+# Bin edges of the occurrence histogram; the last of them is closed, above it lies an open bin.
 OCCURRENCE_BINS = (0, 1.5, 10, 100, 1000, 10000)
 
 
@@ -45,7 +45,8 @@ def vocab_growth(docs: DataFrame, fractions: list[float], id_col: str = "doc_id"
 
 
 def occurrence_hist(stats: DataFrame, bins=OCCURRENCE_BINS, value: str = "cf") -> DataFrame:
-    """Histogram of term occurrences: ``(bin, low, high, n_terms)``, empty bins included."""
+    """Histogram of term occurrences: ``(bin, low, high, n_terms)``, empty bins included. Terms above the last
+    edge are in one more bin, without ``high``."""
     column = F.col(value)
     rows = [(i, float(bins[i]), float(bins[i + 1])) for i in range(len(bins) - 1)]
     choice = reduce(
@@ -53,8 +54,9 @@ def occurrence_hist(stats: DataFrame, bins=OCCURRENCE_BINS, value: str = "cf") -
             (column >= r[1]) & ((column < r[2]) | ((column == r[2]) & F.lit(r[0] == len(rows) - 1))), r[0]
         ).otherwise(other),
         rows,
-        F.lit(None),
+        F.when(column > rows[-1][2], len(rows)),
     )
+    rows.append((len(rows), float(bins[-1]), None))
     counted = stats.groupBy(choice.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_terms"))
     frame = stats.sparkSession.createDataFrame(rows, "bin int, low double, high double")
     return frame.join(counted, "bin", "left").select(

@@ -207,7 +207,8 @@ class Whitening:
 
 def _fit(matrix, mean, k: int, centred: bool) -> Whitening:
     values, vectors = top_eigen(matrix, len(mean))
-    if k > len(values) or values[k - 1] <= 0:
+    # what rounding leaves of a zero eigenvalue is no axis
+    if k > len(values) or values[k - 1] <= values[0] * len(mean) * np.finfo(float).eps:
         raise ValueError(f"the second moment has fewer than {k} positive eigenvalues")
     return Whitening(mean, vectors[:, :k], values[:k], centred, values)
 
@@ -261,41 +262,41 @@ def explained_variance(spark, whitening: Whitening) -> DataFrame:
     return table.select("component", (F.col("v") / total).alias("ratio"), (running / total).alias("cumulative"))
 
 
-def assign_batches(rows: DataFrame, n: int, batch_size: int, max_batches: int = 512) -> DataFrame:
-    """``batch_id`` by position in id order. The last batch may be short and is kept. At most
-    ``max_batches`` batches are made, by raising the size, because each leaves a tensor on the driver."""
+def assign_batches(rows: DataFrame, n: int, batch_size: int) -> DataFrame:
+    """``batch_id`` by position in id order, as many batches as the size asks for. The last may be short and is
+    kept. The driver holds one id a batch."""
     if n == 0:
         raise ValueError("no documents, so no batch")
-    size = max(batch_size, -(-n // max_batches))
-    if n <= size:
+    if n <= batch_size:
         return rows.withColumn("batch_id", F.lit(0))
     # only ids are ranked; the first id of each batch then places the rows without moving them
     ranked = global_rank(rows.select("doc_id"), "doc_id", "_rank")
-    firsts = [r["doc_id"] for r in ranked.where((F.col("_rank") > 1) & ((F.col("_rank") - 1) % size == 0)).collect()]
-    placed = by_bounds(rows.withColumn("_key", F.col("doc_id").cast("double")), "_key", firsts, "_batch")
-    return placed.withColumn("batch_id", F.col("_batch").cast("int")).drop("_key", "_batch")
+    firsts = [r["doc_id"] for r in ranked.where((F.col("_rank") > 1) & ((F.col("_rank") - 1) % batch_size == 0)).collect()]
+    return by_bounds(rows, "doc_id", firsts, "batch_id")
 
 
 def third_moment(whitened: DataFrame, k: int, keys: str = "batch_id") -> DataFrame:
-    """``(key, n, t)`` with the unique entries of sum y x y x y per key; one small row per key and task."""
+    """``(key, n, t)`` with the unique entries of sum y x y x y per key. A task's rows come sorted by key, so it
+    holds one sum at a time and gives out one row per key it meets."""
     index = triples(k)
 
     def partial(frames):
-        sums = {}
+        current, total, count = None, 0.0, 0
         for pdf in frames:
             labels = pdf["key"].to_numpy()
             rows = np.stack(pdf["y"].to_numpy()) if len(pdf) else np.zeros((0, k))
             for label in pd.unique(labels):
+                if count and label != current:
+                    yield pd.DataFrame({"key": [current], "v": [np.append(total, count)]})
+                    total, count = 0.0, 0
                 chosen = rows[labels == label]
-                total = sum(cube_sum(chosen[s : s + 4096])[index] for s in range(0, len(chosen), 4096))
-                old, count = sums.get(label, (0.0, 0))
-                sums[label] = (old + total, count + len(chosen))
-        if sums:
-            packed = [np.append(t, c) for t, c in sums.values()]
-            yield pd.DataFrame({"key": list(sums), "v": packed})
+                total = total + sum(cube_sum(chosen[s : s + 4096])[index] for s in range(0, len(chosen), 4096))
+                current, count = label, count + len(chosen)
+        if count:
+            yield pd.DataFrame({"key": [current], "v": [np.append(total, count)]})
 
     label = whitened.schema[keys].dataType.simpleString()
-    source = whitened.select(F.col(keys).alias("key"), "y")
+    source = whitened.select(F.col(keys).alias("key"), "y").sortWithinPartitions("key")
     partials = source.mapInPandas(partial, f"key {label}, v array<double>")
     totals = add_up(partials, ["key"])
     size = len(index[0])

@@ -17,7 +17,7 @@ def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 0)
     return exact_sample(df, id_col, seed, fraction=fraction)
 
 
-def sample_cap(df: DataFrame, id_col: str, cap: int = 1_000_000, seed: int = 0) -> DataFrame:
+def sample_cap(df: DataFrame, id_col: str, cap: int, seed: int = 0) -> DataFrame:
     """All rows when there are at most ``cap``, otherwise exactly ``cap`` of them."""
     return exact_sample(df, id_col, seed, size=cap)
 

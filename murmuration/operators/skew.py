@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from murmuration.session import cut_lineage
 
@@ -103,18 +108,30 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly ``floor(n * fraction)`` or ``size`` rows, overall or of every group, without replacement."""
     order = hash_order(id_col, seed)
-    cuts = cut_lineage(hash_threshold(df, order, by, fraction, size), "sample-cuts")
     if by is None:
+        cuts = cut_lineage(hash_threshold(df, order, None, fraction, size), "sample-cuts")
         return df.where(order <= cuts.select("_cut").scalar())
-    return skew_join(df, cuts, by, "_rows", id_col).where(order <= F.col("_cut")).drop("_rows", "_cut")
+    # null is a group like any other, so it is named by a value that joins
+    named = df.withColumn("_group", F.when(F.col(by).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(by).cast("string"))))
+    cuts = cut_lineage(hash_threshold(named, order, "_group", fraction, size), "sample-cuts")
+    return skew_join(named, cuts, "_group", "_rows", id_col).where(order <= F.col("_cut")).select(*df.columns)
+
+
+def by_bounds(df: DataFrame, key: str, bounds: list, piece: str) -> DataFrame:
+    """Number the pieces that literal bounds cut a numeric column into: how many bounds a value reaches, found by
+    binary search. Whole numbers are compared as such, whatever their size; null is in the first piece."""
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    cuts = sorted({min(max(math.ceil(b), -(1 << 63)), (1 << 63) - 1) if whole else float(b) for b in bounds})
+    if not cuts:
+        return df.withColumn(piece, F.lit(0))
+    edges, kind = np.array(cuts, np.int64 if whole else np.float64), pa.int64() if whole else pa.float64()
 
+    @F.arrow_udf("int")
+    def place(values: pa.Array) -> pa.Array:
+        found = np.searchsorted(edges, pc.fill_null(values.cast(kind), 0).to_numpy(), "right")
+        return pa.array(np.where(values.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32))
 
-def by_bounds(df: DataFrame, key: str, bounds: list[float], piece: str) -> DataFrame:
-    """Number the pieces that literal bounds cut a numeric column into; a binary search per row."""
-    splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
-    if len(splits) == 2:
-        return df.withColumn(piece, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=key, outputCol=piece).transform(df)
+    return df.withColumn(piece, place(key))
 
 
 def global_rank(df: DataFrame, key: str, rank: str = "rank", rows_per_task: int = 2_000_000) -> DataFrame:
@@ -131,7 +148,7 @@ def global_rank(df: DataFrame, key: str, rank: str = "rank", rows_per_task: int
     pieces = min(4096, -(-n // rows_per_task))
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     cuts = keyed.approxQuantile("_key", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    placed = by_bounds(keyed, "_key", cuts, "_piece")
+    placed = by_bounds(keyed, key, cuts, "_piece")
     offsets = (
         placed.groupBy("_piece")
         .count()

@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.functions.numeric import triples, unpack_symmetric
 from murmuration.operators import moments as M
-from murmuration.session import cut_lineage
+from murmuration.session import cut_lineage, scratch_path
 
-MAX_TENSOR_RANK = 150  # above this a tensor per batch is too large; gradients come from the data instead
+TENSOR_BYTES = 1 << 29  # larger sets of batch tensors stay out of the driver; each step then sums over its batch's rows
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def cumulant_gradient(phi: np.ndarray, mean_tensor: np.ndarray, alpha0: float =
 
 
 def descend(phi: np.ndarray, tensors: np.ndarray, params: TopicParams, first_epoch: int = 1) -> np.ndarray:
-    """Epochs of minibatch steps on the driver, over at most 512 tensors of k^3 numbers."""
+    """Epochs of minibatch steps on the driver, over tensors of at most ``TENSOR_BYTES``."""
     phi = phi.copy()
     for epoch in range(first_epoch, params.n_iter):
         rate = step_size(params, epoch)
@@ -76,27 +77,52 @@ def descend(phi: np.ndarray, tensors: np.ndarray, params: TopicParams, first_epo
     return phi
 
 
-def descend_on_data(phi: np.ndarray, whitened: DataFrame, params: TopicParams, n: int) -> np.ndarray:
-    """Full-batch steps with one small aggregation per epoch, for ranks too large for tensors."""
+@dataclass
+class WrittenBatches:
+    """Whitened rows in the shared folder, one part per minibatch, with each batch's number of rows."""
+
+    path: str
+    counts: list[int]
+
+    @staticmethod
+    def of(vectors: DataFrame, whitening: M.Whitening, n: int, batch_size: int) -> WrittenBatches:
+        if n == 0:
+            raise ValueError("no documents, so no batch")
+        spark = vectors.sparkSession
+        path = scratch_path(spark, "batches")
+        batched = M.assign_batches(vectors, n, batch_size)
+        M.whiten_transform(batched, whitening, ["batch_id"]).write.partitionBy("batch_id").parquet(path)
+        counted = spark.read.parquet(path).groupBy("batch_id").count().orderBy("batch_id").collect()
+        return WrittenBatches(path, [r["count"] for r in counted])
+
+    def rows(self, spark, batch: int) -> DataFrame:
+        return spark.read.schema("y array<double>").parquet(f"{self.path}/batch_id={batch}")
+
+
+def descend_on_data(phi: np.ndarray, spark, batches: WrittenBatches, params: TopicParams) -> np.ndarray:
+    """The steps of ``descend`` without tensors: one small sum over the rows of its batch for each."""
     phi = phi.copy()
-    spark = whitened.sparkSession
     for epoch in range(1, params.n_iter):
-        shared = spark.sparkContext.broadcast(phi)
-
-        def partial(frames, shared=shared):
-            total = 0.0
-            for pdf in frames:
-                rows = np.stack(pdf["y"].to_numpy())
-                total = total + rows.T @ (rows @ shared.value) ** 2
-            if not np.isscalar(total):
-                yield pd.DataFrame({"i": range(len(total)), "v": list(total)})
-
-        sums = M.add_up(M.one_pass_per_core(whitened.select("y")).mapInPandas(partial, "i int, v array<double>"), ["i"])
-        push = np.array([r["v"] for r in sorted(sums.collect(), key=lambda r: r["i"])]) / n
-        pull = 3 * (1 + params.theta) * phi @ ((phi.T @ phi) ** 2)
-        gradient = pull - 3 * (1 + params.alpha0) * (2 + params.alpha0) / 2 * push
-        phi -= step_size(params, epoch) * gradient
-        shared.unpersist()
+        rate = step_size(params, epoch)
+        for batch, n in enumerate(batches.counts):
+            shared = spark.sparkContext.broadcast(phi)
+
+            def partial(frames, shared=shared):
+                total = 0.0
+                for pdf in frames:
+                    rows = np.stack(pdf["y"].to_numpy())
+                    total = total + rows.T @ (rows @ shared.value) ** 2
+                if not np.isscalar(total):
+                    yield pd.DataFrame({"i": range(len(total)), "v": list(total)})
+
+            sums = M.add_up(batches.rows(spark, batch).mapInPandas(partial, "i int, v array<double>"), ["i"])
+            push = np.array([r["v"] for r in sorted(sums.collect(), key=lambda r: r["i"])]) / n
+            with np.errstate(over="ignore", invalid="ignore"):
+                pull = 3 * (1 + params.theta) * phi @ ((phi.T @ phi) ** 2)
+                phi = phi - rate * (pull - 3 * (1 + params.alpha0) * (2 + params.alpha0) / 2 * push)
+            shared.unpersist()
+            if not np.isfinite(phi).all():
+                raise FloatingPointError("the descent left the finite range; use a smaller learning rate")
     return phi
 
 
@@ -152,6 +178,7 @@ class TopicModel:
     factors: np.ndarray
     tensors: np.ndarray = None
     counts: np.ndarray = None
+    batches: WrittenBatches = None
 
     def unwhitened(self) -> np.ndarray:
         """Topic directions in word space, V x topics."""
@@ -166,12 +193,16 @@ class TopicModel:
 
     def cumulant(self) -> np.ndarray:
         """The scaled third moment over all documents."""
+        if self.tensors is None:
+            raise ValueError("this model keeps no tensors; use cumulant_of_data")
         a = self.params.alpha0
         return (a + 1) * (a + 2) / 2 * np.average(self.tensors, axis=0, weights=self.counts)
 
     def partial_fit(self, tensors: np.ndarray, counts: np.ndarray, n_iter: int | None = None) -> "TopicModel":
         """Continue from the present factors with the tensors of further batches."""
         params = self.params if n_iter is None else replace(self.params, n_iter=n_iter)
+        if self.tensors is None:
+            raise ValueError("this model keeps no tensors; use partial_fit_on_data")
         phi = descend(self.factors, tensors, params)
         return TopicModel(
             self.params,
@@ -182,6 +213,14 @@ class TopicModel:
         )
 
 
+    def partial_fit_on_data(self, vectors: DataFrame, n: int, n_iter: int | None = None) -> TopicModel:
+        """Continue from the present factors with further documents, whatever the rank."""
+        params = self.params if n_iter is None else replace(self.params, n_iter=n_iter)
+        batches = WrittenBatches.of(vectors, self.whitening, n, params.batch_size)
+        phi = descend_on_data(self.factors, vectors.sparkSession, batches, params)
+        return TopicModel(self.params, self.whitening, phi, self.tensors, self.counts, batches)
+
+
 def topic_frame(spark, table: np.ndarray, vocabulary: DataFrame | None = None) -> DataFrame:
     """A V x topics table in long form; model-sized, one row per term before the split by topic."""
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(table)]
@@ -193,26 +232,33 @@ def topic_frame(spark, table: np.ndarray, vocabulary: DataFrame | None = None) -
     return frame.select("topic", "term_id", "weight", *(["term"] if vocabulary is not None else []))
 
 
+def fits_driver(k: int, n: int, batch_size: int) -> bool:
+    return k**3 * 8 * -(-n // batch_size) <= TENSOR_BYTES
+
+
 def batch_tensors(vectors: DataFrame, whitening: M.Whitening, n: int, batch_size: int):
-    """The single data pass: whiten, then one mean tensor per minibatch."""
+    """The single data pass: whiten, then one mean tensor per minibatch. A batch's documents meet first, so that
+    a task makes whole tensors, one after the other."""
     if n == 0:
         raise ValueError("no documents, so no batch")
-    if whitening.k > MAX_TENSOR_RANK:
-        raise ValueError(f"tensors are kept up to rank {MAX_TENSOR_RANK}; use descend_on_data")
+    if not fits_driver(whitening.k, n, batch_size):
+        raise ValueError("too many tensors for the driver; use WrittenBatches and descend_on_data")
     batched = M.assign_batches(vectors, n, batch_size)
+    batched = batched.repartition("batch_id") if n > batch_size else batched
     whitened = M.whiten_transform(batched, whitening, ["batch_id"])
     _, counts, tensors = M.collect_tensors(M.third_moment(whitened, whitening.k), whitening.k)
     return tensors, counts
 
 
 def fit(vectors: DataFrame, width: int, params: TopicParams) -> TopicModel:
-    """Two passes over the documents: second moment, then per-batch third moments."""
+    """Two passes over the documents: second moment, then per-batch third moments. Where these would not fit the
+    driver the same steps are taken on whitened rows that are written once."""
     state = M.Moments.of(vectors, width)
     whitening = M.whiten_fit(state, params.n_topics, params.alpha0)
-    if params.n_topics > MAX_TENSOR_RANK:
-        whitened = M.whiten_transform(vectors, whitening)
-        phi = descend_on_data(initial_factors(params), whitened, params, int(state.n))
-        return TopicModel(params, whitening, phi)
+    if not fits_driver(params.n_topics, int(state.n), params.batch_size):
+        batches = WrittenBatches.of(vectors, whitening, int(state.n), params.batch_size)
+        phi = descend_on_data(initial_factors(params), vectors.sparkSession, batches, params)
+        return TopicModel(params, whitening, phi, batches=batches)
     tensors, counts = batch_tensors(vectors, whitening, int(state.n), params.batch_size)
     return TopicModel(params, whitening, descend(initial_factors(params), tensors, params), tensors, counts)
 
@@ -226,6 +272,10 @@ def fit_exact(vectors: DataFrame, width: int, n_topics: int, alpha0: float, seed
     return weights, whitening.backward @ factors, tensor, whitening, factors
 
 
+def pack_symmetric(tensor: np.ndarray) -> np.ndarray:
+    return tensor[triples(len(tensor))]
+
+
 def save_model(model: TopicModel, spark, path: str) -> None:
     """Settings as JSON text, numbers as Parquet."""
     spark.createDataFrame([(json.dumps(asdict(model.params)),)], "params string").coalesce(1).write.mode(
@@ -240,6 +290,9 @@ def save_model(model: TopicModel, spark, path: str) -> None:
     spark.createDataFrame(factors, "i int, value double, centred boolean, factor array<double>").write.mode(
         "overwrite"
     ).parquet(f"{path}/factors")
+    kept = [] if model.tensors is None else zip(model.counts, model.tensors, strict=True)
+    tensors = [(b, float(n), pack_symmetric(t).tolist()) for b, (n, t) in enumerate(kept)]
+    spark.createDataFrame(tensors, "batch int, n double, t array<double>").write.mode("overwrite").parquet(f"{path}/tensors")
 
 
 def load_model(spark, path: str) -> TopicModel:
@@ -252,24 +305,28 @@ def load_model(spark, path: str) -> TopicModel:
         np.array([r["value"] for r in factors]),
         factors[0]["centred"],
     )
-    return TopicModel(params, whitening, np.array([r["factor"] for r in factors]))
+    kept = sorted(spark.read.parquet(f"{path}/tensors").collect(), key=lambda r: r["batch"])
+    tensors = np.array([unpack_symmetric(np.asarray(r["t"]), whitening.k) for r in kept]) if kept else None
+    counts = np.array([r["n"] for r in kept]) if kept else None
+    return TopicModel(params, whitening, np.array([r["factor"] for r in factors]), tensors, counts)
 
 
-def fit_periods(vectors: DataFrame, period: str, width: int, params: TopicParams, vocabulary: DataFrame) -> DataFrame:
-    """``(period, topic, term_id, term, weight)``: a model per period from two passes over all of them.
+def fit_periods(vectors: DataFrame, period: str, width: int, params: TopicParams, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(period, topic, term_id, term, weight)``: a model per period from two passes over all of them, and
+    ``(period, reason)`` of those that cannot be fitted, as a second table.
 
     Periods are calendar pieces, so few. Their V x V states are written out and solved one after the
-    other. Periods with too few documents for the wanted rank are left out of the result.
+    other. A period is one batch.
     """
     spark = vectors.sparkSession
     sums = cut_lineage(M.gram_rows(vectors, width, period), "period-moments")
-    fitted = {}
+    fitted, rejects = {}, []
     for (name,) in sums.where("i = -2").select("period").orderBy("period").collect():
         rows = sums.where(F.col("period") == F.lit(name)).collect()
         try:
             fitted[name] = M.whiten_fit(M.Moments.from_rows(rows, width)[name], params.n_topics, params.alpha0)
-        except ValueError:
-            continue
+        except ValueError as reason:
+            rejects.append((name, str(reason)))
     shared = spark.sparkContext.broadcast({p: (w.forward, w.mean @ w.forward) for p, w in fitted.items()})
 
     def whiten(frames):
@@ -277,17 +334,22 @@ def fit_periods(vectors: DataFrame, period: str, width: int, params: TopicParams
             for name, part in pdf.groupby("period"):
                 if name in shared.value:
                     forward, offset = shared.value[name]
-                    rows = [c @ forward[i] - offset for i, c in zip(part["ids"], part["cnts"])]
-                    yield pd.DataFrame({"period": name, "y": rows})
+                    for chunk in M._chunks([part]):
+                        yield pd.DataFrame({"period": name, "y": list(M._row_sums(forward, *M._flat(chunk)) - offset)})
 
     source = vectors.select(F.col(period).alias("period"), "ids", "cnts")
     label = source.schema["period"].dataType.simpleString()
     whitened = source.mapInPandas(whiten, f"period {label}, y array<double>")
     names, counts, tensors = M.collect_tensors(M.third_moment(whitened, params.n_topics, "period"), params.n_topics, "period")
-    result = None
+    label = vectors.schema[period].dataType.simpleString()
+    result = topic_frame(spark, np.zeros((0, params.n_topics)), vocabulary).withColumn("period", F.lit(None).cast(label))
     for name, count, tensor in zip(names, counts, tensors):
-        phi = descend(initial_factors(params), tensor[None], params)
+        try:
+            phi = descend(initial_factors(params), tensor[None], params)
+        except FloatingPointError as reason:
+            rejects.append((name, str(reason)))
+            continue
         model = TopicModel(params, fitted[name], phi, tensor[None], np.array([count]))
         part = model.topic_table(spark, vocabulary).withColumn("period", F.lit(name))
-        result = part if result is None else result.unionByName(part)
-    return result
+        result = result.unionByName(part)
+    return result, spark.createDataFrame(rejects, f"period {label}, reason string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.session import cut_lineage
 
 DAY_MICROS = 86_400_000_000
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -43,7 +47,10 @@ def _first_rows(df: DataFrame, ts: str, id_col: str, start: int, n: int):
 def chunk_starts(df: DataFrame, ts: str, id_col: str, days: int = 7) -> list[tuple]:
     """First row ``(microseconds, id)`` of every chunk. A chunk opens at its first row and closes with the first
     row at or after that time plus ``days``, which it still holds; the next row opens the next chunk.
-    One top-2 query per chunk, so the loop is as long as the calendar span and not as the data."""
+    One top-2 query per chunk, so the loop is as long as the calendar span and not as the data. The queries go to
+    a copy of times and ids in order of time, of which each reads a day. Rows without a time are in no chunk."""
+    df = df.select(ts, id_col).where(F.col(ts).isNotNull())
+    df = cut_lineage(df.repartitionByRange(ts).sortWithinPartitions(ts), "times")
     first = df.select(ts, id_col).orderBy(ts, id_col).limit(1).select(_micros(df, ts), id_col).collect()
     starts = []
     current = first[0] if first else None
@@ -55,24 +62,22 @@ def chunk_starts(df: DataFrame, ts: str, id_col: str, days: int = 7) -> list[tup
 
 
 def anchored_weeks(df: DataFrame, ts: str, id_col: str, days: int = 7) -> DataFrame:
-    """Add ``chunk_id`` (0, 1, ...) to every row: the last chunk that opened at or before it."""
+    """Add ``chunk_id`` (0, 1, ...) to every row: the last chunk that opened at or before it; null without a time."""
     starts = chunk_starts(df, ts, id_col, days)
-    spark = df.sparkSession
-    rows = [
-        (i, t, k, *(starts[i + 1] if i + 1 < len(starts) else (None, None))) for i, (t, k) in enumerate(starts)
-    ]
-    chunks = spark.createDataFrame(rows, "chunk_id long, _t long, _k long, _t2 long, _k2 long")
-    chunks = chunks.withColumns({"_t": _time(df, ts, "_t"), "_t2": _time(df, ts, "_t2")})
-    last = df.agg(F.max(ts).alias("last")).scalar()
-    # one row per chunk and calendar day, so the join below is a hash join on the day
-    per_day = chunks.withColumn(
-        "_day", F.explode(F.sequence(F.to_date("_t"), F.to_date(F.coalesce("_t2", last))))
-    )
-    row = F.struct(F.col(ts).alias("t"), F.col(id_col).cast("long").alias("k"))
-    opened = row >= F.struct(F.col("_t").alias("t"), F.col("_k").alias("k"))
-    still = F.col("_t2").isNull() | (row < F.struct(F.col("_t2").alias("t"), F.col("_k2").alias("k")))
-    joined = df.withColumn("_day", F.to_date(ts)).join(F.broadcast(per_day), "_day")
-    return joined.where(opened & still).select(*df.columns, "chunk_id")
+    times, ids = (np.array([s[i] for s in starts], np.int64) for i in (0, 1))
+
+    @F.arrow_udf("long")
+    def chunk(time: pa.Array, row: pa.Array) -> pa.Array:
+        """Chunks open more than ``days`` apart, so the id only decides against one start of the same time."""
+        t = pc.fill_null(time, 0).to_numpy()
+        found = np.searchsorted(times, t, "right") - 1
+        at = np.maximum(found, 0)
+        found = found - ((times[at] == t) & (pc.fill_null(row, 0).to_numpy() < ids[at]))
+        return pa.array(found.astype(np.int64), mask=time.is_null().to_numpy(zero_copy_only=False))
+
+    if not starts:
+        return df.withColumn("chunk_id", F.lit(None).cast("long"))
+    return df.withColumn("chunk_id", chunk(_micros(df, ts), F.col(id_col).cast("long")))
 
 
 def chunk_manifest(chunked: DataFrame, ts: str) -> DataFrame:

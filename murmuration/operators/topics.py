@@ -87,9 +87,9 @@ def term_across_topics(topics: DataFrame, term: str) -> DataFrame:
 
 
 def doc_top_topic(doc_topics: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(doc_id, topic, p, text)``: each document with its strongest topic (ties: the larger topic)."""
+    """``(doc_id, topic, p, text)``: each document with its strongest topic (ties: the larger topic), null if it has none."""
     best = doc_topics.groupBy("doc_id").agg(F.max(F.struct("p", "topic")).alias("b"))
-    return docs.join(best, "doc_id").select("doc_id", F.col("b.topic").alias("topic"), F.col("b.p").alias("p"), "text")
+    return docs.join(best, "doc_id", "left").select("doc_id", F.col("b.topic").alias("topic"), F.col("b.p").alias("p"), "text")
 
 
 def run_similarity(runs: DataFrame, n: int = 10, tolerance: int = 5) -> DataFrame:
@@ -100,9 +100,12 @@ def run_similarity(runs: DataFrame, n: int = 10, tolerance: int = 5) -> DataFram
     b = top.select(F.col("run").alias("run2"), F.col("topic").alias("j"), "term")
     sizes = top.groupBy(F.col("run").alias("run1"), F.col("topic").alias("i")).agg(F.count(F.lit(1)).alias("size"))
     shared = a.join(b, "term").groupBy("run1", "i", "run2", "j").agg(F.count(F.lit(1)).alias("overlap"))
+    # all pairs of topics, with a common word or not; the few topics travel as one value
+    others = sizes.agg(F.collect_list(F.struct(F.col("run1").alias("run2"), F.col("i").alias("j")))).scalar()
+    every = sizes.select("run1", "i", "size", F.explode(others).alias("o")).select("run1", "i", "size", "o.run2", "o.j")
     matched = (
-        shared.join(sizes, ["run1", "i"])
-        .where(F.col("size") - F.col("overlap") <= tolerance)
+        every.join(shared, ["run1", "i", "run2", "j"], "left")
+        .where(F.col("size") - F.coalesce("overlap", F.lit(0)) <= tolerance)
         .groupBy("run1", "run2")
         .agg(F.countDistinct("j").alias("similarity"))
     )
@@ -119,17 +122,22 @@ def runs_converged(runs: DataFrame, n: int = 10, tolerance: int = 5) -> DataFram
 
 
 def whitened_allclose(runs: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """``(run1, run2, max_diff, close)`` over ``(run, doc_id, y)`` rows of the same documents. Each
-    document's runs are compared side by side in one pass; only run pairs leave it."""
+    """``(run1, run2, max_diff, close)`` over ``(run, doc_id, y)`` rows. Each document's runs are compared side by
+    side in one pass; only run pairs leave it. Runs that do not hold the same documents are not close."""
     per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("run", "y")).alias("runs"))
     left = per_doc.select("runs", F.explode("runs").alias("a"))
     both = left.select("a", F.explode("runs").alias("b"))
     gap = F.array_max(F.zip_with("a.y", "b.y", lambda p, q: F.abs(p - q)))
-    return (
-        both.groupBy(F.col("a.run").alias("run1"), F.col("b.run").alias("run2"))
-        .agg(F.max(gap).alias("max_diff"))
-        .withColumn("close", F.col("max_diff") <= tolerance)
+    pairs = both.groupBy(F.col("a.run").alias("run1"), F.col("b.run").alias("run2")).agg(
+        F.max(gap).alias("max_diff"), F.count(F.lit(1)).alias("n")
     )
+    # a run meets itself once for each of its documents
+    own = {side: pairs.where("run1 = run2").select(F.col("run1").alias(side), F.col("n").alias(f"n_{side}")) for side in ("run1", "run2")}
+    names = runs.agg(F.collect_set("run")).scalar()
+    every = runs.select(F.col("run").alias("run1")).distinct().select("run1", F.explode(names).alias("run2"))
+    counted = every.join(pairs, ["run1", "run2"], "left").join(own["run1"], "run1").join(own["run2"], "run2")
+    same = (F.col("n") == F.col("n_run1")) & (F.col("n") == F.col("n_run2"))
+    return counted.select("run1", "run2", "max_diff", F.coalesce(same & (F.col("max_diff") <= tolerance), F.lit(False)).alias("close"))
 
 
 def sentiment_blocks(bow: DataFrame, vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -64,36 +64,34 @@ def build_vocab(
     docs: DataFrame,
     min_df: int = 1,
     max_df: float = 1.0,
-    max_features: int = 6000,
+    max_features: int | None = None,
     tokens: str = "tokens",
 ) -> DataFrame:
     """``(term_id, term, df, cf)``: drop terms in more than a share ``max_df`` or fewer than ``min_df``
-    documents, keep the ``max_features`` most frequent (ties by term), number them alphabetically."""
-    if max_features > MAX_VOCABULARY:
+    documents, keep the ``max_features`` most frequent if that is given (ties by term), number them alphabetically."""
+    if max_features is not None and max_features > MAX_VOCABULARY:
         raise ValueError(f"max_features must be at most {MAX_VOCABULARY}")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = (
         term_stats(docs, tokens)
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs.scalar()))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
     )
+    kept = kept if max_features is None else kept.orderBy(F.desc("cf"), "term").limit(max_features)
     return with_term_ids(kept).select("term_id", "term", "df", "cf")
 
 
 def filter_extremes(
-    docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep_n: int = 100_000, tokens: str = "tokens"
+    docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep_n: int | None = None, tokens: str = "tokens"
 ) -> DataFrame:
     """The other dictionary rule: same limits, but the survivors are ranked by document frequency."""
-    if keep_n > MAX_VOCABULARY:
+    if keep_n is not None and keep_n > MAX_VOCABULARY:
         raise ValueError(f"keep_n must be at most {MAX_VOCABULARY}")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = (
         term_stats(docs, tokens)
         .where((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above) * n_docs.scalar()))
-        .orderBy(F.desc("df"), "term")
-        .limit(keep_n)
     )
+    kept = kept if keep_n is None else kept.orderBy(F.desc("df"), "term").limit(keep_n)
     return with_term_ids(kept).select("term_id", "term", "df", "cf")
 
 

@@ -515,9 +515,9 @@ def per_period_topics(spark, sf_dir):
     docs = docs.join(days, "doc_id")
     terms, words = vocab.pin(vocab.build_vocab(docs, min_df=5, max_df=0.5, max_features=200))
     vectors = vocab.doc_vectors(docs, words, keep=["period"]).persist()
-    return tensor_lda.fit_periods(
-        vectors, "period", len(words), tensor_lda.TopicParams(3, ALPHA0, 500, 15000, 0.0005, init="scaled"), terms
-    )
+    params = tensor_lda.TopicParams(3, ALPHA0, 500, 15000, 0.0005, init="scaled")
+    found, rejects = tensor_lda.fit_periods(vectors, "period", len(words), params, terms)
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
 
 
 # --- streams

@@ -192,7 +192,7 @@ def term_across_topics(spark, sf_dir):
     f"{TOPICS}, score AS (SELECT doc_id, topic, round(sum(cnt * greatest(weight, 0)), 7) AS p FROM counts "
     "JOIN topics USING (term) GROUP BY ALL), best AS (SELECT * FROM score QUALIFY row_number() OVER "
     "(PARTITION BY doc_id ORDER BY p DESC, topic DESC) = 1) "
-    "SELECT doc_id, topic, p, text FROM best JOIN documents USING (doc_id)",
+    "SELECT doc_id, topic, p, text FROM documents LEFT JOIN best USING (doc_id)",
 )
 def doc_top_topic(spark, sf_dir):
     """Documents scored by the words of every topic; each with its strongest topic and its text."""

@@ -194,7 +194,8 @@ EDGES = measure.OCCURRENCE_BINS
     f"{BASE} SELECT CAST(b AS INTEGER) AS bin, CAST(lo AS DOUBLE) AS low, CAST(hi AS DOUBLE) AS high, "
     "(SELECT count(*) FROM stats WHERE cf >= lo AND (cf < hi OR (b = 4 AND cf = hi))) AS n_terms FROM (VALUES "
     + ", ".join(f"({i}, {EDGES[i]}, {EDGES[i + 1]})" for i in range(len(EDGES) - 1))
-    + ") x(b, lo, hi)",
+    + ") x(b, lo, hi) UNION ALL SELECT "
+    + f"{len(EDGES) - 1}, {EDGES[-1]}, NULL, (SELECT count(*) FROM stats WHERE cf > {EDGES[-1]})",
 )
 def occurrence_hist(spark, sf_dir):
     return measure.occurrence_hist(vocab.term_stats(preprocessed(spark, sf_dir)))

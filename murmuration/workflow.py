@@ -76,7 +76,7 @@ def learn_topics(
     vocabulary: DataFrame | None = None,
     min_df: int = 100,
     max_df: float = 0.5,
-    max_features: int = 6000,
+    max_features: int | None = None,
     axis: str = "topic",
     smoothing: float = 1e-6,
     negatives: str = "clip",
@@ -107,7 +107,7 @@ def lda_coherence(
     passes: int = 10,
     min_df: int = 5,
     max_df: float = 0.5,
-    max_features: int = 6000,
+    max_features: int | None = None,
     top: int = 20,
 ) -> DataFrame:
     """``(coherence)`` of a classical model with ``k`` topics; measures: umass, uci, npmi, cv."""

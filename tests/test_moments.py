@@ -128,13 +128,46 @@ def test_descent_on_data_equals_one_tensor(spark, corpus):
     params = tensor_lda.TopicParams(K, ALPHA0, 5, N, 0.001, init="scaled")
     tensors, _ = tensor_lda.batch_tensors(vectors, fitted, N, N)
     start = tensor_lda.initial_factors(params)
-    got = tensor_lda.descend_on_data(start, moments.whiten_transform(vectors, fitted), params, N)
+    got = tensor_lda.descend_on_data(start, spark, tensor_lda.WrittenBatches.of(vectors, fitted, N, N), params)
     assert np.allclose(got, tensor_lda.descend(start, tensors, params), rtol=1e-9)
 
 
-def test_batch_count_is_bounded(spark, corpus):
-    rows = moments.assign_batches(corpus[2], N, 1, max_batches=8)
-    assert rows.select("batch_id").distinct().count() == 8
+def test_minibatches_without_tensors(spark, corpus, monkeypatch):
+    """The same steps whether the tensors fit the driver or not."""
+    vectors = corpus[2]
+    params = tensor_lda.TopicParams(K, ALPHA0, 3, 400, 0.001, init="scaled")
+    plain = tensor_lda.fit(vectors, V, params)
+    monkeypatch.setattr(tensor_lda, "TENSOR_BYTES", 0)
+    other = tensor_lda.fit(vectors, V, params)
+    assert other.tensors is None and len(other.batches.counts) == len(plain.counts)
+    assert np.allclose(other.factors, plain.factors, rtol=1e-9)
+    with pytest.raises(ValueError):
+        other.cumulant()
+    with pytest.raises(FloatingPointError):
+        tensor_lda.descend_on_data(other.factors, spark, other.batches, tensor_lda.TopicParams(K, ALPHA0, 20, 400, 1e6))
+
+
+def test_reloaded_model_goes_on(spark, corpus, tmp_path):
+    vectors = corpus[2]
+    model = tensor_lda.fit(vectors, V, tensor_lda.TopicParams(K, ALPHA0, 3, 400, 0.001, init="scaled"))
+    tensor_lda.save_model(model, spark, str(tmp_path / "m"))
+    back = tensor_lda.load_model(spark, str(tmp_path / "m"))
+    more = (model.tensors[:2], model.counts[:2])
+    assert np.allclose(back.cumulant(), model.cumulant())
+    assert np.allclose(back.partial_fit(*more).factors, model.partial_fit(*more).factors)
+    assert len(back.partial_fit(*more).tensors) == len(model.tensors) + 2
+
+
+def test_batches_of_long_ids(spark, corpus):
+    shifted = corpus[2].withColumn("doc_id", F.col("doc_id") + F.lit(1_250_000_000_000_000_000))
+    sizes = moments.assign_batches(shifted, N, 100).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in sizes) == sorted([100] * (N // 100) + [N % 100] * (N % 100 > 0))
+
+
+def test_as_many_batches_as_asked(spark, corpus):
+    some = corpus[2].orderBy("doc_id").limit(600)
+    rows = moments.assign_batches(some, 600, 1)
+    assert rows.select("batch_id").distinct().count() == 600
     with pytest.raises(ValueError):
         moments.assign_batches(corpus[2], 0, 10)
 
@@ -305,6 +338,15 @@ def test_whitened_tolerance(spark):
     frame_ = spark.createDataFrame(rows, "run string, doc_id long, y array<double>")
     close = {(r.run1, r.run2): r.close for r in topics.whitened_allclose(frame_).collect()}
     assert close[("a", "b")] and not close[("a", "c")] and close[("c", "c")]
+    less = frame_.where("run != 'b' OR doc_id > 0").unionByName(frame_.where("run = 'a'").withColumns({"run": F.lit("d"), "doc_id": F.col("doc_id") + 9}))
+    close = {(r.run1, r.run2): r.close for r in topics.whitened_allclose(less).collect()}
+    assert not close[("a", "b")] and close[("b", "b")] and not close[("a", "d")] and len(close) == 16
+
+
+def test_topics_without_a_common_word_may_match(spark):
+    rows = [(run, 0, f"{run}{i}", float(9 - i)) for run in "ab" for i in range(4)]
+    frame_ = spark.createDataFrame(rows, "run string, topic long, term string, weight double")
+    assert {r.similarity for r in topics.run_similarity(frame_, tolerance=5).collect()} == {1}
 
 
 def test_joint_sentiment(spark):

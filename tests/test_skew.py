@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.operators import sampling
-from murmuration.operators.skew import exact_sample, global_rank, skew_join
+from murmuration.operators.skew import by_bounds, exact_sample, global_rank, skew_join
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +71,15 @@ def test_one_per_group(skewed):
     picks = sampling.one_per_group(skewed, "id", "key", 1)
     assert picks.count() == skewed.select("key").distinct().count()
     assert picks.join(skewed, ["id", "key"]).count() == picks.count()
+
+
+def test_null_is_a_group(spark):
+    rows = spark.range(100).withColumn("key", F.when(F.col("id") % 2 == 0, F.lit("a")))
+    counts = {r.key: r["count"] for r in exact_sample(rows, "id", 1, fraction=0.5, by="key").groupBy("key").count().collect()}
+    assert counts == {"a": 25, None: 25}
+
+
+def test_bounds_of_long_numbers(spark):
+    base = 1_250_000_000_000_000_000
+    placed = by_bounds(spark.range(base, base + 10).union(spark.sql("SELECT CAST(NULL AS BIGINT) AS id")), "id", [base + 3, base + 4], "piece")
+    assert [r.piece for r in placed.orderBy("id").collect()] == [0, 0, 0, 0, 1, 2, 2, 2, 2, 2, 2]

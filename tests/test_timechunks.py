@@ -69,3 +69,12 @@ def test_named_weeks(spark):
         found.setdefault(r.bucket, []).append(r.day)
     assert {k: len(v) for k, v in found.items()} == {"start": 7, "mid": 7, "end": 7}
     assert min(found["mid"]) == (START + timedelta(days=50)).date()
+
+
+def test_rows_without_a_time_stay(spark):
+    rows = [(0, START), (1, None), (2, START + timedelta(days=9)), (3, START + timedelta(days=9))]
+    frame = spark.createDataFrame(rows, "doc_id long, ts timestamp_ntz")
+    got = {r.doc_id: r.chunk_id for r in timechunks.anchored_weeks(frame, "ts", "doc_id").collect()}
+    assert got == {0: 0, 1: None, 2: 0, 3: 1}
+    none = timechunks.anchored_weeks(frame.where("doc_id = 1"), "ts", "doc_id").collect()
+    assert [r.chunk_id for r in none] == [None]

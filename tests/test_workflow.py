@@ -87,6 +87,7 @@ def test_vocabulary_edges(spark):
     pinned, listed = vocab.pin(vocab.build_vocab(docs, min_df=2, max_df=0.5))
     vectors = {r.doc_id: (r.ids, r.cnts) for r in vocab.doc_vectors(docs, listed).collect()}
     assert vectors == {1: ([0], [2.0]), 2: ([0, 1], [1.0, 1.0]), 3: ([1], [1.0]), 4: ([], [])}
+    assert vocab.build_vocab(docs).count() == vocab.filter_extremes(docs, 1, 1.0).count() == 4
     with pytest.raises(ValueError):
         vocab.build_vocab(docs, max_features=10**9)
 
