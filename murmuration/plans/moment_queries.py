@@ -227,52 +227,54 @@ def pca_project(spark, sf_dir):
     return rows.select("doc_id", F.col("y")[0].alias("pc1"), F.col("y")[1].alias("pc2"))
 
 
-# --- third moments and the decomposition, on given rows: the first four embedding values by label
+# --- third moments and the decomposition, on given rows: all embedding values, the label being the batch
 
+WIDTH, LABELS = 64, 10
 CUBE = (
-    "y AS (SELECT vec_id, label, unnest(embedding[1:4])::DOUBLE AS v, generate_subscripts(embedding[1:4], 1) - 1 AS d FROM embeddings), "
-    "t AS (SELECT label, a.d AS i, b.d AS j, c.d AS m, avg(a.v * b.v * c.v) AS v FROM y a JOIN y b USING (vec_id, label) "
-    "JOIN y c USING (vec_id, label) GROUP BY ALL), "
-    "whole AS (SELECT a.d AS i, b.d AS j, c.d AS m, avg(a.v * b.v * c.v) AS v FROM y a JOIN y b USING (vec_id) "
-    "JOIN y c USING (vec_id) GROUP BY ALL), "
-    "phi AS (SELECT d AS i, label AS c, avg(v) AS v FROM y WHERE label < 4 GROUP BY ALL)"
+    "y AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings), "
+    "phi AS (SELECT d AS i, label AS c, avg(v) AS v FROM y GROUP BY ALL)"
+)
+# one third moment for each i <= j <= m, and how many cells of the symmetric tensor it fills
+WHOLE = (
+    "whole AS (SELECT a.d AS i, b.d AS j, c.d AS m, avg(a.v * b.v * c.v) AS v, "
+    "CASE WHEN a.d = b.d AND b.d = c.d THEN 1 WHEN a.d = b.d OR b.d = c.d THEN 3 ELSE 6 END AS cells "
+    "FROM y a JOIN y b ON a.vec_id = b.vec_id AND a.d <= b.d JOIN y c ON a.vec_id = c.vec_id AND b.d <= c.d GROUP BY ALL)"
 )
 
 
 def small_rows(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select(
-        F.col("vec_id").alias("doc_id"), "label", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("y")
-    )
+    return vectors.select(F.col("vec_id").alias("doc_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("y"))
 
 
 def small_factors(rows: DataFrame) -> np.ndarray:
-    """Columns: the mean of each of the first four labels."""
-    means = rows.where("label < 4").select("label", F.posexplode("y").alias("i", "v")).groupBy("i", "label").agg(F.avg("v").alias("v"))
-    phi = np.zeros((4, 4))
+    """Columns: the mean of each label."""
+    means = rows.select("label", F.posexplode("y").alias("i", "v")).groupBy("i", "label").agg(F.avg("v").alias("v"))
+    phi = np.zeros((WIDTH, LABELS))
     for r in means.collect():
         phi[r["i"], r["label"]] = r["v"]
     return phi
 
 
 def whole_tensor(rows: DataFrame) -> np.ndarray:
-    _, _, tensors = moments.collect_tensors(moments.third_moment(rows.withColumn("batch_id", F.lit(0)), 4), 4)
+    _, _, tensors = moments.collect_tensors(moments.third_moment(rows.withColumn("batch_id", F.lit(0)), WIDTH), WIDTH)
     return tensors[0]
 
 
 @query(
     "third_moment_whitened",
-    f"WITH {CUBE} SELECT label, i::BIGINT AS i, j::BIGINT AS j, m::BIGINT AS m, "
-    f"round(({ALPHA0} + 1) * ({ALPHA0} + 2) / 2 * v, 9) AS v FROM t WHERE i <= j AND j <= m",
+    f"WITH {CUBE} SELECT a.label AS label, a.d::BIGINT AS i, b.d::BIGINT AS j, c.d::BIGINT AS m, "
+    f"round(({ALPHA0} + 1) * ({ALPHA0} + 2) / 2 * avg(a.v * b.v * c.v), 9) AS v "
+    "FROM y a JOIN y b ON a.vec_id = b.vec_id AND a.d <= b.d JOIN y c ON a.vec_id = c.vec_id AND b.d <= c.d GROUP BY ALL",
 )
 def third_moment_whitened(spark, sf_dir):
     """Scaled third moments per batch, the label being the batch."""
-    i, j, m = moments.triples(4)
-    names = F.array(*[F.struct(*(F.lit(int(x)).cast("long").alias(c) for c, x in zip("ijm", e))) for e in zip(i, j, m)])
-    sums = moments.third_moment(small_rows(spark, sf_dir), 4, "label")
-    cells = sums.select("label", "n", F.explode(F.arrays_zip(names.alias("e"), "t")).alias("z"))
-    value = (ALPHA0 + 1) * (ALPHA0 + 2) / 2 * F.col("z.t") / F.col("n")
-    return cells.select("label", "z.e.i", "z.e.j", "z.e.m", F.round(value, 9).alias("v"))
+    names = [(at, *map(int, e)) for at, e in enumerate(zip(*moments.triples(WIDTH), strict=True))]
+    named = spark.createDataFrame(names, "at int, i long, j long, m long")
+    sums = moments.third_moment(small_rows(spark, sf_dir), WIDTH, "label")
+    cells = sums.select("label", "n", F.posexplode("t").alias("at", "t")).join(F.broadcast(named), "at")  # a row a cell of the tensor
+    value = (ALPHA0 + 1) * (ALPHA0 + 2) / 2 * F.col("t") / F.col("n")
+    return cells.select("label", "i", "j", "m", F.round(value, 9).alias("v"))
 
 
 def matrix_frame(spark, matrix: np.ndarray, places: int) -> DataFrame:
@@ -295,13 +297,16 @@ def cumulant_gradient(spark, sf_dir):
     return matrix_frame(spark, gradient, 10)
 
 
-BUILT = "built AS (SELECT a.i, b.i AS j, c.i AS m, sum(a.v * b.v * c.v) AS v FROM phi a JOIN phi b USING (c) JOIN phi c USING (c) GROUP BY ALL)"
+BUILT = (
+    "built AS (SELECT a.i, b.i AS j, c.i AS m, sum(a.v * b.v * c.v) AS v FROM phi a JOIN phi b ON a.c = b.c AND a.i <= b.i "
+    "JOIN phi c ON a.c = c.c AND b.i <= c.i GROUP BY ALL)"
+)
 
 
 @query(
     "tensor_losses",
-    f"WITH {CUBE}, {BUILT}, q AS (SELECT sum(pow(b.v - w.v, 2)) AS rec, (1 + 5) / 2.0 * sum(b.v * b.v) AS ortho, "
-    "sqrt(sum(w.v * w.v)) AS size FROM built b JOIN whole w USING (i, j, m)) "
+    f"WITH {CUBE}, {WHOLE}, {BUILT}, q AS (SELECT sum(cells * pow(b.v - w.v, 2)) AS rec, (1 + 5) / 2.0 * sum(cells * b.v * b.v) AS ortho, "
+    "sqrt(sum(cells * w.v * w.v)) AS size FROM built b JOIN whole w USING (i, j, m)) "
     "SELECT round(ortho + rec, 10) AS total, round(ortho, 10) AS ortho, round(rec, 10) AS rec, round(rec / size, 10) AS rec_relative FROM q",
 )
 def tensor_losses(spark, sf_dir):
@@ -313,7 +318,7 @@ def tensor_losses(spark, sf_dir):
 
 @query(
     "reconstruction_error",
-    f"WITH {CUBE}, {BUILT} SELECT round(sqrt(sum(pow(b.v - w.v, 2)) / sum(w.v * w.v)), 7) AS error FROM built b JOIN whole w USING (i, j, m)",
+    f"WITH {CUBE}, {WHOLE}, {BUILT} SELECT round(sqrt(sum(cells * pow(b.v - w.v, 2)) / sum(cells * w.v * w.v)), 7) AS error FROM built b JOIN whole w USING (i, j, m)",
 )
 def reconstruction_error(spark, sf_dir):
     rows = small_rows(spark, sf_dir)

@@ -8,6 +8,7 @@ from murmuration.functions import text as T
 from murmuration.operators import lexicon, measure, vocab
 from murmuration.operators.search import document_search as search
 from murmuration.plans import sql
+from murmuration.plans.plane import PLANE, plane
 from murmuration.plans.registry import documents, query, table
 from murmuration.plans.text_queries import preprocessed
 from murmuration.session import scratch_path
@@ -239,17 +240,13 @@ def duplicate_vectors(spark, sf_dir):
 
 @query(
     "hist2d",
-    "WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), "
+    f"WITH {PLANE}, "
     "b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM p) "
     "SELECT CAST(least(floor((x - x0) / (x1 - x0) * 100), 99) AS BIGINT) AS x_bin, "
     "CAST(least(floor((y - y0) / (y1 - y0) * 100), 99) AS BIGINT) AS y_bin, count(*) AS n FROM p, b GROUP BY ALL",
 )
 def hist2d(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    points = vectors.select(
-        F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
-    )
-    return measure.hist2d(points, "x", "y", 100)
+    return measure.hist2d(plane(spark, sf_dir), "x", "y", 100)
 
 
 # --- search
