@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,9 +161,8 @@ def across_edges(edges: list, percent: int) -> tuple[list, list]:
     return links, sorted(company)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of nodes whose whole sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``(node, members)``: the whole sets of some nodes, made again from a text of each."""
     wanted = cut_lineage(classes.join(nodes, "node").select(F.col("rep").alias("id"), "node"), "wanted")
     ids = wanted.select("id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= WANTED_BROADCAST else ids
@@ -174,7 +175,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(values, ends)), pa.array(held, pa.binary())], names=["node", "members"])
 
     members = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "node long, members binary")
-    members = cut_lineage(members.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return cut_lineage(members.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of nodes whose whole sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    members = full_sets(nodes, classes, docs, k)
 
     def compare(batches):
         for batch in batches:
@@ -200,16 +207,17 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(connected_components(links), "components")
 
 
-def regions(company: DataFrame, named: DataFrame) -> DataFrame:
+def regions(company: DataFrame, named: DataFrame) -> tuple[DataFrame, bool]:
     """``(region, node, n, comp, odd, pieces)``: the rows of regions in which more than one component meets.
 
     ``odd`` rows are those outside the region's largest component. A region is one prefix of one order. Regions
-    with over ``FEW`` odd rows are divided by one more hash, again and again.
+    with over ``FEW`` odd rows are divided by one more hash, again and again; the second result says if any were.
     """
     rows = company.join(named, "node", "left").select("tree", "label", "node", "n", F.coalesce("component", "node").alias("comp"))
     rows, kept = cut_lineage(rows, "company"), None
     for depth in range(BASE_DEPTH, DEPTH + 1):
-        keyed = rows.withColumn("region", F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), F.expr(f"substring(label, 1, {2 * depth})")))
+        prefix = F.expr(f"substring(label, 1, {2 * depth})")
+        keyed = rows.withColumn("region", F.struct("tree", prefix.alias("prefix")))
         parts = keyed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("rows"))
         sizes = parts.groupBy("region").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"))
         mixed = sizes.where("parts > 1").select("region", F.col("main.comp").alias("main"), (F.col("rows") - F.col("main.rows")).alias("n_odd"), "rows")
@@ -222,35 +230,73 @@ def regions(company: DataFrame, named: DataFrame) -> DataFrame:
             rows = cut_lineage(met.where(F.col("n_odd") > FEW).select("tree", "label", "node", "n", "comp"), "dense")
             if rows.isEmpty():
                 break
-    return kept
+    return kept, depth > BASE_DEPTH
 
 
-def across_components(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: nodes of one region and different components whose signatures look similar.
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """A region's rows dealt into pieces; its odd rows go to all of them."""
+    own = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("odd", F.lit(False))
+    every = rows.where("odd").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return own.unionByName(every)
 
-    A region's rows are dealt into pieces; its odd rows go to all of them.
+
+def candidates(table: pa.Table, percent: int, divided: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each odd row of a piece with those of other components that look similar by their signatures.
+
+    A pair that shares regions of several orders comes up in the first of them, unless regions were divided.
+    """
+    odd = table["odd"].to_numpy()
+    n, comp, tree = table["n"].to_numpy(), table["comp"].to_numpy(), table["region"][0].as_py()["tree"]
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(n), TREES, DEPTH)
+    members = np.flatnonzero(~odd)
+    for row in np.flatnonzero(odd):
+        other = members[(comp[members] != comp[row]) & alike_in_size(n[members], n[row], percent)]
+        if len(other):
+            same = sig[other] == sig[row]
+            good = same.mean(axis=(1, 2)) >= ESTIMATE
+            if not divided:
+                good &= same[:, :, :BASE_DEPTH].all(axis=2).argmax(axis=1) == tree
+            if good.any():
+                yield row, other[good]
+
+
+def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(a, b)``: confirmed links between components that meet in a region, one for each row and component.
+
+    Signatures tell the rows that have anyone to be compared with; only their sets travel. Pairs stay in the task.
     """
-    signed = rows.join(classes.select("node", "sig"), "node")
-    own = signed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("odd", F.lit(False))
-    every = signed.where("odd").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    columns = ["region", "piece", "odd", "node", "n", "comp", "sig"]
-    dealt = own.select(*columns).unionByName(every.select(*columns))
-
-    def run(table: pa.Table) -> pa.Table:
-        odd = table["odd"].to_numpy()
-        node, n, comp = (table[c].to_numpy() for c in ("node", "n", "comp"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(node), HASHES)
-        members = np.flatnonzero(~odd)
+    signed = cut_lineage(rows.join(classes.select("node", "sig"), "node"), "signed")
+
+    def look(table: pa.Table) -> pa.Table:
+        found = np.zeros(table.num_rows, bool)
+        for row, others in candidates(table, percent, divided):
+            found[row] = True
+            found[others] = True
+        return table.filter(pa.array(found)).select(["region", "node"])
+
+    region = signed.schema["region"].dataType.simpleString()
+    busy = in_pieces(signed).groupBy("region", "piece").applyInArrow(look, f"region {region}, node long").distinct()
+    busy = cut_lineage(signed.join(busy, ["region", "node"]), "busy")
+    sets = full_sets(busy.select("node").distinct(), classes, docs, k)
+
+    def link(table: pa.Table) -> pa.Table:
+        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        members = table["members"].to_pylist()
         out = []
-        for row in np.flatnonzero(odd):
-            other = members[(comp[members] != comp[row]) & alike_in_size(n[members], n[row], percent)]
-            if len(other):
-                other = other[(sig[other] == sig[row]).mean(axis=1) >= ESTIMATE]
-                out += [(min(node[row], node[x]), max(node[row], node[x])) for x in other]
+        for row, others in candidates(table, percent, divided):
+            own = np.frombuffer(members[row], np.uint64)
+            sizes = np.array([len(members[x]) // 8 for x in others])
+            held = np.frombuffer(b"".join(members[x] for x in others), np.uint64)
+            shared = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+            both = np.add.reduceat(shared, np.cumsum(sizes) - sizes, dtype=np.int64)
+            linked = others[100 * both >= percent * (sizes + len(own) - both)]
+            for x in linked[np.unique(comp[linked], return_index=True)[1]]:
+                out.append((node[row], node[x]))
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return cut_lineage(dealt.groupBy("region", "piece").applyInArrow(run, "a long, b long").distinct(), "pairs")
+    whole = in_pieces(busy.join(sets, "node"))
+    return cut_lineage(whole.groupBy("region", "piece").applyInArrow(link, "a long, b long").distinct(), "links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -285,12 +331,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     named = with_components(classes, links)
     columns = ["tree", "label", "node", "n"]
     company = found.where("kind = 1").select(*columns).unionByName(spark.createDataFrame(edge_company, "tree int, label binary, node long, n long"))
-    more = across_components(regions(company.distinct(), named), classes, percent)
-    if not more.isEmpty():
-        further = confirmed(more, classes, source, k, percent)
-        if not further.isEmpty():
-            links = links.unionByName(further)
-            named = with_components(classes, links)
+    mixed, divided = regions(company.distinct(), named)
+    further = across_components(mixed, divided, classes, source, k, percent)
+    if not further.isEmpty():
+        links = links.unionByName(further)
+        named = with_components(classes, links)
     reps = classes.select("node", "rep").join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     # repeated ids tie the nodes they name together
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
