@@ -34,7 +34,7 @@ HEADLINE = (
 
 def main() -> None:
     from murmuration.plans import all_queries
-    from murmuration.session import local_session
+    from murmuration.session import clear_scratch, local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -47,6 +47,7 @@ def main() -> None:
         all_queries.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
         spark.catalog.clearCache()
+        clear_scratch(spark)
     print(
         json.dumps(
             {

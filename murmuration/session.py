@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and the bench."""
+    """A single-machine session for tests and the bench, with a folder of its own as the shared one."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("murmuration")
@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="murmuration-"))
         .getOrCreate()
     )
 
@@ -37,9 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"murmuration-{spark.sparkContext.applicationId}")
 
 
+_MADE: dict[str, list[str]] = {}  # intermediate tables by application
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has made so far; returns how many paths went.
+
+    For when the results that read them have been written: a table not yet computed would miss them.
+    """
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in (jvm.org.apache.hadoop.fs.Path(x) for x in paths))
 
 
 def cut_lineage(df, label: str):

@@ -9,11 +9,12 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 @pytest.fixture(scope="session")
 def spark():
-    from murmuration.session import local_session
+    from murmuration.session import clear_scratch, local_session
 
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -83,3 +83,13 @@ def test_bounds_of_long_numbers(spark):
     base = 1_250_000_000_000_000_000
     placed = by_bounds(spark.range(base, base + 10).union(spark.sql("SELECT CAST(NULL AS BIGINT) AS id")), "id", [base + 3, base + 4], "piece")
     assert [r.piece for r in placed.orderBy("id").collect()] == [0, 0, 0, 0, 1, 2, 2, 2, 2, 2, 2]
+
+
+def test_scratch_tables_go_when_told(spark):
+    from murmuration.session import _MADE, clear_scratch, cut_lineage
+
+    kept = dict(_MADE)
+    _MADE.clear()
+    cut_lineage(spark.range(3), "gone").count()
+    assert clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    _MADE.update(kept)
