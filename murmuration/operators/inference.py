@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.functions.numeric import digamma, dirichlet_expectation, gammaln, log_sum_exp
+from murmuration.functions.numeric import dirichlet_expectation, gammaln, log_sum_exp
 
 
 def beta_matrix(topics: DataFrame, n_terms: int, value: str = "p") -> np.ndarray:
@@ -76,7 +76,7 @@ def infer_doc_topics(
                 ids = np.concatenate(part["ids"].to_numpy()) if some else np.zeros(0, dtype=int)
                 counts = np.concatenate(part["cnts"].to_numpy()) if some else np.zeros(0)
                 start = np.stack(
-                    [np.random.default_rng([seed, abs(int(d))]).gamma(gamma_shape, 1 / gamma_shape, k) for d in part["doc_id"]]
+                    [np.random.default_rng([seed, int(d) % (1 << 64)]).gamma(gamma_shape, 1 / gamma_shape, k) for d in part["doc_id"]]
                 )
                 gamma = infer_block(ids, counts, sizes, shared.value, start, prior, n_iter)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "gamma": list(gamma), "p": list(normalize_gamma(gamma))})
@@ -98,15 +98,20 @@ def perplexity(vectors: DataFrame, inferred: DataFrame, beta: np.ndarray, alpha:
 
     def apply(frames):
         for pdf in frames:
-            bounds, words = [], []
-            for ids, counts, gamma in zip(pdf["ids"], pdf["cnts"], pdf["gamma"]):
-                expected = digamma(gamma) - digamma(np.sum(gamma))
-                bound = counts @ log_sum_exp(shared.value[ids] + expected) if len(ids) else 0.0
-                bound += ((alpha - gamma) * expected).sum() + (gammaln(gamma) - gammaln(alpha)).sum()
-                bound += float(gammaln(alpha.sum()) - gammaln(gamma.sum()))
-                bounds.append(bound)
-                words.append(counts.sum())
-            yield pd.DataFrame({"bound": bounds, "words": words})
+            for begin in range(0, len(pdf), 2048):
+                part = pdf.iloc[begin : begin + 2048]
+                sizes = part["ids"].map(len).to_numpy()
+                owner = np.repeat(np.arange(len(part)), sizes)
+                some = len(owner) > 0
+                ids = np.concatenate(part["ids"].to_numpy()) if some else np.zeros(0, dtype=int)
+                counts = np.concatenate(part["cnts"].to_numpy()) if some else np.zeros(0)
+                gamma = np.stack(part["gamma"].to_numpy())
+                expected = dirichlet_expectation(gamma)
+                of_words = counts * log_sum_exp(shared.value[ids] + expected[owner]) if some else counts
+                bound = np.bincount(owner, of_words, minlength=len(part))
+                bound += ((alpha - gamma) * expected + gammaln(gamma) - gammaln(alpha)).sum(axis=1)
+                bound += gammaln(alpha.sum()) - gammaln(gamma.sum(axis=1))
+                yield pd.DataFrame({"bound": bound, "words": np.bincount(owner, counts, minlength=len(part))})
 
     rows = vectors.join(inferred.select("doc_id", "gamma"), "doc_id").select("ids", "cnts", "gamma")
     parts = rows.mapInPandas(apply, "bound double, words double")

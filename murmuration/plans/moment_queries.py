@@ -459,6 +459,43 @@ def infer_doc_topics(spark, sf_dir):
     return _inferred(spark, sf_dir)[2]
 
 
+FIT_TOKENS = f"{BASE}, {sql.vocab(**FIT)}, kept AS (SELECT doc_id, sum(cnt) AS n FROM counts JOIN vocab USING (term) GROUP BY doc_id)"
+
+
+@query("infer_gamma_sums", f"{FIT_TOKENS} SELECT doc_id, round(coalesce(n, 0)::DOUBLE + 1, 6) AS total FROM documents LEFT JOIN kept USING (doc_id)")
+def infer_gamma_sums(spark, sf_dir):
+    """What any step of the inference leaves: a document's topics share its known words and one more."""
+    sums = F.aggregate("gamma", F.lit(0.0), lambda a, b: a + b)
+    return _inferred(spark, sf_dir)[2].select("doc_id", F.round(sums, 6).alias("total"))
+
+
+@query(
+    "write_doc_topics",
+    f"{FIT_TOKENS} SELECT doc_id, round(coalesce(n, 0)::DOUBLE + 1, 6) AS total, {PARAMS.n_topics} AS topics FROM documents LEFT JOIN kept USING (doc_id)",
+)
+def write_doc_topics(spark, sf_dir):
+    """Documents' topics through a CSV with a header, lists as text."""
+    path = scratch_path(spark, "doc-topics")
+    sinks.write_csv(_inferred(spark, sf_dir)[2].select("doc_id", "gamma"), path)
+    saved = spark.read.csv(path, header=True, schema="doc_id long, gamma string")
+    parts = F.transform(F.split("gamma", r"\|"), lambda v: v.cast("double"))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    return saved.select("doc_id", F.round(total, 6).alias("total"), F.size(parts).alias("topics"))
+
+
+@query(
+    "write_whitened",
+    "SELECT vec_id AS doc_id, d, round(v, 6) AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS d, "
+    "unnest(embedding)::DOUBLE AS v FROM embeddings)",
+)
+def write_whitened(spark, sf_dir):
+    """Rows of coordinates written and read back."""
+    path = scratch_path(spark, "whitened")
+    sinks.write_whitened(small_rows(spark, sf_dir).select("doc_id", "y"), path)
+    saved = spark.read.parquet(path).select("doc_id", F.posexplode("y").alias("d", "v"))
+    return saved.select("doc_id", F.col("d").cast("long").alias("d"), F.round("v", 6).alias("v"))
+
+
 @query(
     "doc_topic_normalize",
     "SELECT doc_id, 5::BIGINT AS n_topics, 1.0::DOUBLE AS total, true AS positive FROM documents",

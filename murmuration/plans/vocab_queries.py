@@ -276,6 +276,19 @@ def toy_lexicon(spark):
     return spark.createDataFrame(LEXICON, "grp string, term string, harmless_meaning boolean")
 
 
+@query("write_lexicon", f"WITH {LEXICON_SQL}, used AS (SELECT DISTINCT unnest({sql.raw_tokens()}) AS term FROM documents) "
+       "SELECT grp, lex.term, harmless FROM lex SEMI JOIN used ON used.term = split_part(lex.term, ' ', 1)")
+def write_lexicon(spark, sf_dir):
+    """The lexicon's terms whose first word the corpus uses, as JSON lines and back."""
+    docs = documents(spark, sf_dir, "text").select(T.tokenize(F.col("text")).alias("tokens"))
+    used = vocab.each_token(docs).select(F.col("term").alias("first")).distinct()
+    found = toy_lexicon(spark).withColumn("first", F.split("term", " ")[0]).join(used, "first", "left_semi").drop("first")
+    path = scratch_path(spark, "lexicon")
+    sinks.write_lexicon(found, path)
+    saved = spark.read.json(path, schema="grp string, term string, harmless_meaning boolean")
+    return saved.select("grp", "term", F.col("harmless_meaning").alias("harmless"))
+
+
 IN_CORPUS = (
     f"{LEXICON_SQL}, raw AS (SELECT doc_id, {sql.raw_tokens()} AS t FROM documents), grams AS ("
     "SELECT doc_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))], "
