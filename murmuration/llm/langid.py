@@ -77,6 +77,8 @@ class LanguageModel:
     def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language (-1: undetermined) and score of each text."""
         n, n_families = len(bounds) - 1, len(self.families)
+        if not self.languages:
+            return np.full(n, -1), np.zeros(n)
         margin = FEATURES.means(self.table, data, bounds) + self.offsets
         chance = 1 / (1 + np.exp(-np.clip(margin * self.slopes, -500, 500)))
         of_family = chance[:, :n_families]
@@ -106,7 +108,7 @@ def has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: pa.Table) -> LanguageModel:
-    """Learn from ``(label, text)`` rows; texts without letters are left out."""
+    """Learn from ``(label, text)`` rows; texts without letters are left out. Of none, nothing can be told."""
     labels = np.array(sample["label"].to_pylist(), object)
     column = pa.array(sample["text"].to_pylist(), pa.large_string())
     parts, lettered = [], []
@@ -114,7 +116,8 @@ def fit(sample: pa.Table) -> LanguageModel:
         parts.append(FEATURES.rows(data, bounds))
         lettered.append(has_letter(data, bounds))
     if not parts or not np.concatenate(lettered).any():
-        raise ValueError("no labelled text to learn a language from")
+        empty = np.zeros(0)
+        return LanguageModel([], [], empty, [], np.zeros((FEATURES.none + 1, 0), np.float32), empty, empty)
     ends = np.cumsum([0, *(len(p.columns) for p in parts)])
     rows = Rows(
         np.concatenate([p.columns for p in parts]), np.concatenate([p.values for p in parts]),
@@ -158,7 +161,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add ``lang_pred string, score double`` from the text alone, all of it.
 
-    ``und`` with score 0 for null and empty texts and those without a letter. The score is the family's
+    ``und`` with score 0 for null and empty texts and those without a letter, and where no labelled text was given. The score is the family's
     probability times the least one against the other languages of the family. Given columns of these names
     are replaced; rows are independent, and an empty table gives an empty table.
     """

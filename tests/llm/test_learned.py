@@ -36,9 +36,10 @@ def test_language_cases(spark):
     assert langid.predict(documents(spark, []), model).collect() == []
 
 
-def test_no_labels_is_an_error(spark):
-    with pytest.raises(ValueError):
-        langid.learn(documents(spark, ["a"]).withColumn("lang", F.lit(None).cast("string")))
+def test_without_labels_all_is_undetermined(spark):
+    found = langid.language_id(documents(spark, ["a", None], [1, None]).withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("und", 0.0)} and {r.held_out for r in found} <= {False, True, None}
+    assert langid.language_id(documents(spark, [])).collect() == []
 
 
 def test_one_language_only():
