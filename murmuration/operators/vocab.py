@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from murmuration.operators.skew import skew_join
 from murmuration.session import cut_lineage
@@ -22,28 +26,36 @@ def each_token(docs: DataFrame, *keep: str, tokens: str = "tokens", name: str =
     return docs.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
 
 
+COUNTED = ArrayType(StructType([StructField("term", StringType()), StructField("cnt", LongType())]))
+
+
+@F.arrow_udf(COUNTED)
+def counted(tokens: pa.Array) -> pa.Array:
+    """Each list's distinct tokens with their numbers, a whole batch at a time; nothing leaves its row."""
+    words = tokens.flatten().dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0)
+    known = ~np.isnan(codes) if codes.dtype.kind == "f" else np.ones(len(codes), bool)
+    rows = pc.list_parent_indices(tokens).to_numpy()[known].astype(np.int64)
+    cells, count = np.unique(rows << 32 | codes[known].astype(np.int64), return_counts=True)
+    offsets = np.searchsorted(cells >> 32, np.arange(len(tokens) + 1)).astype(np.int32)
+    terms = words.dictionary.take(pa.array(cells & 0xFFFFFFFF)).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms, pa.array(count.astype(np.int64))], names=["term", "cnt"]))
+
+
 def term_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(term, cf, df)``: occurrences and documents per term, in one pass.
 
-    Each document sends its tokens once as occurrences and once as a distinct set, so the only
-    shuffle is of per-task term totals; no (document, term) pair moves.
+    Tokens are counted inside each row, so the only shuffle is of per-task term totals; no (document, term)
+    pair moves.
     """
-    both = F.array(
-        F.struct(F.lit(1).alias("occurrence"), F.col(tokens).alias("terms")),
-        F.struct(F.lit(0).alias("occurrence"), F.array_distinct(tokens).alias("terms")),
-    )
-    terms = docs.select(F.explode(both).alias("part")).select(
-        "part.occurrence", F.explode("part.terms").alias("term")
-    )
-    return terms.groupBy("term").agg(
-        F.sum("occurrence").alias("cf"), F.sum(1 - F.col("occurrence")).alias("df")
-    )
+    cells = docs.select(F.explode_outer(counted(F.col(tokens))).alias("c")).where(F.col("c").isNotNull())
+    return cells.groupBy(F.col("c.term").alias("term")).agg(F.sum("c.cnt").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """``(doc_id, term, cnt)``; documents without tokens have no row."""
-    words = each_token(docs, id_col, tokens=tokens)
-    return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
+    """``(doc_id, term, cnt)``; documents without tokens have no row. A document is one row, so nothing moves."""
+    cells = docs.select(id_col, F.explode_outer(counted(F.col(tokens))).alias("c")).where(F.col("c").isNotNull())
+    return cells.select(id_col, "c.term", "c.cnt")
 
 
 def normalize_terms(counts: DataFrame, forms: DataFrame, stats: DataFrame) -> DataFrame:
