@@ -18,6 +18,8 @@ from murmuration.session import cut_lineage
 
 END_ID = 1
 CACHE_CHUNKS = 800_000  # a task's memory for chunks already encoded; it starts anew when full
+CACHE_WORDS = 600_000
+MARKS = ".,;:!?%&*#$|()[]\"-"  # no letters, digits, apostrophes or white space
 GROUP_PIECES = 1 << 16  # pieces packed together; more groups, not larger ones, for more data
 
 
@@ -25,7 +27,9 @@ class ChunkIds:
     """Ids of texts through the tokenizers library; each stretch without white space is encoded once.
 
     The library drops white space and no word of it crosses any, so a text's ids are those of its
-    stretches one after another. New stretches are encoded together, divided by a special token.
+    stretches one after another. It also parts letters from marks and takes no notice of case, so letters
+    with marks behind them are looked up apart, in lower case. What is new is encoded together, divided by
+    a special token.
     """
 
     def __init__(self, file: str, limit: int = CACHE_CHUNKS):
@@ -39,26 +43,40 @@ class ChunkIds:
         self.divider_text = self.tokenizer.id_to_token(self.divider)
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        plain = [c for c in new if "<|" not in c and "|>" not in c]
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        letters = chunk.rstrip(MARKS)
+        if letters and letters.isalpha() and max(letters) < "\u0130":  # up to there lower case is letter by letter
+            return (letters.lower(), chunk[len(letters) :]) if len(letters) < len(chunk) else (letters.lower(),)
+        return (chunk,)
+
+    def learn_words(self, words: set[str]) -> None:
+        plain = [w for w in words if "<|" not in w and "|>" not in w]
         for first in range(0, len(plain), 20_000):
             part = plain[first : first + 20_000]
             ids = self._encode(self.divider_text.join(part))
             ends = np.append(np.flatnonzero(ids == self.divider), len(ids))
             starts = np.append(0, ends[:-1] + 1)
             data = ids.tobytes()
-            self.known.update(
-                (c, data[4 * a : 4 * b]) for c, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True)
-            )
-        for chunk in set(new) - set(plain):
-            self.known[chunk] = self._encode(chunk).tobytes()
+            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+        for word in words.difference(plain):
+            self.words[word] = self._encode(word).tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        known, words = self.known, self.words
+        new = {c: self.parts(c) for c in chunks if c not in known}
+        self.learn_words({w for parts in new.values() for w in parts if w not in words})
+        for chunk, parts in new.items():
+            known[chunk] = words[parts[0]] if len(parts) == 1 else words[parts[0]] + words[parts[1]]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -167,10 +185,9 @@ class Shelf:
         return best
 
 
-def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
-    """Bins of rows. A bin takes the largest document that fits, again and again; then, while that fills it
-    better, its smallest document goes back for the two that fill its place best. Every row is in one bin.
-    """
+def fill(lengths: np.ndarray, limit: int, two_for_one: bool) -> list[list[int]]:
+    """Bins of rows. A bin takes the largest document that fits, again and again; with ``two_for_one``, while that
+    fills it better, its smallest document then goes back for the two that fill its place best."""
     shelf, bins = Shelf(lengths), []
     while shelf.bits:
         held: list[tuple[int, int]] = []
@@ -178,7 +195,7 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
         while size := shelf.largest(gap):
             held.append((size, shelf.take(size)))
             gap -= size
-        while gap and len(held) > 1:
+        while two_for_one and gap and len(held) > 1:
             size, row = min(held)
             a, b = shelf.pair(gap + size)
             if a + b <= size:
@@ -191,14 +208,25 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
+def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
+    """Every row in one bin, by ``fill`` with two documents for one; where documents are so large that the small
+    ones it spends are missed later, and the greedy bins alone are fewer, these."""
+    bins = fill(lengths, limit, True)
+    if len(bins) * limit - int(lengths.sum()) >= limit:  # else no packing has fewer
+        greedy = fill(lengths, limit, False)
+        bins = greedy if len(greedy) < len(bins) else bins
+    return bins
+
+
 def pack(docs: DataFrame, file: str, limit: int = 4096, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``token_pieces`` placed in sequences of at most ``limit`` tokens: adds ``sequence_id, offset`` (long).
 
     The pieces are numbered where they were made and written to the shared folder; a hash of that number
     deals them into groups of about 65,536, so no key, source or length can fill one group. Every group is
     packed by ``best_two_fit``; a group ends in at most a few bins that are not full. Equal documents are
-    packed each for itself; an empty table gives an empty table.
+    packed each for itself; an empty table gives an empty table. Given columns ``sequence_id``, ``offset`` are replaced.
     """
+    docs = docs.drop("sequence_id", "offset", "_group")
     pieces = cut_lineage(token_pieces(docs, file, limit, text, with_ids), "pieces")
     groups = max(1, round(pieces.count() / GROUP_PIECES))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_part", "_index"), F.lit(groups)))
