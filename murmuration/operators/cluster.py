@@ -45,6 +45,9 @@ def cluster_distinct_terms(centres: DataFrame, top: int = 100, n: int = 5) -> Da
 # --- planar points
 
 
+FINEST = 60  # halvings of a grid; cell numbers then still fit 64 bits
+
+
 def merge_equal(points: DataFrame, id_col: str) -> DataFrame:
     """``(p, x, y, w)``: distinct positions, named by their smallest id, with their number of points."""
     return points.groupBy("x", "y").agg(F.min(id_col).alias("p"), F.count(F.lit(1)).alias("w"))
@@ -67,7 +70,8 @@ def knn_distances(points: DataFrame, id_col: str, k: int = 4) -> DataFrame:
 
     Square grids are halved level by level. A point uses the finest level at which its own cell holds k
     points: its k nearest then lie within the cell's diagonal, so inside the 5 x 5 cells around. At any
-    level a cell holds fewer than 4k points that use this level, so a dense cell meets at most 100k others.
+    level a cell holds fewer than 4k points that use this level, so a dense cell meets at most 100k others. Where a
+    few far points stretch the grid, it is halved further until its finest cells hold few positions.
     """
     named = points.withColumnRenamed(id_col, "id")
     unique = cut_lineage(merge_equal(named, "id"), "positions")
@@ -75,11 +79,18 @@ def knn_distances(points: DataFrame, id_col: str, k: int = 4) -> DataFrame:
     if not box[4]:
         return points.select(F.col(id_col), F.lit(0).alias("nn"), F.lit(0.0).alias("distance")).limit(0)
     span = max(box[1] - box[0], box[3] - box[2]) or 1.0
-    levels = min(26, math.ceil(math.log(box[4] + 1, 4)) + 8)
 
     def cell(column: str, low: float) -> Column:
         return F.floor((F.col(column) - low) / span * F.pow(F.lit(2.0), "level")).cast("long")
 
+    levels = math.ceil(math.log(box[4] + 1, 4)) + 8
+    while levels < FINEST:
+        finest = unique.withColumn("level", F.lit(levels)).groupBy(cell("x", box[0]), cell("y", box[2])).count()
+        if finest.agg(F.max("count")).first()[0] < 4 * k:
+            break
+        levels += 8
+    levels = min(levels, FINEST)
+
     placed = unique.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).select(
         "p", "x", "y", "w", F.struct("level", cell("x", box[0]).alias("cx"), cell("y", box[2]).alias("cy")).alias("cell")
     )

@@ -96,3 +96,13 @@ def test_components_of_a_star(spark):
     edges = spark.range(1, 2000).selectExpr("5000L AS a", "id AS b")
     found = {r.component for r in cluster.connected_components(edges).collect()}
     assert found == {1}
+
+
+def test_a_far_point_does_not_crowd_the_others(spark):
+    """One point far away leaves the others as many cells as before, and the distances right."""
+    near = [(i, (i * 37 % 101) / 100, (i * 53 % 97) / 100) for i in range(300)]
+    rows = spark.createDataFrame([*near, (300, 1e9, 1e9)], "id long, x double, y double")
+    got = {(r.id, r.nn): r.distance for r in cluster.knn_distances(rows, "id", 3).collect()}
+    for i, x, y in near[::29]:
+        nearest = sorted(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b in near)[:3]
+        assert [got[i, nn] for nn in range(3)] == pytest.approx(nearest)
