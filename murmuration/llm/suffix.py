@@ -14,6 +14,7 @@ from murmuration.session import cut_lineage
 
 FIRST_GRAM = 32  # bytes of the first buckets' strings
 TEXTS_BROADCAST = 1 << 20  # keys of texts, 8 bytes each
+PART = 32  # neighbouring starts that are judged together
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -28,21 +29,21 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``(row, bucket, whole, low, high)``: the starts of all strings of ``length`` bytes, by the suffix they sample.
+    """``(row, bucket, whole, low, high, place)``: the starts of all strings of ``length`` bytes, by the suffix they sample.
 
     A string samples, of all its positions, the one whose q-gram has the least hash (the first such). Equal
     strings sample alike, so strings can only be equal if their suffixes are in one q-gram bucket. ``low`` to
     ``high`` are neighbouring starts that sample one suffix; ``bucket`` names its q-gram, ``whole`` all the bytes
-    of the block and the suffix's place in it.
+    of the block and where the suffix at ``place`` is in it.
     """
-    none = tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    none = (np.empty(0, np.int64),) * 6
     if len(data) < length:
         return none
     prefix = prefix_hash(data)
     gram = gram_hash(prefix, FIRST_GRAM)
     bits = np.uint64(max(21, int(len(data)).bit_length()))
-    place = np.arange(len(gram), dtype=np.uint64)
-    sampled = sliding_least(gram >> bits << bits | place, length - FIRST_GRAM + 1) & np.uint64((1 << int(bits)) - 1)
+    each = np.arange(len(gram), dtype=np.uint64)
+    sampled = sliding_least(gram >> bits << bits | each, length - FIRST_GRAM + 1) & np.uint64((1 << int(bits)) - 1)
     sampled = sampled.astype(np.int64)
     change = np.zeros(len(sampled) + 1, np.int32)
     full = np.diff(bounds) >= length
@@ -58,22 +59,53 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     at = sampled[low]
     whole = mix(span_hash(prefix, low, high + length) + (at - low).astype(np.uint64) * STEP)
     row = np.searchsorted(bounds, low, "right") - 1
-    return row, gram[at].view(np.int64), whole.view(np.int64), low - bounds[row], high - bounds[row]
+    return row, gram[at].view(np.int64), whole.view(np.int64), low - bounds[row], high - bounds[row], at - bounds[row]
+
+
+BLOCKS = ["bucket", "whole", "key", "low", "high", "place"]
 
 
 def sampled_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """``(bucket, whole, key, low, high)`` of ``(key, text)``."""
+    """``(bucket, whole, key, low, high, place)`` of ``(key, text)``."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for first, _, data, bounds in text_slices(batch.column(1)):
-                row, bucket, whole, low, high = blocks_of(data, bounds, length)
+                row, bucket, whole, *places = blocks_of(data, bounds, length)
                 if len(row):
-                    arrays = [pa.array(bucket), pa.array(whole), pa.array(keys[first + row]), pa.array(low), pa.array(high)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "whole", "key", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, whole, keys[first + row], *places)], names=BLOCKS)
+
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in BLOCKS))
+
+
+def part_blocks(open_blocks: DataFrame, length: int) -> DataFrame:
+    """``(bucket, whole, key, low, high, place, known)`` of ``(key, text, blocks)``: blocks parted by the distance
+    of their starts from the suffix, ``PART`` neighbours each, with a bucket for each part.
+
+    Equal strings have the suffix at equal distances, so they are in like parts; what all strings of a part hold
+    in common, nearly all of their bytes, names its bucket.
+    """
 
-    return texts.mapInArrow(run, "bucket long, whole long, key long, low long, high long")
+    def run(batches):
+        for batch in batches:
+            for key, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                prefix = prefix_hash(np.frombuffer(text.encode("utf-8"), np.uint8))
+                low, high, place = (np.array([b[c] for b in blocks], np.int64) for c in ("low", "high", "place"))
+                known = np.array([b["known"] for b in blocks], bool)
+                first, last = (place - high) // PART, (place - low) // PART
+                of = np.repeat(np.arange(len(low)), last - first + 1)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[of]
+                at = place[of]
+                begin = np.maximum(low[of], at - (part + 1) * PART + 1)
+                end = np.minimum(high[of], at - part * PART)
+                step = part.astype(np.uint64) * STEP
+                bucket = mix(span_hash(prefix, at - part * PART, at - (part + 1) * PART + 1 + length) + step)
+                whole = mix(span_hash(prefix, begin, end + length) + (at - begin).astype(np.uint64) * STEP)
+                columns = [bucket.view(np.int64), whole.view(np.int64), np.full(len(of), key), begin, end, at]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(known[of])], names=[*BLOCKS, "known"])
+
+    return open_blocks.mapInArrow(run, ", ".join(f"{c} long" for c in BLOCKS) + ", known boolean")
 
 
 def refined(data: np.ndarray, length: int) -> np.ndarray:
@@ -93,7 +125,7 @@ def refined(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def refined_starts(open_blocks: DataFrame, length: int) -> DataFrame:
-    """``(name, key, start, known)`` of ``(key, text, blocks)``: a row for each start of each block."""
+    """``(name, key, low, known)`` of ``(key, text, blocks)``: a row for each start of each block."""
 
     def run(batches):
         for batch in batches:
@@ -104,9 +136,9 @@ def refined_starts(open_blocks: DataFrame, length: int) -> DataFrame:
                 known = np.repeat(np.array([b["known"] for b in blocks]), sizes)
                 start = np.arange(sizes.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
                 arrays = [pa.array(name[start].view(np.int64)), pa.array(np.full(len(start), key)), pa.array(start), pa.array(known)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["name", "key", "start", "known"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["name", "key", "low", "known"])
 
-    return open_blocks.mapInArrow(run, "name long, key long, start long, known boolean")
+    return open_blocks.mapInArrow(run, "name long, key long, low long, known boolean")
 
 
 def repeated(rows: DataFrame, name: str, place: str) -> DataFrame:
@@ -116,38 +148,51 @@ def repeated(rows: DataFrame, name: str, place: str) -> DataFrame:
     return ends.where("a <> b").select(name)
 
 
+def settled(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of blocks with a flag ``known``: those whose bucket is met at two places, the flag now also set where the
+    whole block is; and one block of each kind of the buckets that hold several kinds."""
+    shared = blocks.join(repeated(blocks, "bucket", "low"), "bucket", "left_semi").distinct()  # equal texts give equal rows
+    shared = cut_lineage(shared, "shared-buckets")
+    spot = F.xxhash64("key", "low")
+    kinds = cut_lineage(shared.groupBy("bucket", "whole").agg(F.min(spot).alias("first"), F.max(spot).alias("last")), "kinds")
+    several = kinds.groupBy("bucket").count().where("count > 1").select("bucket")
+    marked = shared.join(kinds, ["bucket", "whole"]).select(
+        *BLOCKS, (F.col("known") | (F.col("first") != F.col("last"))).alias("known"), "known", (spot == F.col("first")).alias("one")
+    )
+    marked = cut_lineage(marked.toDF(*BLOCKS, "known", "before", "one"), "marked")
+    return marked, marked.where("one").join(several, "bucket", "left_semi").select(*BLOCKS, "known")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
     """``(key, spans)`` of distinct texts, and the texts themselves ``(key, text)`` of those that were looked at.
 
     ``key`` is ``xxhash64`` of the text. ``spans`` are the rising, disjoint byte ranges ``(low, high)`` covered by
     strings of ``length`` bytes that also start elsewhere, in this or another distinct text, on 64-bit names.
     Texts that several documents have in full are left to the caller.
+
+    Blocks of starts are settled twice: by the q-gram they sample, then, where a bucket holds several kinds of
+    block, in parts by nearly all of their bytes. Only parts that still differ are refined start by start.
     """
     long_texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    blocks = cut_lineage(sampled_blocks(long_texts, length), "blocks")
-    shared = cut_lineage(blocks.join(repeated(blocks, "bucket", "low"), "bucket", "left_semi"), "shared-buckets")
-    # all starts of a block are repeated if the whole block is; one block of each kind meets the others of its bucket
-    spot = F.xxhash64("key", "low")
-    kinds = shared.groupBy("bucket", "whole").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-    kinds = cut_lineage(kinds, "kinds")
-    several = kinds.groupBy("bucket").count().where("count > 1").select("bucket")
-    marked = shared.join(kinds, ["bucket", "whole"]).select(
-        "bucket", "key", "low", "high", (F.col("first") != F.col("last")).alias("known"), (spot == F.col("first")).alias("one")
-    )
-    marked = cut_lineage(marked, "marked")
-    opened = marked.where("one").join(several, "bucket", "left_semi").select("key", "low", "high", "known").distinct()
+    blocks = cut_lineage(sampled_blocks(long_texts, length), "blocks").withColumn("known", F.lit(False))
+    marked, opened = settled(blocks)
     keys = marked.select("key").distinct()
     keys = F.broadcast(cut_lineage(keys, "keys")) if keys.count() <= TEXTS_BROADCAST else keys
     texts = long_texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts, "texts")
-    per_text = opened.groupBy("key").agg(F.collect_list(F.struct("low", "high", "known")).alias("blocks"))
-    starts = refined_starts(texts.join(per_text, "key").select("key", "text", "blocks"), length)
-    starts = cut_lineage(starts, "starts")
-    found = starts.where("not known").join(repeated(starts, "name", "start"), "name", "left_semi")
-    ranges = marked.where("known").select("key", F.struct("low", (F.col("high") + length).alias("high")).alias("r")).unionByName(
-        found.select("key", F.struct(F.col("start").alias("low"), (F.col("start") + length).alias("high")).alias("r"))
-    )
-    gathered = ranges.groupBy("key").agg(F.collect_set("r").alias("r"))  # at most a range a byte of the text
+
+    def with_text(some: DataFrame) -> DataFrame:
+        per_text = some.groupBy("key").agg(F.collect_list(F.struct("low", "high", "place", "known")).alias("blocks"))
+        return texts.join(per_text, "key").select("key", "text", "blocks")  # a text's blocks number less than its bytes
+
+    parts = cut_lineage(part_blocks(with_text(opened), length), "parts")
+    parts_marked, parts_opened = settled(parts)
+    starts = cut_lineage(refined_starts(with_text(parts_opened), length), "starts")
+    found = starts.where("not known").join(repeated(starts, "name", "low"), "name", "left_semi")
+    ranges = found.select("key", "low", (F.col("low") + length).alias("high"))
+    for some in (marked, parts_marked):
+        ranges = ranges.unionByName(some.where("known AND NOT before").select("key", "low", (F.col("high") + length).alias("high")))
+    gathered = ranges.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("r"))  # at most a range a byte of the text
     return merged(gathered), texts
 
 
