@@ -123,8 +123,10 @@ def fit(sample: pa.Table) -> LanguageModel:
         np.concatenate([p.columns for p in parts]), np.concatenate([p.values for p in parts]),
         np.concatenate([[0], *(p.bounds[1:] + e for p, e in zip(parts, ends, strict=False))]),
     )
+    del parts
     usable = np.flatnonzero(np.concatenate(lettered))
-    rows, labels = rows.take(usable), labels[usable]
+    if len(usable) < len(rows):
+        rows, labels = rows.take(usable), labels[usable]
     of = np.repeat(np.arange(len(rows)), np.diff(rows.bounds))
     unit = 1 / np.sqrt(np.bincount(of, rows.values.astype(np.float64) ** 2, minlength=len(rows))).mean()
     rows.values = (rows.values * unit).astype(np.float32)
@@ -140,7 +142,7 @@ def fit(sample: pa.Table) -> LanguageModel:
     for chosen, sign in tasks:
         if not isinstance(sign, np.ndarray):
             sign = np.where(which[chosen] == sign, 1.0, -1.0)
-        part = rows.take(chosen)
+        part = rows.take(chosen) if len(chosen) < len(rows) else rows
         weights = hinge_fit(part, sign, FEATURES.none)
         columns.append(weights)
         slopes.append(slope(part, sign, weights))
