@@ -151,16 +151,17 @@ def repeated(rows: DataFrame, name: str, place: str) -> DataFrame:
 def settled(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of blocks with a flag ``known``: those whose bucket is met at two places, the flag now also set where the
     whole block is; and one block of each kind of the buckets that hold several kinds."""
-    shared = blocks.join(repeated(blocks, "bucket", "low"), "bucket", "left_semi").distinct()  # equal texts give equal rows
-    shared = cut_lineage(shared, "shared-buckets")
+    # the joined tables are written first, so that a join may split a bucket that very many texts share
+    met = cut_lineage(repeated(blocks, "bucket", "low"), "met")
+    shared = cut_lineage(blocks.join(met, "bucket", "left_semi"), "shared-buckets")
     spot = F.xxhash64("key", "low")
     kinds = cut_lineage(shared.groupBy("bucket", "whole").agg(F.min(spot).alias("first"), F.max(spot).alias("last")), "kinds")
-    several = kinds.groupBy("bucket").count().where("count > 1").select("bucket")
+    several = cut_lineage(kinds.groupBy("bucket").count().where("count > 1").select("bucket"), "several")
     marked = shared.join(kinds, ["bucket", "whole"]).select(
         *BLOCKS, (F.col("known") | (F.col("first") != F.col("last"))).alias("known"), "known", (spot == F.col("first")).alias("one")
     )
     marked = cut_lineage(marked.toDF(*BLOCKS, "known", "before", "one"), "marked")
-    return marked, marked.where("one").join(several, "bucket", "left_semi").select(*BLOCKS, "known")
+    return marked, cut_lineage(marked.where("one").join(several, "bucket", "left_semi").select(*BLOCKS, "known"), "opened")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -182,13 +183,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     texts = cut_lineage(texts, "texts")
 
     def with_text(some: DataFrame) -> DataFrame:
-        per_text = some.groupBy("key").agg(F.collect_list(F.struct("low", "high", "place", "known")).alias("blocks"))
+        per_text = some.groupBy("key").agg(F.collect_set(F.struct("low", "high", "place", "known")).alias("blocks"))
         return texts.join(per_text, "key").select("key", "text", "blocks")  # a text's blocks number less than its bytes
 
     parts = cut_lineage(part_blocks(with_text(opened), length), "parts")
     parts_marked, parts_opened = settled(parts)
     starts = cut_lineage(refined_starts(with_text(parts_opened), length), "starts")
-    found = starts.where("not known").join(repeated(starts, "name", "low"), "name", "left_semi")
+    again = cut_lineage(repeated(starts, "name", "low"), "again")
+    found = starts.where("not known").join(again, "name", "left_semi")
     ranges = found.select("key", "low", (F.col("low") + length).alias("high"))
     for some in (marked, parts_marked):
         ranges = ranges.unionByName(some.where("known AND NOT before").select("key", "low", (F.col("high") + length).alias("high")))
