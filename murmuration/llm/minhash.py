@@ -21,7 +21,7 @@ HASHES = TREES * DEPTH
 LABEL = 2 * DEPTH  # bytes of an order's key
 ESTIMATE = 0.5  # pairs below this share of equal hashes are not looked at: 0.75 falls there with chance 1e-9
 PIECE_ROWS = 1024
-FEW = 2048  # a region with more odd documents than this is divided by one more hash
+FEW = 2048  # odd rows of a region that meet a piece in one task
 WANTED_BROADCAST = 1 << 20  # ids, 8 bytes each
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -208,7 +208,7 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def regions(company: DataFrame, named: DataFrame) -> tuple[DataFrame, bool]:
-    """``(region, node, n, comp, odd, pieces)``: the rows of regions in which more than one component meets.
+    """``(region, node, n, comp, odd, pieces, blocks)``: the rows of regions in which more than one component meets.
 
     ``odd`` rows are those outside the region's largest component. A region is one prefix of one order. Regions
     with over ``FEW`` odd rows are divided by one more hash, again and again; the second result says if any were.
@@ -222,9 +222,10 @@ def regions(company: DataFrame, named: DataFrame) -> tuple[DataFrame, bool]:
         sizes = parts.groupBy("region").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"))
         mixed = sizes.where("parts > 1").select("region", F.col("main.comp").alias("main"), (F.col("rows") - F.col("main.rows")).alias("n_odd"), "rows")
         met = keyed.join(mixed, "region").withColumn("odd", F.col("comp") != F.col("main"))
-        met = met.withColumn("pieces", F.ceil(F.col("rows") / PIECE_ROWS).cast("int")).drop("rows", "main")
+        met = met.withColumn("pieces", F.ceil(F.col("rows") / PIECE_ROWS).cast("int")).withColumn("blocks", F.ceil(F.col("n_odd") / FEW).cast("int"))
+        met = met.drop("rows", "main")
         done = met if depth == DEPTH else met.where(F.col("n_odd") <= FEW)
-        done = cut_lineage(done.select("region", "node", "n", "comp", "odd", "pieces"), "regions")
+        done = cut_lineage(done.select("region", "node", "n", "comp", "odd", "pieces", "blocks"), "regions")
         kept = done if kept is None else kept.unionByName(done)
         if depth < DEPTH:
             rows = cut_lineage(met.where(F.col("n_odd") > FEW).select("tree", "label", "node", "n", "comp"), "dense")
@@ -234,9 +235,11 @@ def regions(company: DataFrame, named: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def in_pieces(rows: DataFrame) -> DataFrame:
-    """A region's rows dealt into pieces; its odd rows go to all of them."""
+    """A region's rows dealt into pieces and its odd rows into blocks; each block meets each piece."""
     own = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("odd", F.lit(False))
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = rows.where("odd").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    every = every.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     return own.unionByName(every)
 
 
@@ -275,7 +278,7 @@ def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs:
         return table.filter(pa.array(found)).select(["region", "node"])
 
     region = signed.schema["region"].dataType.simpleString()
-    busy = in_pieces(signed).groupBy("region", "piece").applyInArrow(look, f"region {region}, node long").distinct()
+    busy = in_pieces(signed).groupBy("region", "block", "piece").applyInArrow(look, f"region {region}, node long").distinct()
     busy = cut_lineage(signed.join(busy, ["region", "node"]), "busy")
     sets = full_sets(busy.select("node").distinct(), classes, docs, k)
 
@@ -296,7 +299,7 @@ def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs:
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     whole = in_pieces(busy.join(sets, "node"))
-    return cut_lineage(whole.groupBy("region", "piece").applyInArrow(link, "a long, b long").distinct(), "links")
+    return cut_lineage(whole.groupBy("region", "block", "piece").applyInArrow(link, "a long, b long").distinct(), "links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:

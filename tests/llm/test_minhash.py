@@ -73,3 +73,19 @@ def test_partition_edges():
     edges = [edge(0, [1, 2, 3, 4, 5, 6], 1), edge(0, [1, 2, 3, 9, 9, 9], 2), edge(1, [1, 2, 3, 9, 9, 9], 3), edge(1, [2, 2, 3, 9, 9, 9], 4)]
     links, company = minhash.across_edges(edges, 75)
     assert links == [(1, 2)] and [c[2] for c in company] == [1, 2]
+
+
+def test_tasks_stay_small_however_large_a_region(spark, monkeypatch):
+    """Rows with equal keys in one order, no two of them linked: all are odd but one, no hash divides them."""
+    monkeypatch.setattr(minhash, "FEW", 20)
+    monkeypatch.setattr(minhash, "PIECE_ROWS", 20)
+    label = np.array([1, 2, 3, 4, 5, 6], ">u2").tobytes()
+    company = spark.createDataFrame([(0, label, i, 50) for i in range(300)], "tree int, label binary, node long, n long")
+    found = minhash.regions(company, spark.createDataFrame([], "node long, component long"))
+    rows = found[0] if isinstance(found, tuple) else found
+    groups = {}
+    for r in minhash.in_pieces(rows).collect():
+        groups.setdefault((r.region, r["block"] if "block" in r else 0, r.piece), []).append((r.odd, r.node))
+    assert max(map(len, groups.values())) <= 100
+    met = {frozenset((a, b)) for g in groups.values() for odd, a in g if odd for other, b in g if not other and a != b}
+    assert len(met) == 300 * 299 // 2
