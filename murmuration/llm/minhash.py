@@ -207,31 +207,25 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(connected_components(links), "components")
 
 
-def regions(company: DataFrame, named: DataFrame) -> tuple[DataFrame, bool]:
+def regions(company: DataFrame, named: DataFrame) -> DataFrame:
     """``(region, node, n, comp, odd, pieces, blocks)``: the rows of regions in which more than one component meets.
 
-    ``odd`` rows are those outside the region's largest component. A region is one prefix of one order. Regions
-    with over ``FEW`` odd rows are divided by one more hash, again and again; the second result says if any were.
+    ``odd`` rows are those outside the region's largest component. A region is one prefix of one order,
+    ``BASE_DEPTH`` hashes long however many rows share it.
     """
     rows = company.join(named, "node", "left").select("tree", "label", "node", "n", F.coalesce("component", "node").alias("comp"))
-    rows, kept = cut_lineage(rows, "company"), None
-    for depth in range(BASE_DEPTH, DEPTH + 1):
-        prefix = F.expr(f"substring(label, 1, {2 * depth})")
-        keyed = rows.withColumn("region", F.struct("tree", prefix.alias("prefix")))
-        parts = keyed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("rows"))
-        sizes = parts.groupBy("region").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"))
-        mixed = sizes.where("parts > 1").select("region", F.col("main.comp").alias("main"), (F.col("rows") - F.col("main.rows")).alias("n_odd"), "rows")
-        met = keyed.join(mixed, "region").withColumn("odd", F.col("comp") != F.col("main"))
-        met = met.withColumn("pieces", F.ceil(F.col("rows") / PIECE_ROWS).cast("int")).withColumn("blocks", F.ceil(F.col("n_odd") / FEW).cast("int"))
-        met = met.drop("rows", "main")
-        done = met if depth == DEPTH else met.where(F.col("n_odd") <= FEW)
-        done = cut_lineage(done.select("region", "node", "n", "comp", "odd", "pieces", "blocks"), "regions")
-        kept = done if kept is None else kept.unionByName(done)
-        if depth < DEPTH:
-            rows = cut_lineage(met.where(F.col("n_odd") > FEW).select("tree", "label", "node", "n", "comp"), "dense")
-            if rows.isEmpty():
-                break
-    return kept, depth > BASE_DEPTH
+    prefix = F.expr(f"substring(label, 1, {2 * BASE_DEPTH})")
+    keyed = cut_lineage(rows.withColumn("region", F.struct("tree", prefix.alias("prefix"))).drop("tree", "label"), "company")
+    parts = keyed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = parts.groupBy("region").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"))
+    mixed = sizes.where("parts > 1").select(
+        "region",
+        F.col("main.comp").alias("main"),
+        F.ceil(F.col("rows") / PIECE_ROWS).cast("int").alias("pieces"),
+        F.ceil((F.col("rows") - F.col("main.rows")) / FEW).cast("int").alias("blocks"),
+    )
+    met = keyed.join(mixed, "region").withColumn("odd", F.col("comp") != F.col("main"))
+    return cut_lineage(met.select("region", "node", "n", "comp", "odd", "pieces", "blocks"), "regions")
 
 
 def in_pieces(rows: DataFrame) -> DataFrame:
@@ -243,10 +237,10 @@ def in_pieces(rows: DataFrame) -> DataFrame:
     return own.unionByName(every)
 
 
-def candidates(table: pa.Table, percent: int, divided: bool) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each odd row of a piece with those of other components that look similar by their signatures.
 
-    A pair that shares regions of several orders comes up in the first of them, unless regions were divided.
+    A pair that shares regions of several orders comes up in the first of them.
     """
     odd = table["odd"].to_numpy()
     n, comp, tree = table["n"].to_numpy(), table["comp"].to_numpy(), table["region"][0].as_py()["tree"]
@@ -257,13 +251,12 @@ def candidates(table: pa.Table, percent: int, divided: bool) -> Iterator[tuple[i
         if len(other):
             same = sig[other] == sig[row]
             good = same.mean(axis=(1, 2)) >= ESTIMATE
-            if not divided:
-                good &= same[:, :, :BASE_DEPTH].all(axis=2).argmax(axis=1) == tree
+            good &= same[:, :, :BASE_DEPTH].all(axis=2).argmax(axis=1) == tree
             if good.any():
                 yield row, other[good]
 
 
-def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def across_components(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``(a, b)``: confirmed links between components that meet in a region, one for each row and component.
 
     Signatures tell the rows that have anyone to be compared with; only their sets travel. Pairs stay in the task.
@@ -272,7 +265,7 @@ def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs:
 
     def look(table: pa.Table) -> pa.Table:
         found = np.zeros(table.num_rows, bool)
-        for row, others in candidates(table, percent, divided):
+        for row, others in candidates(table, percent):
             found[row] = True
             found[others] = True
         return table.filter(pa.array(found)).select(["region", "node"])
@@ -286,7 +279,7 @@ def across_components(rows: DataFrame, divided: bool, classes: DataFrame, docs:
         node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
         members = table["members"].to_pylist()
         out = []
-        for row, others in candidates(table, percent, divided):
+        for row, others in candidates(table, percent):
             own = np.frombuffer(members[row], np.uint64)
             sizes = np.array([len(members[x]) // 8 for x in others])
             held = np.frombuffer(b"".join(members[x] for x in others), np.uint64)
@@ -314,8 +307,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     Equal sets become one node first, whatever their number. The nodes' signatures are sorted in ``TREES`` orders,
     each cut into ranges, so no prefix fills one task. Neighbours in some orders are confirmed and joined to
     components, which leaves groups of copies in one piece. In every order each region - the rows that share the
-    first ``BASE_DEPTH`` hashes, or more where it is crowded - then has only the rows outside its largest
-    component compared. Sets are compared by 64-bit hashes of shingles.
+    first ``BASE_DEPTH`` hashes - then has only the rows outside its largest component compared, block by block
+    with all its pieces: the work grows with these rows times the region's. Sets are compared by 64-bit hashes of shingles.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -334,8 +327,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     named = with_components(classes, links)
     columns = ["tree", "label", "node", "n"]
     company = found.where("kind = 1").select(*columns).unionByName(spark.createDataFrame(edge_company, "tree int, label binary, node long, n long"))
-    mixed, divided = regions(company.distinct(), named)
-    further = across_components(mixed, divided, classes, source, k, percent)
+    further = across_components(regions(company.distinct(), named), classes, source, k, percent)
     if not further.isEmpty():
         links = links.unionByName(further)
         named = with_components(classes, links)

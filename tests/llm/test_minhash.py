@@ -89,3 +89,23 @@ def test_tasks_stay_small_however_large_a_region(spark, monkeypatch):
     assert max(map(len, groups.values())) <= 100
     met = {frozenset((a, b)) for g in groups.values() for odd, a in g if odd for other, b in g if not other and a != b}
     assert len(met) == 300 * 299 // 2
+
+
+def test_crowded_regions_compare_pairs_of_the_base_depth(spark, monkeypatch):
+    """A pair that no order's neighbours link and that shares no order's whole key is found in a crowded region."""
+    for seed in range(5000):
+        rng = random.Random(seed)
+        base = words(rng, 40)
+        texts = [" ".join(base), " ".join([*base[:20], "other", *base[21:]])]
+        data = [t.encode() for t in texts]
+        bounds = np.array([0, len(data[0]), len(data[0]) + len(data[1])])
+        data = np.frombuffer(b"".join(data), np.uint8)
+        sig = minhash.signatures(*minhash.shingle_sets(data, bounds, 5)).reshape(2, minhash.TREES, minhash.DEPTH)
+        shared = minhash.common_prefix(sig[0], sig[1])
+        if shared[: minhash.CHAIN_TREES].max() < minhash.BASE_DEPTH <= shared.max() < minhash.DEPTH and (sig[0] == sig[1]).mean() >= minhash.ESTIMATE:
+            break
+    else:
+        raise AssertionError("no such pair")
+    monkeypatch.setattr(minhash, "FEW", 0.5)  # one odd row is a crowd
+    found = minhash.near_copies(documents(spark, texts)).collect()
+    assert {r.component_id for r in found} == {0}
