@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 # --- fixed values: element kinds of HTML and words that name what is not article
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
-DROPPED = RAW | set("head nav footer aside form button select dialog menu object canvas audio video map datalist".split())
+DROPPED = RAW | set("head nav footer aside button select dialog menu object canvas audio video map datalist".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -41,6 +41,8 @@ NAMES = re.compile(
     r"share|sharing|social|login|signin|signup|search|searchbox|skip|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
+MODIFIERS = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]+[^\s_-]+", re.I)  # has-sidebar names what stands beside
+MOST = 0.8  # of a page's points: an element with so many is the article, whatever its name
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -54,6 +56,7 @@ class Node:
     order: int
     dropped: bool = False
     article: bool = False  # inside an article or main element, itself included
+    named: bool = False  # a form, or named like what is not article
     score: float = 0.0
     chars: int = 0  # of text below
     linked: int = 0  # of these, in links
@@ -82,9 +85,15 @@ def is_dropped(tag: str, source: str, article: bool) -> bool:
     given = attributes(source)
     if given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True
-    return any(NAMES.search(given[k]) for k in ("class", "id") if k in given)
+    return "display:none" in given.get("style", "").replace(" ", "").lower()
+
+
+def is_named(tag: str, source: str) -> bool:
+    """Whether an element is a form or has a class or id of what is not article."""
+    if tag == "form" or not source:
+        return tag == "form"
+    given = attributes(source)
+    return any(NAMES.search(MODIFIERS.sub("", given[k])) for k in ("class", "id") if k in given)
 
 
 def parse(page: str) -> tuple[Node, list[Block]]:
@@ -171,7 +180,9 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         top = stack[-1]
         made += 1
         inside = top.article or tag in ("article", "main")
-        node = Node(tag, top, made, top.dropped or is_dropped(tag, found[2], inside), inside)
+        named = is_named(tag, found[2])
+        dropped = top.dropped or is_dropped(tag, found[2], inside) or named and tag in INLINE
+        node = Node(tag, top, made, dropped, inside, named)
         if tag not in INLINE and not node.dropped:
             holder = next(x for x in reversed(stack) if x.tag not in INLINE)
             node.parent = holder
@@ -182,11 +193,45 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     return root, blocks
 
 
+def points_of(block: Block) -> float:
+    """Points grow with length and commas."""
+    return 0.5 if block.parent.tag in HEADINGS else 1 + block.text.count(",") + min(len(block.text) / 100, 3)
+
+
+def without_named(blocks: list[Block]) -> list[Block]:
+    """The blocks outside named elements, but for those that turn out to be the article's own wrappers.
+
+    Such a wrapper is a form with ``MOST`` of the page's points. Where no article or main element has a paragraph outside
+    named elements, it is also any element with so many points or around an article or main that is not itself named.
+    """
+    points: dict[int, float] = {}
+    holders, forms, outside, above = set(), set(), False, []
+    for block in blocks:
+        node, own, named = block.parent, False, []
+        while node is not None:
+            own |= node.tag in ("article", "main") and not node.named
+            if node.named and node.tag not in WHOLE:
+                named.append(id(node))
+                points[id(node)] = points.get(id(node), 0.0) + points_of(block)
+                if own:
+                    holders.add(id(node))
+                if node.tag == "form":
+                    forms.add(id(node))
+            node = node.parent
+        outside |= own and not named and block.parent.tag not in HEADINGS
+        above.append(named)
+    if not points:
+        return blocks
+    least = MOST * sum(map(points_of, blocks))
+    lifted = {x for x, n in points.items() if n >= least and (x in forms or not outside)} | (set() if outside else holders)
+    return [block for block, named in zip(blocks, above, strict=True) if lifted.issuperset(named)]
+
+
 def score(blocks: list[Block]) -> list[Node]:
     """Give every container its points and return the containers.
 
     A block's points go to the container around its paragraph in full, to the next one by half and to the one
-    after by a third. Points grow with length and commas; each container loses its share of linked text.
+    after by a third. Each container loses its share of linked text.
     """
     seen: dict[int, Node] = {}
     for block in blocks:
@@ -196,9 +241,7 @@ def score(blocks: list[Block]) -> list[Node]:
             node.linked += block.linked
             seen[id(node)] = node
             node = node.parent
-        points = 1 + block.text.count(",") + min(len(block.text) / 100, 3)
-        if block.parent.tag in HEADINGS:
-            points = 0.5
+        points = points_of(block)
         holder = block.parent
         if holder.tag in HEADINGS or holder.tag in ("p", "pre", "li", "dd", "dt", "td", "th", "blockquote", "figcaption"):
             holder = holder.parent or holder
@@ -220,7 +263,7 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    _, blocks = parse(page)
+    blocks = without_named(parse(page)[1])
     nodes = score(blocks)
     if not nodes:
         return ""

@@ -164,3 +164,16 @@ def test_pages(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert [(r.text, r.n_chars) for r in found.orderBy("page_id").collect()] == [("", 0), *((t, len(t)) for _ in range(2) for t in PAGES.values())]
     assert html.extract_text(pages.where("page_id < 0")).collect() == []
+
+
+def test_wrappers_of_the_article_stay_whatever_their_name():
+    text = "A sentence, with commas, that is long enough to count. " * 4
+    article = f"<article><p>{text}</p></article>"
+    for name in ("content has-sidebar", "no-sidebar", "with-banner", "social-science"):
+        assert html.main_text(f'<body><div class="{name}">{article}</div></body>') == text.strip(), name
+    assert html.main_text(f"<body><form>{article}</form></body>") == text.strip()
+    assert html.main_text(f'<body><form><div class="social-science"><p>{text}</p><p>{text}</p></div></form></body>').count(text.strip()) == 2
+    comments = f'<div class="comments"><p>{text}</p><p>{text}</p><p>{text}</p><p>{text}</p><p>{text}</p></div>'
+    cards = f'<div class="related"><article><p>{text}</p></article></div>'
+    for aside in (comments, cards):
+        assert html.main_text(f"<body><article><p>Short, but the article.</p></article>{aside}</body>") == "Short, but the article."
