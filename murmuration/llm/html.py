@@ -259,7 +259,7 @@ def main_text(page: str | None) -> str:
     """The article's blocks joined by two line feeds; empty for null, empty and text-free pages.
 
     The best container is raised to the article or main element around it, if there is one. Of its siblings
-    those stay that score a fifth of it, are headings, or are paragraphs of few links.
+    those stay that score a fifth of it, are headings, or are of few links, whatever their length.
     """
     if not page:
         return ""
@@ -277,13 +277,13 @@ def main_text(page: str | None) -> str:
         best = around
     kept = {id(best)}
     if best.parent is not None:
-        least = max(10.0, best.score * 0.2)
+        least = best.score * 0.2
         for other in best.parent.children:
             density = other.linked / other.chars if other.chars else 1.0
-            good = other.tag == best.tag and density < 0.5 and other.score >= (0.2 * best.score if around is not None else least)
-            good |= around is None and other.score >= least
+            good = other.tag == best.tag and density < 0.5 and other.score >= least
+            good |= around is None and other.score >= max(least, 1e-9)
             good |= around is None and other.tag in HEADINGS and density < 0.25
-            good |= around is None and other.tag == "p" and (density < 0.25 if other.chars > 80 else density == 0)
+            good |= around is None and other.tag not in HEADINGS and (density < 0.25 if other.chars > 80 else density == 0)
             if good:
                 kept.add(id(other))
     out = []

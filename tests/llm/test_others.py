@@ -177,3 +177,12 @@ def test_wrappers_of_the_article_stay_whatever_their_name():
     cards = f'<div class="related"><article><p>{text}</p></article></div>'
     for aside in (comments, cards):
         assert html.main_text(f"<body><article><p>Short, but the article.</p></article>{aside}</body>") == "Short, but the article."
+
+
+def test_short_sections_beside_the_best_stay():
+    long = "<p>" + "A sentence, with commas, that is long enough to count. " * 8 + "</p>"
+    short = "One, two, " + "words without a mark " * 14
+    links = '<div><a href="/a">another page</a> <a href="/b">and one more</a></div>'
+    page = f"<body><section>{long * 6}</section><section><p>{short}</p></section><ul><li>an item</li></ul><blockquote>quoted</blockquote>{links}</body>"
+    text = html.main_text(page)
+    assert short.strip() in text and text.endswith("an item\n\nquoted")
