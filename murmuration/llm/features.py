@@ -136,25 +136,38 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
-def labelled_sample(rows: DataFrame, id_col: str, label: str, text: str, each: int, largest: int, labels: int = 64) -> pa.Table:
-    """At most ``each`` rows of each of the ``labels`` most frequent labels, as ``(label, text)`` on the driver.
+def labelled_sample(rows: DataFrame, id_col: str, label: str, text: str, each: int, largest: int, labels: int = 1024) -> pa.Table:
+    """At most ``each`` rows of each label, as ``(label, text)`` on the driver; more than ``labels`` labels are an error.
 
-    Only for fitting: texts of up to ``largest`` bytes are taken, so the sample has a fixed bound. Which rows
+    Only for fitting: of over 64 labels fewer rows are taken each, 64 times ``each`` in all, and of texts those of up to
+    ``largest`` bytes, so the sample has a fixed bound. A label without such texts gives its smallest text. Which rows
     are taken depends on a hash of their id and text alone.
     """
     known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("order")
     )
-    usable = known.where(F.octet_length("text") <= largest)
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
-    taken = None
+    fits = F.octet_length("text") <= largest
+    counts = known.groupBy("label").agg(F.count_if(fits).alias("count"), F.min(F.octet_length("text")).alias("least"))
+    counts = counts.orderBy(F.desc("count"), "label").limit(labels + 1).collect()
+    if len(counts) > labels:
+        raise ValueError(f"more than {labels} labels")
+    each = min(each, max(1, 64 * each // max(1, len(counts))))
+    usable = known.where(fits)
+    cuts, large = [], []
     for row in counts:  # a share of the hashes first, with room to spare, so that few texts are sorted
+        if not row["count"]:
+            large.append((row["label"], row["least"]))
+            continue
         share = min(1.0, 1.5 * each / row["count"] + 50 / row["count"])
         cut = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-        mine = (F.col("label") == row["label"]) & (F.col("order") <= F.lit(min(cut, (1 << 63) - 1)))
-        taken = mine if taken is None else taken | mine
-    if taken is None:
+        cuts.append((row["label"], min(cut, (1 << 63) - 1)))
+    if not counts:
         return pa.table({"label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-    order = Window.partitionBy("label").orderBy("order", "text")
-    kept = usable.where(taken).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    spark, order = rows.sparkSession, Window.partitionBy("label").orderBy("order", "text")
+    taken = usable.join(F.broadcast(spark.createDataFrame(cuts, "label string, cut long")), "label").where("order <= cut").drop("cut")
+    kept = taken.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    if large:
+        smallest = known.join(F.broadcast(spark.createDataFrame(large, "label string, least int")), "label")
+        smallest = smallest.where(F.octet_length("text") == F.col("least")).drop("least")
+        kept = kept.unionByName(smallest.withColumn("n", F.row_number().over(order)).where("n = 1"))
     return kept.select("label", "n", "text").toArrow().sort_by([("label", "ascending"), ("n", "ascending")]).select(["label", "text"])

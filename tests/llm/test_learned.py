@@ -9,6 +9,7 @@ from llm_helpers import documents, odd_texts
 from pyspark.sql import functions as F
 
 from murmuration.llm import langid, quality
+from murmuration.llm.features import labelled_sample
 from murmuration.plans.registry import table
 
 SF = "/root/testdata/sf0.01"
@@ -73,3 +74,12 @@ def test_without_labels_every_score_is_half(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = quality.quality(documents(spark, ["a", None], [None, 1]), empty).collect()
     assert [r.score for r in found] == [0.5, 0.5] and {r.predicted for r in found} == {1}
+
+
+def test_every_label_is_sampled(spark):
+    rows = [(i, f"l{i % 70}", f"text {i}") for i in range(210)] + [(300, "large", "x" * 50), (301, "large", "y" * 40)]
+    table = spark.createDataFrame(rows, "id long, lang string, text string")
+    found = labelled_sample(table, "id", "lang", "text", 10, 30).to_pylist()
+    assert {r["label"] for r in found} == {r[1] for r in rows}
+    assert [r["text"] for r in found if r["label"] == "large"] == ["y" * 40]
+    assert len(found) == 211
