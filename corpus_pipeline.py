@@ -28,14 +28,23 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; rows that repeat its id go too.
+    """One document of each group of near copies, that of the smallest id.
 
-    Rows without an id are no one's copies and stay.
+    Rows that repeat an id are judged by their texts: of equal ones one is looked at, of others the first keeps the id
+    and the rest stand behind all ids, each for itself. Rows without an id are no one's copies and stay.
     """
-    kept = minhash.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    repeated = cut_lineage(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    several = known.join(repeated, "doc_id").withColumn("_n", F.row_number().over(order)).withColumn("_before", F.lag("text").over(order))
+    several = several.where("_n = 1 OR NOT (text <=> _before)")
+    behind = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    several = several.withColumn("_key", F.when(F.col("_n") == 1, F.col("doc_id").cast("long")).otherwise(behind))
+    several = cut_lineage(several.select(*docs.columns, "_key"), "repeated-rows")
+    single = known.join(repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias("_key"))
+    rows = single.unionByName(several)
+    kept = minhash.near_copies(rows, "_key").where("kept").select("_key")
+    return rows.join(kept, "_key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,14 @@ def test_stages_with_nothing(spark):
     empty = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_repeated_ids_go_only_with_their_own_copies(spark):
+    rng = random.Random(4)
+    one, two, three = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = documents(spark, [one, two, two, three, three + " tail", one], [7, 7, 7, 7, 9, None])
+    found = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()
+    texts = sorted((r.doc_id or 0, r.text) for r in found)
+    first = min(one, two, three)
+    assert (0, one) in texts and (7, first) in texts and {t for i, t in texts if i == 7} >= {one, two}
+    assert len(texts) == 4 and len([t for _, t in texts if t.startswith(three)]) == 1
