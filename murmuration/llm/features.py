@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.llm.common import mix, prefix_hash, span_hash
+from murmuration.session import cut_lineage
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -136,38 +137,42 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
-def labelled_sample(rows: DataFrame, id_col: str, label: str, text: str, each: int, largest: int, labels: int = 1024) -> pa.Table:
+def labelled_sample(
+    docs: DataFrame, id_col: str, label: str, text: str, each: int, largest: int, labels: int = 1024, known: DataFrame | None = None
+) -> pa.Table:
     """At most ``each`` rows of each label, as ``(label, text)`` on the driver; more than ``labels`` labels are an error.
 
-    Only for fitting: of over 64 labels fewer rows are taken each, 64 times ``each`` in all, and of texts those of up to
-    ``largest`` bytes, so the sample has a fixed bound. A label without such texts gives its smallest text. Which rows
-    are taken depends on a hash of their id and text alone.
+    ``known`` holds ``(id, label)`` where the label is no column of the documents. Only for fitting: of over 64 labels
+    fewer rows are taken each, 64 times ``each`` in all, and of texts those of up to ``largest`` bytes, so the sample has
+    a fixed bound. A label without such texts gives its smallest text. Which rows are taken depends on a hash of their id
+    and text alone. Ranks are found on ids, sizes and hashes; texts are read again for the rows taken and never shuffled.
     """
-    known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("order")
-    )
-    fits = F.octet_length("text") <= largest
-    counts = known.groupBy("label").agg(F.count_if(fits).alias("count"), F.min(F.octet_length("text")).alias("least"))
+    named = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    order = F.xxhash64(id_col, text)
+    size = F.octet_length(text).cast("long").alias("bytes")
+    if known is None:
+        light = named.select(F.col(id_col).alias("id"), size, order.alias("order"), F.col(label).alias("label"))
+    else:
+        light = named.select(F.col(id_col).alias("id"), size, order.alias("order")).join(known.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "id")
+    light = cut_lineage(light.where("label IS NOT NULL").withColumn("label", F.col("label").cast("string")), "labelled")
+    fits = F.col("bytes") <= largest
+    counts = light.groupBy("label").agg(F.count_if(fits).alias("count"), F.min("bytes").alias("least"))
     counts = counts.orderBy(F.desc("count"), "label").limit(labels + 1).collect()
     if len(counts) > labels:
         raise ValueError(f"more than {labels} labels")
-    each = min(each, max(1, 64 * each // max(1, len(counts))))
-    usable = known.where(fits)
-    cuts, large = [], []
-    for row in counts:  # a share of the hashes first, with room to spare, so that few texts are sorted
-        if not row["count"]:
-            large.append((row["label"], row["least"]))
-            continue
-        share = min(1.0, 1.5 * each / row["count"] + 50 / row["count"])
-        cut = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-        cuts.append((row["label"], min(cut, (1 << 63) - 1)))
     if not counts:
         return pa.table({"label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-    spark, order = rows.sparkSession, Window.partitionBy("label").orderBy("order", "text")
-    taken = usable.join(F.broadcast(spark.createDataFrame(cuts, "label string, cut long")), "label").where("order <= cut").drop("cut")
-    kept = taken.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    each = min(each, max(1, 64 * each // len(counts)))
+    spark, by_order = docs.sparkSession, Window.partitionBy("label").orderBy("order")
+    ranked = light.where(fits).withColumn("n", F.row_number().over(by_order)).where(F.col("n") <= each)
+    large = [(row["label"], row["least"]) for row in counts if not row["count"]]
     if large:
-        smallest = known.join(F.broadcast(spark.createDataFrame(large, "label string, least int")), "label")
-        smallest = smallest.where(F.octet_length("text") == F.col("least")).drop("least")
-        kept = kept.unionByName(smallest.withColumn("n", F.row_number().over(order)).where("n = 1"))
-    return kept.select("label", "n", "text").toArrow().sort_by([("label", "ascending"), ("n", "ascending")]).select(["label", "text"])
+        smallest = light.join(F.broadcast(spark.createDataFrame(large, "label string, bytes long")), ["label", "bytes"]).select(*light.columns)
+        ranked = ranked.unionByName(smallest.withColumn("n", F.row_number().over(by_order)).where("n = 1"))
+    taken = cut_lineage(ranked.select(F.col("id").alias("of"), "order", "label", "n"), "taken")
+    texts = docs.select(F.col(id_col).alias("of"), order.alias("order"), F.col(text).alias("text"))
+    found = texts.join(F.broadcast(taken), ["of", "order"]).select("label", "n", "text")  # at most 64 * each rows without texts
+    table = found.toArrow().sort_by([("label", "ascending"), ("n", "ascending")])
+    place = list(zip(table["label"].to_pylist(), table["n"].to_pylist(), strict=True))  # rows that repeat id and text come up once for each
+    first = [i for i, x in enumerate(place) if i == 0 or x != place[i - 1]]
+    return table.take(pa.array(first, pa.int64())).select(["label", "text"])

@@ -169,20 +169,19 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     are replaced; rows are independent, and an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,537 rows of one number a machine
-    source = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    at, names = source.columns.index(text), [*source.columns, "lang_pred", "score"]
-    schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
-    def run(batches):
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def told(column: pa.Array) -> pa.Array:
         known = shared.value
         words = np.array([*known.languages, UNDETERMINED], object)
-        for batch in batches:
-            found = [known.predict(data, bounds) for _, _, data, bounds in text_slices(batch.column(at))]
-            language = np.concatenate([f[0] for f in found]) if found else np.empty(0, int)
-            score = np.concatenate([f[1] for f in found]) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words[language], pa.string()), pa.array(score, pa.float64())], names=names)
-
-    return source.mapInArrow(run, schema)
+        found = [known.predict(data, bounds) for _, _, data, bounds in text_slices(column)]
+        language = np.concatenate([f[0] for f in found]) if found else np.empty(0, int)
+        score = np.concatenate([f[1] for f in found]) if found else np.empty(0)
+        return pa.StructArray.from_arrays([pa.array(words[language], pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    both = docs.select(*kept, told(text).alias("lang_pred"))  # texts go to Python, only the answers come back
+    return both.select(*kept, F.col("lang_pred.lang_pred").alias("lang_pred"), F.col("lang_pred.score").alias("score"))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

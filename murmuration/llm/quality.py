@@ -77,8 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     Labels other than 0 and 1 are not used. ``each`` and ``largest`` (bytes of a text) bound what is fitted on.
     """
     known = labels.where((remainder(id_col, 5) != 0) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias("_label"))
-    rows = docs.where(remainder(id_col, 5) != 0).select(id_col, text).join(known, id_col)
-    return fit(labelled_sample(rows, id_col, "_label", text, each, largest, labels=2))
+    return fit(labelled_sample(docs.where(remainder(id_col, 5) != 0), id_col, "_label", text, each, largest, labels=2, known=known))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
@@ -87,19 +86,15 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     A given column ``out`` is replaced; rows are independent, and an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), float(model.offsets[1] - model.offsets[0])))  # half a megabyte
-    source = docs.select(*[c for c in docs.columns if c != out])
-    at, names = source.columns.index(text), [*source.columns, out]
-    schema = source.withColumn(out, F.lit(0.0)).schema
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def chance(column: pa.Array) -> pa.Array:
         table, offset = shared.value
-        for batch in batches:
-            found = [FEATURES.means(table, data, bounds) for _, _, data, bounds in text_slices(batch.column(at))]
-            raw = np.concatenate(found) + offset if found else np.empty(0)
-            chance = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], names=names)
+        found = [FEATURES.means(table, data, bounds) for _, _, data, bounds in text_slices(column)]
+        raw = np.concatenate(found) + offset if found else np.empty(0)
+        return pa.array(1 / (1 + np.exp(-np.clip(raw, -500, 500))), pa.float64())
 
-    return source.mapInArrow(run, schema)
+    return docs.select(*[c for c in docs.columns if c != out], chance(text).alias(out))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import gram_hash, mix, prefix_hash, span_hash, text_slices
+from murmuration.llm.common import gram_hash, mix, prefix_hash, span_hash, text_bytes, text_slices
 from murmuration.session import cut_lineage
 
 FIRST_GRAM = 32  # bytes of the first buckets' strings
@@ -62,6 +62,18 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     return row, gram[at].view(np.int64), whole.view(np.int64), low - bounds[row], high - bounds[row], at - bounds[row]
 
 
+def rows_with_blocks(batch: pa.RecordBatch):
+    """``(key, bytes, blocks)`` of each row of ``(key, text, blocks)``, the blocks as arrays by their names.
+
+    Rows are taken from the batch's own memory one by one, so no second copy of all its texts and blocks exists.
+    """
+    data, bounds = text_bytes(batch.column(1))
+    for row, key in enumerate(batch.column(0).to_numpy()):
+        blocks = batch.column(2).slice(row, 1).flatten()
+        held = {f.name: blocks.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(blocks.type)}
+        yield key, data[bounds[row] : bounds[row + 1]], held
+
+
 BLOCKS = ["bucket", "whole", "key", "low", "high", "place"]
 
 
@@ -89,10 +101,9 @@ def part_blocks(open_blocks: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                prefix = prefix_hash(np.frombuffer(text.encode("utf-8"), np.uint8))
-                low, high, place = (np.array([b[c] for b in blocks], np.int64) for c in ("low", "high", "place"))
-                known = np.array([b["known"] for b in blocks], bool)
+            for key, data, blocks in rows_with_blocks(batch):
+                prefix = prefix_hash(data)
+                low, high, place, known = (blocks[c] for c in ("low", "high", "place", "known"))
                 first, last = (place - high) // PART, (place - low) // PART
                 of = np.repeat(np.arange(len(low)), last - first + 1)
                 part = np.arange(len(of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[of]
@@ -129,11 +140,11 @@ def refined_starts(open_blocks: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = refined(np.frombuffer(text.encode("utf-8"), np.uint8), length)
-                low = np.array([b["low"] for b in blocks])
-                sizes = np.array([b["high"] for b in blocks]) - low + 1
-                known = np.repeat(np.array([b["known"] for b in blocks]), sizes)
+            for key, data, blocks in rows_with_blocks(batch):
+                name = refined(data, length)
+                low = blocks["low"]
+                sizes = blocks["high"] - low + 1
+                known = np.repeat(blocks["known"], sizes)
                 start = np.arange(sizes.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
                 arrays = [pa.array(name[start].view(np.int64)), pa.array(np.full(len(start), key)), pa.array(start), pa.array(known)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["name", "key", "low", "known"])
@@ -274,26 +285,24 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> D
     """The rows with repeated strings taken out of the text; null texts stay null, other columns stay as they are.
 
     As ``dedup_digest`` judges them, except that a character of which only some bytes are covered stays whole.
-    Columns named ``_key``, ``_copied`` and ``_spans`` are used inside.
+    Only texts of which something goes are sent to Python, and only they come back.
     """
     spans, _ = repeated_spans(docs, text, length)
     spans = cut_lineage(spans, "spans")
-    named = docs.withColumn("_key", F.xxhash64(text))
-    copies = named.where(F.octet_length(text) >= length).groupBy("_key").count().where("count > 1").select("_key", F.lit(True).alias("_copied"))
-    found = spans.withColumnsRenamed({"key": "_key", "spans": "_spans"}).join(copies, "_key", "full")
-    joined = named.join(found, "_key", "left").select(*docs.columns, "_copied", "_spans")
-    at, names = docs.columns.index(text), docs.columns
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            columns = (batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())
-            for whole, copied, held in zip(*columns, strict=True):
-                if whole is None or not copied and not held:
-                    out.append(whole)
-                else:
-                    out.append("" if copied else cut(whole, held, whole_characters=True).decode("utf-8"))
-            arrays = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return joined.mapInArrow(run, docs.schema)
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"))
+    copies = named.where(F.col("size") >= length).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
+    touched = cut_lineage(spans.join(copies, "key", "full"), "touched")
+    joined = named.join(touched, "key", "left")
+
+    @F.arrow_udf("string")
+    def left_of(texts: pa.Array, copied: pa.Array, held: pa.Array) -> pa.Array:
+        out = []
+        for row in range(len(texts)):
+            whole = texts[row].as_py()
+            out.append(whole if whole is None else "" if copied[row].as_py() else cut(whole, held[row].as_py(), whole_characters=True).decode("utf-8"))
+        return pa.array(out, pa.string())
+
+    changed = F.coalesce("copied", F.lit(False)) | F.col("spans").isNotNull()
+    whole = F.col("row").getField(text)
+    new = F.when(changed, left_of(F.when(changed, whole), F.coalesce("copied", F.lit(False)), "spans")).otherwise(whole)
+    return joined.select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
