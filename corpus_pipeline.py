@@ -33,18 +33,17 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Rows that repeat an id are judged by their texts: of equal ones one is looked at, of others the first keeps the id
     and the rest stand behind all ids, each for itself. Rows without an id are no one's copies and stay.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    repeated = cut_lineage(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    several = known.join(repeated, "doc_id").withColumn("_n", F.row_number().over(order)).withColumn("_before", F.lag("text").over(order))
-    several = several.where("_n = 1 OR NOT (text <=> _before)")
-    behind = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    several = several.withColumn("_key", F.when(F.col("_n") == 1, F.col("doc_id").cast("long")).otherwise(behind))
-    several = cut_lineage(several.select(*docs.columns, "_key"), "repeated-rows")
-    single = known.join(repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias("_key"))
-    rows = single.unionByName(several)
-    kept = minhash.near_copies(rows, "_key").where("kept").select("_key")
-    return rows.join(kept, "_key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    known = named.where("id IS NOT NULL")
+    repeated = cut_lineage(known.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    order = Window.partitionBy("id").orderBy("text")
+    several = known.join(repeated, "id").withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("text").over(order))
+    several = several.where("n = 1 OR NOT (text <=> before)")
+    behind = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    several = several.select("row", F.when(F.col("n") == 1, F.col("id")).otherwise(behind).alias("id"), "text")
+    rows = known.join(repeated, "id", "left_anti").select("row", "id", "text").unionByName(cut_lineage(several, "repeated-rows"))
+    kept = minhash.near_copies(rows.select("id", "text"), "id").where("kept").select("id")
+    return rows.join(kept, "id", "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
