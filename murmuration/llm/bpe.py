@@ -29,6 +29,47 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def other_classes(file: str) -> dict[int, str]:
+    """Code points that the tokenizers library takes for another kind (letter, digit, other) than ``regex`` does, each with a
+    character of the library's kind: the two know different versions of Unicode. All assigned planes are tried."""
+    from tokenizers import Regex, pre_tokenizers
+
+    with open(file, encoding="utf-8") as source:
+        pattern = json.load(source)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    split, own = pre_tokenizers.Split(Regex(pattern), "removed", invert=True), regex.compile(pattern)
+    stand_ins = {1: "ª", 2: "²", 3: "†"}  # a letter, a digit, neither
+    out = {}
+    for first in (*range(0x80, 0x40000, 1 << 14), 0xE0000):
+        codes = [c for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{chr(c)}!" for c in codes)  # letters join the a, others the mark, digits neither
+
+        def kinds(bounds: list[tuple[int, int]], n: int = len(codes)) -> list[int]:
+            starts = {a for a, _ in bounds}
+            ends = {b for _, b in bounds}
+            return [1 if 4 * i + 2 in ends and 4 * i + 1 not in starts else 2 if 4 * i + 2 in ends else 3 if 4 * i + 1 in starts else 0 for i in range(n)]
+
+        theirs = kinds([b for _, b in split.pre_tokenize_str(text)])
+        ours = kinds([m.span() for m in own.finditer(text)])
+        out |= {c: stand_ins[t] for c, t, o in zip(codes, theirs, ours, strict=True) if t != o and t}
+    return out
+
+
+@lru_cache(maxsize=2)
+def other_cases(file: str) -> dict[int, str]:
+    """Code points that the library turns into another lower case than ``str.lower`` does, for the same reason."""
+    from tokenizers import Tokenizer
+
+    normalizer, out = Tokenizer.from_file(file).normalizer, {}
+    for first in (*range(0x80, 0x40000, 1 << 14), 0xE0000):
+        chars = [chr(c) for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        chars = [c for c in chars if not c.isspace()]  # white space is dropped before
+        text = "|".join(chars)
+        theirs, ours = normalizer.normalize_str(text).split("|"), WordBpe.normal(text).split("|")
+        out |= {ord(c): t for c, t, o in zip(chars, theirs, ours, strict=True) if t != o}
+    return out
+
+
 class WordBpe:
     """A tokenizer file with word ends, read for encoding: lower case, white space dropped.
 
@@ -36,7 +77,10 @@ class WordBpe:
     lower case, and one splitting pattern before the byte symbols; anything else is refused.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, others: dict[int, str] | None = None, cases: dict[int, str] | None = None):
+        self.others = other_classes(file) if others is None else others
+        self.cases = other_cases(file) if cases is None else cases
+        self.other = regex.compile("[" + "".join(map(regex.escape, map(chr, self.others))) + "]") if self.others else None
         with open(file, encoding="utf-8") as source:
             spec = json.load(source)
         model = spec["model"]
@@ -162,9 +206,15 @@ class WordBpe:
         parts = self.cut.split(chunk) if self.cut and "<|" in chunk else [chunk]
         words: list[str] = []
         for part in parts:
-            words += [part] if part in self.special else self.pattern.findall(self.normal(part))
+            words += [part] if part in self.special else self.words_of(self.normal(part if part.isascii() else part.translate(self.cases)))
         return words
 
+    def words_of(self, part: str) -> list[str]:
+        """What the splitting pattern finds, characters taken for the kinds that the library takes them for."""
+        if self.other is None or part.isascii() or not self.other.search(part):
+            return self.pattern.findall(part)
+        return [part[slice(*m.span())] for m in self.pattern.finditer(part.translate(self.others))]
+
     def encode_chunks(self, chunks: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of each of the chunks. Words met before are looked up in a table of bounded size."""
         split = {c: self.split(c) for c in chunks}
@@ -191,8 +241,8 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(file: str) -> WordBpe:
-    return WordBpe(file)
+def load(file: str, others: tuple[tuple[int, str], ...] | None = None, cases: tuple[tuple[int, str], ...] | None = None) -> WordBpe:
+    return WordBpe(file, None if others is None else dict(others), None if cases is None else dict(cases))
 
 
 class TextCoder:
@@ -247,9 +297,10 @@ def encode_decode(docs: DataFrame, file: str, text: str = "text", texts: bool =
     schema = T.StructType([*source.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items())])
 
     names = [*source.columns, *added]
+    others, cases = tuple(other_classes(file).items()), tuple(other_cases(file).items())  # found once, of all code points
 
     def run(batches):
-        coder = TextCoder(load(file))
+        coder = TextCoder(load(file, others, cases))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text)).to_pylist()
             counts, ids_sha, decoded_sha, ids_out, decoded_out = [], [], [], [], []

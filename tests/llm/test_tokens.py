@@ -34,6 +34,14 @@ def test_encode_and_decode(library):
     assert coder.encode(None) == []
 
 
+def test_every_code_point_as_in_the_library(library):
+    coder = bpe.load(TOKENIZER)
+    for first in (*range(0, 0x40000, 512), *range(0xE0000, 0xE0200, 512)):
+        chars = [chr(c) for c in range(first, first + 512) if not 0xD800 <= c < 0xE000]
+        for text in ("".join(f"a{c}b{c}! {c}1 " for c in chars), " ".join(chars)):
+            assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(first)
+
+
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     coder = bpe.TextCoder(bpe.WordBpe(TOKENIZER), limit=3)
