@@ -36,11 +36,18 @@ WHOLE = {"html", "body", "article", "main"}  # never dropped by a name
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert|adverts|advertisement|advertisements|adbox|adsense|sponsor|sponsored|sponsors|promo|promoted|promotion|"
     r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|masthead|header|topbar|toolbar|footer|"
-    r"sidebar|sidebars|aside|widget|widgets|related|recommended|comment|comments|commentlist|disqus|respond|replies|"
+    r"sidebar|sidebars|aside|widget|widgets|related|recommended|comment|comments|commentlist|disqus|respond|responses|replies|"
     r"cookie|cookies|consent|gdpr|notice|notices|alert|banner|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"share|sharing|social|login|signin|signup|search|searchbox|skip|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
+PARAGRAPHS = {"p", "pre", "li", "dd", "dt", "td", "th", "blockquote", "figcaption"}
+NOTICE = re.compile(
+    r"\b(?:we|site|website|page) uses? cookies\b|\baccept (?:all )?cookies\b|\bcookie (?:policy|settings)\b|"
+    r"\ball rights reserved\b|^(?:\(c\)|©|copyright\b)|^readers? (?:say|said|write|wrote|comment)",
+    re.I,
+)
+LINE = 80  # characters
 MODIFIERS = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]+[^\s_-]+", re.I)  # has-sidebar names what stands beside
 MOST = 0.8  # of a page's points: an element with so many is the article, whatever its name
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
@@ -60,7 +67,10 @@ class Node:
     score: float = 0.0
     chars: int = 0  # of text below
     linked: int = 0  # of these, in links
+    points: float = 0.0  # of the blocks below
+    bare: int = 0  # of the text below, characters outside paragraphs, lists, quotes and headings
     children: list = field(default_factory=list)
+    holder: Node | None = None  # the nearest block element, itself if it is one
 
 
 @dataclass
@@ -103,7 +113,9 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     nothing if there is none; a paragraph ends where another block begins.
     """
     root = Node("#root", None, 0)
+    root.holder = root
     stack, blocks = [root], []
+    is_open: dict[str, int] = {}  # how many open elements bear a name: a search that cannot succeed is not begun
     run: list[str] = []
     linked: list[str] = []
     links = made = at = 0
@@ -113,15 +125,16 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                of = next(n for n in reversed(stack) if n.tag not in INLINE)
-                blocks.append(Block(of, text, min(len(text), len(" ".join(html.unescape("".join(linked)).split())))))
+                blocks.append(Block(stack[-1].holder, text, min(len(text), len(" ".join(html.unescape("".join(linked)).split())))))
         run, linked = [], []
 
     def close(depth: int) -> None:
         nonlocal links
         if any(n.tag not in INLINE for n in stack[depth:]):
             end_block()
-        links -= sum(n.tag == "a" for n in stack[depth:])
+        for n in stack[depth:]:
+            is_open[n.tag] -= 1
+            links -= n.tag == "a"
         del stack[depth:]
 
     def add(piece: str) -> None:
@@ -142,8 +155,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if not tag:
             continue  # a comment, a declaration or a tag that is cut off
         if page[found.start() + 1] == "/":
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                end_block()
+            if not is_open.get(tag):
+                if tag == "p":
+                    end_block()
+                continue
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at].tag == tag:
                     close(at)
@@ -151,7 +166,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                 if tag in INLINE and stack[at].tag not in INLINE:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and is_open.get("p"):
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at].tag == "p":
                     close(at)
@@ -160,7 +175,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                     break
         if tag in CLOSES_SAME:
             same, bounds = CLOSES_SAME[tag]
-            for at in range(len(stack) - 1, 0, -1):
+            for at in range(len(stack) - 1, 0, -1) if any(map(is_open.get, same)) else ():
                 if stack[at].tag in bounds:
                     break
                 if stack[at].tag in same:
@@ -183,11 +198,12 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         named = is_named(tag, found[2])
         dropped = top.dropped or is_dropped(tag, found[2], inside) or named and tag in INLINE
         node = Node(tag, top, made, dropped, inside, named)
+        node.holder = top.holder if tag in INLINE else node
         if tag not in INLINE and not node.dropped:
-            holder = next(x for x in reversed(stack) if x.tag not in INLINE)
-            node.parent = holder
-            holder.children.append(node)
+            node.parent = top.holder
+            top.holder.children.append(node)
         stack.append(node)
+        is_open[tag] = is_open.get(tag, 0) + 1
         links += tag == "a"
     end_block()
     return root, blocks
@@ -198,68 +214,111 @@ def points_of(block: Block) -> float:
     return 0.5 if block.parent.tag in HEADINGS else 1 + block.text.count(",") + min(len(block.text) / 100, 3)
 
 
+def ancestry(blocks: list[Block]) -> list[Node]:
+    """The elements with a block below them, parents before their children."""
+    seen: dict[int, Node] = {}
+    for block in blocks:
+        node = block.parent
+        while node is not None and node.order not in seen:
+            seen[node.order] = node
+            node = node.parent
+    return [seen[order] for order in sorted(seen)]
+
+
 def without_named(blocks: list[Block]) -> list[Block]:
     """The blocks outside named elements, but for those that turn out to be the article's own wrappers.
 
     Such a wrapper is a form with ``MOST`` of the page's points. Where no article or main element has a paragraph outside
     named elements, it is also any element with so many points or around an article or main that is not itself named.
     """
-    points: dict[int, float] = {}
-    holders, forms, outside, above = set(), set(), False, []
-    for block in blocks:
-        node, own, named = block.parent, False, []
-        while node is not None:
-            own |= node.tag in ("article", "main") and not node.named
-            if node.named and node.tag not in WHOLE:
-                named.append(id(node))
-                points[id(node)] = points.get(id(node), 0.0) + points_of(block)
-                if own:
-                    holders.add(id(node))
-                if node.tag == "form":
-                    forms.add(id(node))
-            node = node.parent
-        outside |= own and not named and block.parent.tag not in HEADINGS
-        above.append(named)
-    if not points:
+    nodes = ancestry(blocks)
+    named = {n.order for n in nodes if n.named and n.tag not in WHOLE}
+    if not named:
         return blocks
+    own = {n.order for n in nodes if n.tag in ("article", "main") and not n.named}
+    for block in blocks:
+        block.parent.points += points_of(block)
+    around = set(own)  # elements that hold such an article or main, or are one
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.points += node.points
+            if node.order in around:
+                around.add(node.parent.order)
+    inside, below = set(), set()  # of an own article or main; of a named element
+    for node in nodes:
+        above = node.parent.order if node.parent is not None else -1
+        if node.order in own or above in inside:
+            inside.add(node.order)
+        if node.order in named or above in below:
+            below.add(node.order)
+    outside = any(b.parent.order in inside and b.parent.order not in below and b.parent.tag not in HEADINGS for b in blocks)
     least = MOST * sum(map(points_of, blocks))
-    lifted = {x for x, n in points.items() if n >= least and (x in forms or not outside)} | (set() if outside else holders)
-    return [block for block, named in zip(blocks, above, strict=True) if lifted.issuperset(named)]
+    lifted = {n.order for n in nodes if n.order in named and n.points >= least and (n.tag == "form" or not outside)}
+    if not outside:
+        lifted |= named & around
+    lost: set[int] = set()
+    for node in nodes:
+        if node.order in named and node.order not in lifted or node.parent is not None and node.parent.order in lost:
+            lost.add(node.order)
+    return [block for block in blocks if block.parent.order not in lost]
 
 
 def score(blocks: list[Block]) -> list[Node]:
-    """Give every container its points and return the containers.
+    """Give every container its points and return the containers, parents before their children.
 
     A block's points go to the container around its paragraph in full, to the next one by half and to the one
-    after by a third. Each container loses its share of linked text.
+    after by a third. Each container loses its share of linked text. Lengths are added up once, children before parents.
     """
-    seen: dict[int, Node] = {}
     for block in blocks:
-        node = block.parent
-        while node is not None:
-            node.chars += len(block.text)
-            node.linked += block.linked
-            seen[id(node)] = node
-            node = node.parent
+        block.parent.chars += len(block.text)
+        block.parent.linked += block.linked
+        block.parent.bare += len(block.text) if block.parent.tag not in HEADINGS and block.parent.tag not in PARAGRAPHS else 0
         points = points_of(block)
         holder = block.parent
-        if holder.tag in HEADINGS or holder.tag in ("p", "pre", "li", "dd", "dt", "td", "th", "blockquote", "figcaption"):
+        if holder.tag in HEADINGS or holder.tag in PARAGRAPHS:
             holder = holder.parent or holder
         for share in (1, 2, 3):
             if holder is None:
                 break
             holder.score += points / share
             holder = holder.parent
-    for node in seen.values():
+    nodes = ancestry(blocks)
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+            node.parent.bare += node.bare
         node.score *= 1 - node.linked / node.chars
-    return list(seen.values())
+    return nodes
+
+
+def kept_siblings(best: Node) -> set[int]:
+    """The siblings of the best container that belong to it where no article or main element tells.
+
+    Strong ones have a fifth of its score. Headings and others of few links stay where they stand between strong ones. Before
+    the first and after the last, a section must consist of paragraphs, lists or quotes, or be longer than a line: a
+    short line of bare text there, like a copyright or a count of readers, is none. Lines that ask for consent, name
+    rights or bring in readers' words go wherever they stand.
+    """
+    least, children = best.score * 0.2, best.parent.children
+    strong = [i for i, n in enumerate(children) if n is best or n.score >= max(least, 1e-9)]
+    out = {children[i].order for i in strong}
+    for i, other in enumerate(children):
+        if other.order in out:
+            continue
+        density = other.linked / other.chars if other.chars else 1.0
+        few = density < 0.25 if other.chars > LINE or other.tag in HEADINGS else density == 0
+        section = other.tag in HEADINGS or other.tag in PARAGRAPHS or other.bare * 2 < other.chars or other.chars > LINE
+        if few and (strong[0] < i < strong[-1] or section):
+            out.add(other.order)
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by two line feeds; empty for null, empty and text-free pages.
 
-    The best container is raised to the article or main element around it, if there is one. Of its siblings
-    those stay that score a fifth of it, are headings, or are of few links, whatever their length.
+    The best container is raised to the article or main element around it, if there is one. Else those of its siblings stay
+    that ``kept_siblings`` names.
     """
     if not page:
         return ""
@@ -275,25 +334,20 @@ def main_text(page: str | None) -> str:
         node = node.parent
     if around is not None:
         best = around
-    kept = {id(best)}
-    if best.parent is not None:
+    kept = {best.order}
+    if best.parent is not None and around is None:
+        kept |= kept_siblings(best)
+    elif best.parent is not None:
         least = best.score * 0.2
-        for other in best.parent.children:
-            density = other.linked / other.chars if other.chars else 1.0
-            good = other.tag == best.tag and density < 0.5 and other.score >= least
-            good |= around is None and other.score >= max(least, 1e-9)
-            good |= around is None and other.tag in HEADINGS and density < 0.25
-            good |= around is None and other.tag not in HEADINGS and (density < 0.25 if other.chars > 80 else density == 0)
-            if good:
-                kept.add(id(other))
-    out = []
-    for block in blocks:
-        node = block.parent
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is not None or around is None and block.parent is best.parent and not block.linked and best.parent.tag != "#root":
-            out.append(block.text)
-    return "\n\n".join(out)
+        kept |= {n.order for n in best.parent.children if n.tag == best.tag and n.chars and n.linked / n.chars < 0.5 and n.score >= least}
+    for node in nodes:
+        if node.parent is not None and node.parent.order in kept:
+            kept.add(node.order)
+    beside = around is None and best.parent is not None and best.parent.tag != "#root"
+    stays = [b for b in blocks if b.parent.order in kept or beside and b.parent is best.parent and not b.linked]
+    if around is None:
+        stays = [b for b in stays if len(b.text) > 2 * LINE or not NOTICE.search(b.text)]
+    return "\n\n".join(b.text for b in stays)
 
 
 def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
