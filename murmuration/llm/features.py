@@ -164,7 +164,12 @@ def labelled_sample(
         return pa.table({"label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
     each = min(each, max(1, 64 * each // len(counts)))
     spark, by_order = docs.sparkSession, Window.partitionBy("label").orderBy("order")
-    ranked = light.where(fits).withColumn("n", F.row_number().over(by_order)).where(F.col("n") <= each)
+    cuts = []
+    for row in counts:  # a share of the hashes first, with room to spare, so that few rows are ranked however many there are
+        share = min(1.0, 1.5 * each / row["count"] + 50 / row["count"]) if row["count"] else 1.0
+        cuts.append((row["label"], min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)))
+    usable = light.where(fits).join(F.broadcast(spark.createDataFrame(cuts, "label string, cut long")), "label").where("order <= cut").drop("cut")
+    ranked = usable.select(*light.columns).withColumn("n", F.row_number().over(by_order)).where(F.col("n") <= each)
     large = [(row["label"], row["least"]) for row in counts if not row["count"]]
     if large:
         smallest = light.join(F.broadcast(spark.createDataFrame(large, "label string, bytes long")), ["label", "bytes"]).select(*light.columns)

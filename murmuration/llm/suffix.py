@@ -292,7 +292,14 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> D
     named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"))
     copies = named.where(F.col("size") >= length).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     touched = cut_lineage(spans.join(copies, "key", "full"), "touched")
-    joined = named.join(touched, "key", "left")
+    keys, n = touched.select("key"), touched.count()
+    if n <= TEXTS_BROADCAST:  # only rows of which something goes are shuffled
+        keys = F.broadcast(keys)
+        rest = named.join(keys, "key", "left_anti")
+        hit = cut_lineage(named.join(keys, "key", "left_semi"), "touched-rows").join(touched, "key")
+        joined = hit.select("row", "copied", "spans").unionByName(rest.select("row"), allowMissingColumns=True)
+    else:
+        joined = named.join(touched, "key", "left")
 
     @F.arrow_udf("string")
     def left_of(texts: pa.Array, copied: pa.Array, held: pa.Array) -> pa.Array:
