@@ -12,6 +12,7 @@ from murmuration.session import cut_lineage
 
 LEAST_LANGUAGE_SCORE = 0.2
 LEAST_QUALITY = 0.3
+COPIES_BROADCAST = 1 << 20  # ids, 8 bytes each
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     behind = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     several = several.select("row", F.when(F.col("n") == 1, F.col("id")).otherwise(behind).alias("id"), "text")
     rows = known.join(repeated, "id", "left_anti").select("row", "id", "text").unionByName(cut_lineage(several, "repeated-rows"))
-    kept = minhash.near_copies(rows.select("id", "text"), "id").where("kept").select("id")
-    return rows.join(kept, "id", "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    copies = cut_lineage(minhash.near_copies(rows.select("id", "text"), "id").where("NOT kept").select("id"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= COPIES_BROADCAST else copies
+    return rows.join(copies, "id", "left_anti").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
