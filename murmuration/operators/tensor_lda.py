@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.numeric import triples, unpack_symmetric
 from murmuration.operators import moments as M
+from murmuration.operators.spectral import leading_axes
 from murmuration.session import cut_lineage, scratch_path
 
 TENSOR_BYTES = 1 << 29  # larger sets of batch tensors stay out of the driver; each step then sums over its batch's rows
@@ -252,9 +253,14 @@ def batch_tensors(vectors: DataFrame, whitening: M.Whitening, n: int, batch_size
 
 def fit(vectors: DataFrame, width: int, params: TopicParams) -> TopicModel:
     """Two passes over the documents: second moment, then per-batch third moments. Where these would not fit the
-    driver the same steps are taken on whitened rows that are written once."""
-    state = M.Moments.of(vectors, width)
-    whitening = M.whiten_fit(state, params.n_topics, params.alpha0)
+    driver the same steps are taken on whitened rows that are written once. Above ``moments.MAX_GRAM`` terms the second
+    moment is never built; its axes come from some more passes."""
+    if width > M.MAX_GRAM:
+        state = leading_axes(vectors, width, params.n_topics, params.alpha0)
+        whitening = state.whitening()
+    else:
+        state = M.Moments.of(vectors, width)
+        whitening = M.whiten_fit(state, params.n_topics, params.alpha0)
     if not fits_driver(params.n_topics, int(state.n), params.batch_size):
         batches = WrittenBatches.of(vectors, whitening, int(state.n), params.batch_size)
         phi = descend_on_data(initial_factors(params), vectors.sparkSession, batches, params)
@@ -265,8 +271,12 @@ def fit(vectors: DataFrame, width: int, params: TopicParams) -> TopicModel:
 
 def fit_exact(vectors: DataFrame, width: int, n_topics: int, alpha0: float, seed: int = 0):
     """Exact moments and power iteration: ``(weights, V x topics table, tensor, whitening, factors)``."""
-    state = M.Moments.of(vectors, width)
-    whitening, _ = M.whiten_exact(state, n_topics, alpha0)
+    if width > M.MAX_GRAM:
+        state = leading_axes(vectors, width, n_topics, alpha0, exact=True)
+        whitening = state.whitening(centred=False)
+    else:
+        state = M.Moments.of(vectors, width)
+        whitening, _ = M.whiten_exact(state, n_topics, alpha0)
     tensor = M.exact_third_moment(vectors, whitening, state, alpha0)
     weights, factors = power_iteration(tensor, n_topics, seed=seed)
     return weights, whitening.backward @ factors, tensor, whitening, factors

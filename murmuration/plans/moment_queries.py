@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
-from murmuration.operators import inference, moments, tensor_lda, topics, vocab
+from murmuration.operators import inference, moments, spectral, tensor_lda, topics, vocab
 from murmuration.plans import sql
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
@@ -227,6 +227,41 @@ def pca_project(spark, sf_dir):
     return rows.select("doc_id", F.col("y")[0].alias("pc1"), F.col("y")[1].alias("pc2"))
 
 
+# --- second moments over the whole vocabulary, by products alone
+
+WIDE = dict(min_df=2, max_df=1.0, max_features=vocab.MAX_VOCABULARY)
+WIDE_AXES = 20
+
+
+@query("whiten_matrix_free", identity_sql(WIDE_AXES, f"1 / (1 + {ALPHA0})"))
+def whiten_matrix_free(spark, sf_dir):
+    """As ``whiten_fit``, over all terms of two documents at least."""
+    vectors, _, words = prepared(spark, sf_dir, WIDE, scale=True)
+    fitted = spectral.leading_axes(vectors, len(words), WIDE_AXES, ALPHA0).whitening()
+    return second_moment_of(moments.whiten_transform(vectors, fitted))
+
+
+@query(
+    "leading_axes",
+    f"{BASE}, {sql.vocab(**WIDE)}, x AS (SELECT doc_id, term_id, cnt::DOUBLE AS c FROM counts JOIN vocab USING (term)), "
+    "scaled AS (SELECT doc_id, term_id, c / sum(c) OVER (PARTITION BY doc_id) AS c FROM x), "
+    f"m AS (SELECT sum(c) / {sql.N_DOCS} AS m, sum(c * c) / {sql.N_DOCS} AS e FROM scaled GROUP BY term_id) "
+    f"SELECT component::BIGINT AS component, round(({ALPHA0} + 1) * (SELECT sum(e) - sum(m * m) FROM m), 8) AS trace, true AS settled "
+    f"FROM range(1, {WIDE_AXES + 1}) c(component)",
+)
+def leading_axes(spark, sf_dir):
+    """The trace, and for each axis whether the second moment's product with it, worked out by joins, is its multiple."""
+    vectors, _, words = prepared(spark, sf_dir, WIDE, scale=True)
+    found = spectral.leading_axes(vectors, len(words), WIDE_AXES, ALPHA0)
+    axes = tensor_lda.topic_frame(spark, found.vectors).select(F.col("topic").cast("long").alias("component"), F.col("term_id").cast("long").alias("term_id"), F.col("weight").alias("v"))
+    values = F.element_at(F.lit([float(v) for v in found.values]), F.col("component").cast("int") + 1)
+    off = F.sqrt(F.sum(F.pow(F.col("cv") - values * F.col("v"), F.lit(2.0))))
+    met = spectral.moment_times(vectors, axes, ALPHA0).groupBy("component").agg(off.alias("off"))
+    return met.select(
+        (F.col("component") + 1).alias("component"), F.lit(round(found.trace, 8)).alias("trace"), (F.col("off") <= 1e-6 * float(found.values[0])).alias("settled")
+    )
+
+
 # --- third moments and the decomposition, on given rows: all embedding values, the label being the batch
 
 WIDTH, LABELS = 64, 10
