@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.sources import json_blocks
+
 # The raw post's fields, in declared form.
 POST_SCHEMA = (
     "created_at string, id bigint, lang string, text string, full_text string, "
@@ -46,32 +48,22 @@ def root_objects(text: str) -> Iterator[tuple[str, str | None]]:
 
 
 def _objects(spark: SparkSession, path, separator: str, whole_files: bool) -> DataFrame:
-    """``(file, json, reason)``: the top-level objects of files, and whatever else stands in them.
-
-    The separator parts records at the brace before it and keeps large files splittable; what it leaves
-    together is parted by ``root_objects``. ``whole_files`` reads each file as one record.
-    """
-    if whole_files:
-        records = spark.read.text(path, wholetext=True)
-        opened = F.col("value")
-    else:
-        records = spark.read.option("lineSep", separator).text(path)
-        start = separator[separator.index("{") :]
-        value = F.col("value")
-        opened = F.when(value.rlike(r"^[\s\x{FEFF}]*\{"), value).otherwise(F.concat(F.lit(start), value))
+    """``(file, json, reason)``: the top-level objects of files, and whatever else stands in them."""
+    if not whole_files:
+        return json_blocks.objects(spark, path, separator, root_objects)
 
     def run(batches):
         for batch in batches:
             files, parts, reasons = [], [], []
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part, reason in root_objects(text):
-                    files.append(file)
+            for file, text in zip(batch.column(0), batch.column(1), strict=True):
+                for part, reason in root_objects(text.as_py()):
+                    files.append(file.as_py())
                     parts.append(part)
                     reasons.append(reason)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (files, parts, reasons)], names=["file", "json", "reason"])
 
-    source = records.select(F.col("_metadata.file_path").alias("file"), opened.alias("value"))
-    return source.mapInArrow(run, "file string, json string, reason string")
+    records = spark.read.text(path, wholetext=True)
+    return records.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, "file string, json string, reason string")
 
 
 def scan_concat_json(
