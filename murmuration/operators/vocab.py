@@ -11,13 +11,15 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from murmuration.operators.skew import skew_join
 from murmuration.session import cut_lineage
 
 # A vocabulary at or below this size may be broadcast; every bounded builder here enforces it.
 MAX_VOCABULARY = 200_000
+MAX_WEIGHTS = 1 << 20  # terms whose weights travel to every task, some 30 bytes each
+ROWS_PER_PIECE = 500_000  # terms numbered by one task
 
 
 def each_token(docs: DataFrame, *keep: str, tokens: str = "tokens", name: str = "term") -> DataFrame:
@@ -26,6 +28,7 @@ def each_token(docs: DataFrame, *keep: str, tokens: str = "tokens", name: str =
     return docs.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
 
 
+WEIGHED = ArrayType(StructType([StructField("term", StringType()), StructField("tfidf", DoubleType())]))
 COUNTED = ArrayType(StructType([StructField("term", StringType()), StructField("cnt", LongType())]))
 
 
@@ -67,9 +70,47 @@ def normalize_terms(counts: DataFrame, forms: DataFrame, stats: DataFrame) -> Da
     return joined.groupBy("doc_id", F.col("form").alias("term")).agg(F.sum("cnt").alias("cnt"))
 
 
-def with_term_ids(vocabulary: DataFrame, order: str = "term") -> DataFrame:
-    """Dense alphabetical ids. Only for vocabularies of bounded size: the window is one task."""
-    return vocabulary.withColumn("term_id", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+def dense_ids(terms: DataFrame, key: str = "term", out: str = "term_id", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """Number the rows of a written table from 0 in the order of a unique string.
+
+    The strings are cut into ranges of about ``rows_per_piece`` rows, each range is sorted and numbered by one task, and
+    the exact sizes of the ranges before it (at most 4096 numbers) are added.
+    """
+    pieces = max(1, min(4096, -(-terms.count() // rows_per_piece)))
+    ranged = terms.repartitionByRange(pieces, key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged, "ranged-terms").withColumn("_piece", F.shiftright("_place", 33))
+    sizes = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_piece", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_piece").withColumn(out, F.col("_before") + inside).drop("_place", "_piece", "_before")
+
+
+def with_term_ids(vocabulary: DataFrame) -> DataFrame:
+    """Dense alphabetical ids for a vocabulary of any size; a small one is numbered by one task."""
+    known = cut_lineage(vocabulary, "vocabulary")
+    if known.count() > MAX_VOCABULARY:
+        return dense_ids(known)
+    return known.withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("long") - 1)
+
+
+def most_frequent(stats: DataFrame, by: str, n: int) -> DataFrame:
+    """The ``n`` terms of the largest number in a column, ties by term.
+
+    Many terms are cut where the count of terms by number says so, which is a short table; only those that tie there are
+    ranked among themselves.
+    """
+    if n <= MAX_VOCABULARY:
+        return stats.orderBy(F.desc(by), "term").limit(n)
+    stats = cut_lineage(stats, "term-stats")
+    through = F.sum("terms").over(Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0))
+    steps = stats.groupBy(by).agg(F.count(F.lit(1)).alias("terms")).withColumn("through", through)
+    cut = steps.where(F.col("through") >= n).orderBy("through").limit(1).collect()
+    if not cut:
+        return stats
+    level, wanted = cut[0][by], n - (cut[0]["through"] - cut[0]["terms"])
+    ties = dense_ids(stats.where(F.col(by) == level), out="_tie").where(F.col("_tie") < wanted).drop("_tie")
+    return stats.where(F.col(by) > level).unionByName(ties.select(*stats.columns))
 
 
 def build_vocab(
@@ -81,14 +122,12 @@ def build_vocab(
 ) -> DataFrame:
     """``(term_id, term, df, cf)``: drop terms in more than a share ``max_df`` or fewer than ``min_df``
     documents, keep the ``max_features`` most frequent if that is given (ties by term), number them alphabetically."""
-    if max_features is not None and max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features must be at most {MAX_VOCABULARY}")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = (
         term_stats(docs, tokens)
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs.scalar()))
     )
-    kept = kept if max_features is None else kept.orderBy(F.desc("cf"), "term").limit(max_features)
+    kept = kept if max_features is None else most_frequent(kept, "cf", max_features)
     return with_term_ids(kept).select("term_id", "term", "df", "cf")
 
 
@@ -96,14 +135,12 @@ def filter_extremes(
     docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep_n: int | None = None, tokens: str = "tokens"
 ) -> DataFrame:
     """The other dictionary rule: same limits, but the survivors are ranked by document frequency."""
-    if keep_n is not None and keep_n > MAX_VOCABULARY:
-        raise ValueError(f"keep_n must be at most {MAX_VOCABULARY}")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = (
         term_stats(docs, tokens)
         .where((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above) * n_docs.scalar()))
     )
-    kept = kept if keep_n is None else kept.orderBy(F.desc("df"), "term").limit(keep_n)
+    kept = kept if keep_n is None else most_frequent(kept, "df", keep_n)
     return with_term_ids(kept).select("term_id", "term", "df", "cf")
 
 
@@ -143,6 +180,22 @@ def doc_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens", keep:
     )
 
 
+def bow(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``(doc_id, term_id, cnt)`` against a vocabulary of any size: its table ``(term_id, term, df)`` is joined by term, never
+    collected. Frequent terms are hot keys, so ``df`` tells how far to spread them."""
+    known = cut_lineage(vocabulary.select("term", "term_id", "df"), "terms")
+    joined = skew_join(term_counts(docs, tokens=tokens), known, "term", "df", "doc_id")
+    return joined.select("doc_id", "term_id", "cnt")
+
+
+def bow_vectors(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``(doc_id, ids, cnts)`` as ``doc_vectors`` gives them, for a vocabulary of any size."""
+    cells = F.array_sort(F.collect_list(F.struct("term_id", "cnt")))  # a document's terms, which its text bounds
+    rows = bow(docs, vocabulary, tokens).groupBy("doc_id").agg(cells.alias("c"))
+    met = docs.select("doc_id").join(rows, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<term_id:bigint,cnt:bigint>>")))
+    return met.select("doc_id", F.col("c.term_id").cast("array<int>").alias("ids"), F.col("c.cnt").cast("array<double>").alias("cnts"))
+
+
 def l1_scale(vectors: DataFrame) -> DataFrame:
     """Each document's counts scaled to sum to one, so that very long documents do not outweigh the rest."""
     total = F.aggregate("cnts", F.lit(0.0), lambda s, v: s + v)
@@ -189,10 +242,50 @@ def pinned_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return cut_lineage(term_stats(docs, tokens), "term-stats")
 
 
-def _weighted(counts: DataFrame, stats: DataFrame, idf) -> DataFrame:
-    """Join each count to its term's document frequency; frequent terms are hot keys."""
-    joined = skew_join(counts, stats.select("term", "df"), "term", "df", "doc_id")
-    return joined.withColumn("tfidf", F.col("cnt") * idf)
+def _unit_weights(cells: DataFrame, stats: DataFrame, idf, least: float = 0.0) -> DataFrame:
+    """``(doc_id, term, tfidf)`` of ``(doc_id, cells)``: counts times ``idf(df)``, each document's row of length one.
+
+    Weights of up to ``MAX_WEIGHTS`` terms travel to the documents, which are weighed and scaled inside their rows, and nothing
+    is shuffled. More terms are joined; frequent ones are hot keys.
+    """
+    if stats.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
+        counts = cells.select("doc_id", F.explode_outer("cells").alias("c")).where(F.col("c").isNotNull()).select("doc_id", "c.term", "c.cnt")
+        joined = skew_join(counts, stats.select("term", "df"), "term", "df", "doc_id")
+        joined = joined.withColumn("tfidf", F.col("cnt") * idf(F, F.col("df")))
+        return l2_normalize(joined, "tfidf").where(F.abs("tfidf") > least).select("doc_id", "term", "tfidf")
+    table = stats.select("term", "df").toArrow().combine_chunks()
+    weights = idf(np, table["df"].to_numpy().astype(np.float64))
+    shared = stats.sparkSession.sparkContext.broadcast((table["term"].combine_chunks().cast(pa.large_string()), weights))
+
+    @F.arrow_udf(WEIGHED)
+    def weigh(column: pa.Array) -> pa.Array:
+        terms, weight = shared.value
+        held = column.flatten()
+        words = held.field(0).cast(pa.large_string()).dictionary_encode()
+        place = pc.index_in(words.dictionary, value_set=terms)
+        known = pc.fill_null(place, -1).to_numpy()[words.indices.to_numpy()]
+        value = held.field(1).to_numpy() * weight[known]
+        rows = pc.list_parent_indices(column).to_numpy()
+        norm = np.sqrt(np.bincount(rows, value * value, minlength=len(column)))[rows]
+        value = np.where(norm > 0, value / np.where(norm > 0, norm, 1), value)
+        good = (known >= 0) & (np.abs(value) > least)
+        offsets = np.searchsorted(rows[good], np.arange(len(column) + 1)).astype(np.int32)
+        parts = pa.StructArray.from_arrays([held.field(0).filter(pa.array(good)).cast(pa.string()), pa.array(value[good])], names=["term", "tfidf"])
+        return pa.ListArray.from_arrays(pa.array(offsets), parts)
+
+    weighed = cells.select("doc_id", F.explode_outer(weigh("cells")).alias("c")).where(F.col("c").isNotNull())
+    return weighed.select("doc_id", "c.term", "c.tfidf")
+
+
+def _counted_once(docs: DataFrame, tokens: str, stats: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Each document's counted tokens, and the terms' totals unless given. Where both are wanted texts are tokenised once."""
+    cells = docs.select("doc_id", counted(F.col(tokens)).alias("cells"))
+    if stats is not None:
+        return cells, stats
+    cells = cut_lineage(cells, "token-counts")
+    each = cells.select(F.explode_outer("cells").alias("c")).where(F.col("c").isNotNull())
+    totals = each.groupBy(F.col("c.term").alias("term")).agg(F.sum("c.cnt").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return cells, cut_lineage(totals, "term-stats")
 
 
 def tfidf_smooth(
@@ -200,20 +293,16 @@ def tfidf_smooth(
 ) -> DataFrame:
     """``(doc_id, term, tfidf)`` with idf = ln((1+N)/(1+df)) + 1 and unit rows. Pass the ``stats`` and
     document count of the whole corpus to weigh a part of it."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")) if n_docs is None else n_docs
-    stats = pinned_stats(docs, tokens) if stats is None else stats
-    idf = F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1
-    weights = _weighted(term_counts(docs, tokens=tokens), stats, idf)
-    return l2_normalize(weights, "tfidf").select("doc_id", "term", "tfidf")
+    cells, stats = _counted_once(docs, tokens, stats)
+    n = (docs if n_docs is None else n_docs).agg(F.count(F.lit(1)) if n_docs is None else F.max("n")).first()[0]
+    return _unit_weights(cells, stats, lambda m, df: m.log((1 + n) / (1 + df)) + 1, -1.0)
 
 
 def tfidf_log2(docs: DataFrame, tokens: str = "tokens", stats: DataFrame | None = None) -> DataFrame:
     """``(doc_id, term, tfidf)`` with idf = log2(N/df), unit rows, entries near zero dropped."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = pinned_stats(docs, tokens) if stats is None else stats
-    idf = F.log2(n_docs.scalar() / F.col("df"))
-    weights = _weighted(term_counts(docs, tokens=tokens), stats, idf)
-    return l2_normalize(weights, "tfidf").where(F.abs("tfidf") > 1e-12).select("doc_id", "term", "tfidf")
+    cells, stats = _counted_once(docs, tokens, stats)
+    n = docs.count()
+    return _unit_weights(cells, stats, lambda m, df: m.log2(n / df), 1e-12)
 
 
 def tfidf_from_bow(bow: DataFrame, vocabulary: DataFrame, n_docs: DataFrame) -> DataFrame:

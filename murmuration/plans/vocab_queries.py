@@ -58,6 +58,28 @@ def build_vocab(spark, sf_dir):
     return vocab.build_vocab(bigram_vocab_docs(spark, sf_dir), min_df=5, max_df=0.5, max_features=2000)
 
 
+ALL_TERMS = "all_terms AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df, cf FROM stats)"
+ALL_BASE = (
+    f"WITH tok0 AS (SELECT doc_id, {sql.kept_tokens('strip_accents(text)')} AS w FROM documents), "
+    "tok AS (SELECT doc_id, list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS tokens FROM tok0), "
+    f"words AS (SELECT doc_id, unnest(tokens) AS term FROM tok), {sql.COUNTS}, {sql.STATS}, {ALL_TERMS}"
+)
+
+
+@query("vocab_all_terms", f"{ALL_BASE} SELECT term_id, term, df, cf FROM all_terms")
+def vocab_all_terms(spark, sf_dir):
+    """Every word and pair of the corpus, numbered range by range."""
+    stats = vocab.pinned_stats(bigram_vocab_docs(spark, sf_dir))
+    return vocab.dense_ids(stats, rows_per_piece=50_000).select("term_id", "term", "df", "cf")
+
+
+@query("bow_all_terms", f"{ALL_BASE} SELECT doc_id, term_id, cnt FROM counts JOIN all_terms USING (term)")
+def bow_all_terms(spark, sf_dir):
+    """Counts against that vocabulary, joined by term."""
+    docs = bigram_vocab_docs(spark, sf_dir)
+    return vocab.bow(docs, vocab.dense_ids(vocab.pinned_stats(docs), rows_per_piece=50_000))
+
+
 @query("filter_extremes", f"{BASE}, {sql.vocab(15, 0.5, 1500, order='df')} SELECT term_id, term, df, cf FROM vocab")
 def filter_extremes(spark, sf_dir):
     return vocab.filter_extremes(preprocessed(spark, sf_dir), no_below=15, no_above=0.5, keep_n=1500)
