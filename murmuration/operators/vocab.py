@@ -168,7 +168,7 @@ def feature_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens") -
     """Documents with a sparse ``features`` vector of counts, position = term id. Counting happens
     inside each row, so nothing is shuffled; the bounded word list travels to the executors."""
     model = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
-    return model.transform(docs)
+    return model.transform(docs.withColumn(tokens, F.coalesce(tokens, F.array().cast("array<string>"))))
 
 
 def doc_vectors(docs: DataFrame, words: list[str], tokens: str = "tokens", keep: list[str] = ()) -> DataFrame:
