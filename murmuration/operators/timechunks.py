@@ -32,33 +32,59 @@ def sort_by_time(df: DataFrame, ts: str, id_col: str) -> DataFrame:
     return df.orderBy(ts, id_col)
 
 
-def _first_rows(df: DataFrame, ts: str, id_col: str, start: int, n: int):
-    """The ``n`` earliest rows at or after ``start``, looking at one day first so that a table laid out
-    by time skips everything else."""
-    for upper in (start + DAY_MICROS, None):
-        part = df.select(ts, id_col).where(F.col(ts) >= _time(df, ts, f"{start}L"))
-        if upper is not None:
-            part = part.where(F.col(ts) < _time(df, ts, f"{upper}L"))
-        found = part.orderBy(ts, id_col).limit(n).select(_micros(df, ts), id_col).collect()
-        if len(found) == n or upper is None:
-            return found
+MOST_ROWS = 4096  # rows looked at in one span
+
+
+def _span_heads(times: DataFrame, start: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(time, id, sure)`` of the first rows of every span of ``span`` microseconds from ``start`` on, in order of time and id.
+
+    The n-th span gives up to 4n + 16 rows: a chunk that opened n spans before has drifted by two rows a chunk, if rows come
+    as densely everywhere. ``sure`` tells whether the row after it, in the whole table, is the next one given.
+    """
+    number = F.call_function("div", F.col("t") - F.lit(start), F.lit(span))
+    rank = F.row_number().over(Window.partitionBy("span").orderBy("t", "id"))
+    heads = times.where(F.col("t") >= F.lit(start)).select("t", "id", number.alias("span")).withColumn("r", rank)
+    heads = heads.where(F.col("r") <= MOST_ROWS + 1)  # a constant, so tasks keep no more before the shuffle
+    limit = F.least(4 * F.col("span") + 16, F.lit(MOST_ROWS))
+    found = heads.where(F.col("r") <= limit + 1).select("t", "id", (F.col("r") > limit).alias("beyond")).toArrow().sort_by([("t", "ascending"), ("id", "ascending")])
+    t, row, beyond = (found[c].to_numpy() for c in ("t", "id", "beyond"))
+    given = ~beyond
+    sure = np.append(given[1:], True)[given]  # a span with more rows than were asked for shows one more
+    return t[given], row[given], sure
 
 
 def chunk_starts(df: DataFrame, ts: str, id_col: str, days: int = 7) -> list[tuple]:
     """First row ``(microseconds, id)`` of every chunk. A chunk opens at its first row and closes with the first
     row at or after that time plus ``days``, which it still holds; the next row opens the next chunk.
-    One top-2 query per chunk, so the loop is as long as the calendar span and not as the data. The queries go to
-    a copy of times and ids in order of time, of which each reads a day. Rows without a time are in no chunk."""
-    df = df.select(ts, id_col).where(F.col(ts).isNotNull())
-    df = cut_lineage(df.repartitionByRange(ts).sortWithinPartitions(ts), "times")
-    first = df.select(ts, id_col).orderBy(ts, id_col).limit(1).select(_micros(df, ts), id_col).collect()
-    starts = []
-    current = first[0] if first else None
-    while current is not None:
-        starts.append((current[0], current[1]))
-        closing = _first_rows(df, ts, id_col, current[0] + days * DAY_MICROS, 2)
-        current = closing[1] if len(closing) == 2 else None
-    return starts
+
+    One job gathers the first rows of all spans of ``days`` after a chunk's start, a table of the calendar's size; the driver
+    walks on as far as these rows tell what follows, usually to the end. Where rows come so unevenly that they do not,
+    the next job starts from the chunk reached. Rows without a time are in no chunk."""
+    times = df.where(F.col(ts).isNotNull()).select(_micros(df, ts).alias("t"), F.col(id_col).cast("long").alias("id"))
+    times = cut_lineage(times.repartitionByRange("t").sortWithinPartitions("t"), "times")
+    span = days * DAY_MICROS
+    first = times.agg(F.min(F.struct("t", "id")).alias("f")).first()["f"]
+    if first is None:
+        return []
+    current = (first["t"], first["id"])
+    starts = [current]
+    while True:
+        origin = current[0]
+        t, row, sure = _span_heads(times, origin, span)
+        while True:
+            until = current[0] + span
+            closing = int(np.searchsorted(t, until))
+            # rows not given stand behind an unsure one, in its span
+            if not sure[closing - 1] and until < origin + ((int(t[closing - 1]) - origin) // span + 1) * span:
+                break
+            if closing == len(t):
+                return starts
+            if not sure[closing]:
+                break
+            if closing + 1 == len(t):
+                return starts
+            current = (int(t[closing + 1]), int(row[closing + 1]))
+            starts.append(current)
 
 
 def anchored_weeks(df: DataFrame, ts: str, id_col: str, days: int = 7) -> DataFrame:

@@ -339,13 +339,13 @@ def cluster_distinct_terms(spark, sf_dir):
 
 CO_TOP = (
     f"{TOPICS}, top AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) - 1 AS b FROM topics "
-    "QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 10)"
+    "QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 20)"
 )
 
 
 def coherence_input(spark, sf_dir):
-    top = topics.top_words(lang_topics(spark, sf_dir), 10).select("topic", "rank", "term")
-    pinned = spark.createDataFrame(top.collect(), top.schema)  # topics x 10 rows
+    top = topics.top_words(lang_topics(spark, sf_dir), 20).select("topic", "rank", "term")
+    pinned = spark.createDataFrame(top.collect(), top.schema)  # topics x 20 rows
     return preprocessed(spark, sf_dir), pinned
 
 

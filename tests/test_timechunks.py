@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -42,6 +43,34 @@ def test_anchored_weeks(spark, name):
     assert got == greedy(rows, 7)
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+@pytest.mark.parametrize("seed", range(3))
+def test_uneven_rows_over_years(spark, monkeypatch, seed, most):
+    """Gaps, bursts of equal times and drift; few jobs however many chunks there are."""
+    monkeypatch.setattr(timechunks, "MOST_ROWS", most)
+    rng = random.Random(seed)
+    hours, rows = 0.0, []
+    while hours < 24 * 365 * (10 if seed == 0 else 2):
+        hours += rng.choice([0, 1, 5, 30, 30]) if seed else 6
+        hours += 24 * 40 if seed and rng.random() < 0.002 else 0
+        rows += [(len(rows), START + timedelta(hours=hours)) for _ in range(1 if rng.random() > 0.02 else 30 if seed else 1)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, ts timestamp_ntz")
+    looked = []
+    heads = timechunks._span_heads
+    monkeypatch.setattr(timechunks, "_span_heads", lambda *a: looked.append(1) or heads(*a))
+    starts = timechunks.chunk_starts(frame, "ts", "doc_id")
+    chunks = greedy(rows, 7)
+    place = dict(rows)
+    first = {}
+    for i, c in sorted(chunks.items(), key=lambda x: (place[x[0]], x[0])):
+        first.setdefault(c, i)
+    assert [i for _, i in starts] == [first[c] for c in range(len(first))]
+    assert len(starts) > 60
+    if most == 4096:
+        assert len(looked) == 1 if seed == 0 else len(looked) <= 10
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_other_time_zones(spark, kind):
     rows = CASES["many"] + [(1000 + i, t + timedelta(days=200)) for i, t in CASES["many"]]
