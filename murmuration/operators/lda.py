@@ -16,9 +16,18 @@ def lda_online(
     passes: int = 5,
     subsampling: float = 0.2,
     seed: int = 100,
+    minibatch: int | None = None,
+    offset: float = 1024.0,
+    decay: float = 0.51,
 ):
-    """A fitted model; ``passes`` over the corpus become passes / subsampling minibatches."""
+    """A fitted model; ``passes`` over the corpus become passes / subsampling minibatches. ``minibatch`` gives their size in
+    documents instead. ``offset`` and ``decay`` say how fast later minibatches lose weight. Inside a minibatch each
+    document is worked on until its topics settle."""
+    if minibatch is not None:
+        subsampling = min(1.0, max(minibatch, 1) / max(1, features.count()))
     return LDA(
+        learningOffset=offset,
+        learningDecay=decay,
         k=k,
         maxIter=max(1, round(passes / subsampling)),
         optimizer="online",

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration import workflow
 from murmuration.functions import text as T
-from murmuration.operators import inference, moments, spectral, tensor_lda, topics, vocab
+from murmuration.operators import inference, moments, spectral, tensor_lda, topics, tuning, vocab
 from murmuration.plans import sql
 from murmuration.plans.registry import query, table
 from murmuration.plans.text_queries import preprocessed
@@ -384,6 +385,14 @@ def tlda_top_words(spark, sf_dir):
     return topics.top_words(shares, 20, "p").select("topic", "rank", "term", "p")
 
 
+@query("tlda_text_to_topics")
+def tlda_text_to_topics(spark, sf_dir):
+    """The whole way in one call: accents and suffixes off, single words and pairs, 1,000 of them, 20 topics."""
+    params = tensor_lda.TopicParams(n_topics=20, alpha0=ALPHA0, n_iter=1000, batch_size=15000, learning_rate=0.002, init="scaled", seed=0)
+    run = workflow.topics_of_texts(table(spark, sf_dir, "documents"), params, min_df=5, max_df=0.5, max_features=1000, scale_documents=True)
+    return run.top_words(20)
+
+
 @query("tlda_fit_options")
 def tlda_fit_options(spark, sf_dir):
     """The other settings: cosine schedule, theta 5, wider start; with the losses over all documents."""
@@ -564,24 +573,7 @@ def save_load_model(spark, sf_dir):
 def param_sweep(spark, sf_dir):
     """Two starts per setting: do their topics agree? The tensors are summed once for the whole grid."""
     vectors, terms, words = prepared(spark, sf_dir, FIT, scale=True)
-    state = moments.Moments.of(vectors, len(words))
-    whitening = moments.whiten_fit(state, 5, ALPHA0)
-    tensors, counts = tensor_lda.batch_tensors(vectors, whitening, int(state.n), 15000)
-    results = None
-    for rate in (0.002, 0.001):
-        for n_iter in (300, 1000):
-            runs = None
-            for seed in (0, 1):
-                params = tensor_lda.TopicParams(5, ALPHA0, n_iter, 15000, rate, init="scaled", seed=seed)
-                phi = tensor_lda.descend(tensor_lda.initial_factors(params), tensors, params)
-                model = tensor_lda.TopicModel(params, whitening, phi, tensors, counts)
-                run = model.topic_table(spark, terms).withColumn("run", F.lit(str(seed)))
-                runs = run if runs is None else runs.unionByName(run)
-            verdict = topics.runs_converged(runs).select(
-                F.lit(rate).alias("learning_rate"), F.lit(n_iter).alias("n_iter"), "converged"
-            )
-            results = verdict if results is None else results.unionByName(verdict)
-    return results
+    return tuning.param_sweep(vectors, terms, len(words), PARAMS, rates=(0.002, 0.001), iterations=(300, 1000))
 
 
 @query("per_period_topics")

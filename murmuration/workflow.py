@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.functions.text import preprocess
+from murmuration.functions.text import ngrams_1_2, preprocess, strip_accents
 from murmuration.operators import coherence, inference, lda, sampling, tensor_lda, timechunks, topics, vocab
 from murmuration.session import cut_lineage
 from murmuration.sources import posts, sinks
@@ -98,6 +98,25 @@ def learn_topics(
     return TopicRun(model, vocabulary, words, counts, table)
 
 
+def text_tokens(text: Column, accents: bool = True, normalize: bool = True, pairs: bool = True) -> Column:
+    """Tokens of raw text: accents off, the default tokeniser with its suffix rules, then pairs of neighbours after the single words."""
+    words = preprocess(strip_accents(text) if accents else text, normalize=normalize)
+    return ngrams_1_2(words) if pairs else words
+
+
+def topics_of_texts(
+    docs: DataFrame, params: tensor_lda.TopicParams, text: str = "text", accents: bool = True, normalize: bool = True, pairs: bool = True, **options
+) -> TopicRun:
+    """Topics of ``(doc_id, text)`` in one call; ``options`` as in ``learn_topics``.
+
+    Texts are tokenised once: the tokens are written, since vocabulary, moments and tensors each read them.
+    """
+    known = F.coalesce(F.col(text), F.lit(""))
+    words = docs.select("doc_id", text_tokens(known, accents, normalize, False).alias("words"))
+    tokens = words.select("doc_id", ngrams_1_2(F.col("words")).alias("tokens")) if pairs else words.withColumnRenamed("words", "tokens")
+    return learn_topics(cut_lineage(tokens, "tokens"), params, **options)
+
+
 def lda_coherence(
     docs: DataFrame,
     k: int,
