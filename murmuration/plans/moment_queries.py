@@ -18,10 +18,10 @@ from murmuration.sources import sinks
 from murmuration.streaming import jobs
 
 ALPHA0 = 0.003
-SMALL = dict(min_df=5, max_df=0.5, max_features=60)
-FIT = dict(min_df=5, max_df=0.5, max_features=500)
+SMALL = dict(min_df=5, max_df=0.5, max_features=1000)
+FIT = dict(min_df=5, max_df=0.5, max_features=1000)
 PARAMS = tensor_lda.TopicParams(
-    n_topics=5, alpha0=ALPHA0, n_iter=1000, batch_size=15000, learning_rate=0.002, init="scaled", seed=0
+    n_topics=20, alpha0=ALPHA0, n_iter=1000, batch_size=15000, learning_rate=0.002, init="scaled", seed=0
 )
 
 
@@ -94,18 +94,18 @@ def second_moment_of(rows: DataFrame) -> DataFrame:
     return mean.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("whiten_fit", identity_sql(5, f"1 / (1 + {ALPHA0})"))
+@query("whiten_fit", identity_sql(20, f"1 / (1 + {ALPHA0})"))
 def whiten_fit(spark, sf_dir):
     """The whitened corpus has the second moment I / (1 + alpha0)."""
     vectors, _, words = prepared(spark, sf_dir, FIT)
-    fitted = moments.whiten_fit(moments.Moments.of(vectors, len(words)), 5, ALPHA0)
+    fitted = moments.whiten_fit(moments.Moments.of(vectors, len(words)), 20, ALPHA0)
     return second_moment_of(moments.whiten_transform(vectors, fitted))
 
 
-@query("whiten_unit", identity_sql(5))
+@query("whiten_unit", identity_sql(20))
 def whiten_unit(spark, sf_dir):
     vectors, _, words = prepared(spark, sf_dir, FIT)
-    fitted = moments.whiten_unit(moments.Moments.of(vectors, len(words)), 5)
+    fitted = moments.whiten_unit(moments.Moments.of(vectors, len(words)), 20)
     return second_moment_of(moments.whiten_transform(vectors, fitted))
 
 
@@ -113,7 +113,7 @@ def whiten_unit(spark, sf_dir):
 def whiten_transform(spark, sf_dir):
     """Whitened rows, written and read back."""
     vectors, _, words = prepared(spark, sf_dir, FIT)
-    fitted = moments.whiten_fit(moments.Moments.of(vectors, len(words)), 5, ALPHA0)
+    fitted = moments.whiten_fit(moments.Moments.of(vectors, len(words)), 20, ALPHA0)
     path = scratch_path(spark, "whitened")
     sinks.write_whitened(moments.whiten_transform(vectors, fitted), path)
     return spark.read.parquet(path)
@@ -189,14 +189,14 @@ def unwhiten(spark, sf_dir):
     return tensor_lda.topic_frame(spark, fitted.backward, terms)
 
 
-@query("whiten_exact", identity_sql(5))
+@query("whiten_exact", identity_sql(20))
 def whiten_exact(spark, sf_dir):
     """The exact second moment, contracted with its whitening table on both sides, is the identity."""
     vectors, _, words = prepared(spark, sf_dir, FIT)
     state = moments.Moments.of(vectors, len(words))
-    fitted, _ = moments.whiten_exact(state, 5, ALPHA0)
+    fitted, _ = moments.whiten_exact(state, 20, ALPHA0)
     product = fitted.forward.T @ state.exact_second(ALPHA0) @ fitted.forward
-    rows = [(i, j, round(float(product[i, j]), 6) + 0.0) for i in range(5) for j in range(5)]
+    rows = [(i, j, round(float(product[i, j]), 6) + 0.0) for i in range(20) for j in range(20)]
     return spark.createDataFrame(rows, "i long, j long, v double")
 
 
@@ -448,7 +448,7 @@ def exact_fit(spark, sf_dir):
     return spark.createDataFrame([(i, float(w), error) for i, w in enumerate(weights)], "topic long, weight double, error double")
 
 
-FEW = dict(min_df=5, max_df=0.5, max_features=6)
+FEW = dict(min_df=5, max_df=0.5, max_features=60)
 FEW_BOW = f"{BASE}, {sql.vocab(**FEW)}, x AS (SELECT doc_id, term_id, cnt::DOUBLE AS c FROM counts JOIN vocab USING (term))"
 
 
@@ -542,7 +542,7 @@ def write_whitened(spark, sf_dir):
 
 @query(
     "doc_topic_normalize",
-    "SELECT doc_id, 5::BIGINT AS n_topics, 1.0::DOUBLE AS total, true AS positive FROM documents",
+    "SELECT doc_id, 20::BIGINT AS n_topics, 1.0::DOUBLE AS total, true AS positive FROM documents",
 )
 def doc_topic_normalize(spark, sf_dir):
     """Every document has one positive share per topic, summing to one."""
