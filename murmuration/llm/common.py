@@ -84,5 +84,19 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         yield first, last, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
 
 
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark) -> None:
+    """Let batches of rows on their way to Python hold about 4 MB each, where the session allows more.
+
+    With long texts a task otherwise keeps several copies of 64 MB outside the heap. No result depends on it.
+    """
+    held = spark.conf.get(BATCH_SETTING, None)
+    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl.items()))
