@@ -102,3 +102,16 @@ def test_repeated_ids_go_only_with_their_own_copies(spark):
     first = min(one, two, three)
     assert (0, one) in texts and (7, first) in texts and {t for i, t in texts if i == 7} >= {one, two}
     assert len(texts) == 4 and len([t for _, t in texts if t.startswith(three)]) == 1
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    """Columns named like those used inside, and rows that repeat an id, go through near-dedup and the cutting of repeats."""
+    rng = random.Random(2)
+    same, other = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    docs = documents(spark, [same, same, other, None, ""], [1, 1, 1, 4, None], extra=["row", "id", "key", "copied", "spans", "_key", "n", "before", "rep"])
+    kept = cut_lineage(corpus_pipeline.keep_one_of_near_copies(spark, docs, SF), "test-clash")
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted([same, other, "", ""]) and kept.where("`_key` = 'clash' AND id = 'clash'").count() == 4
+    cut = corpus_pipeline.cut_repeats(spark, kept, SF)
+    assert cut.columns == docs.columns and cut.count() == 4
+    assert corpus_pipeline.cut_repeats(spark, corpus_pipeline.keep_one_of_near_copies(spark, docs.where("doc_id > 99"), SF), SF).count() == 0
