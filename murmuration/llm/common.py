@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20  # texts are handled in slices of about this many bytes; one longer text is a slice of its own
+SLICE_BYTES = 1 << 18  # texts are handled in slices of about this many bytes; one longer text is a slice of its own
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
