@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,22 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         yield first, last, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine, for the next stage of another kind."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:  # another C library, which keeps house itself
+        return None
+
+
+_LIBC = _libc()
 BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import text_slices
+from murmuration.llm.common import text_slices, tidy
 from murmuration.llm.features import IS_LETTER, Features, Rows, labelled_sample, remainder
 
 UNDETERMINED = "und"
@@ -177,6 +177,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         found = [known.predict(data, bounds) for _, _, data, bounds in text_slices(column)]
         language = np.concatenate([f[0] for f in found]) if found else np.empty(0, int)
         score = np.concatenate([f[1] for f in found]) if found else np.empty(0)
+        tidy()
         return pa.StructArray.from_arrays([pa.array(words[language], pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import mix, prefix_hash, span_hash, text_slices
+from murmuration.llm.common import mix, prefix_hash, span_hash, text_slices, tidy
 from murmuration.llm.features import word_bounds
-from murmuration.operators.cluster import connected_components
 from murmuration.session import cut_lineage
 
 TREES, DEPTH = 24, 6  # orders, and hashes in each order's keys
@@ -91,6 +90,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sig = [next(signed).tobytes() if n else None for n in sizes]
                 arrays = [batch.column(0).slice(first, last - first), pa.array(sizes), pa.array(set_names(values, ends)), pa.array(sig, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "node", "sig"])
+        tidy()
 
     return docs.mapInArrow(run, "id long, n long, node long, sig binary")
 
@@ -173,6 +173,7 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
                 values, ends = shingle_sets(data, bounds, k)
                 held = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(values, ends)), pa.array(held, pa.binary())], names=["node", "members"])
+        tidy()
 
     members = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "node long, members binary")
     return cut_lineage(members.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -204,6 +205,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
 def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component)`` of all linked nodes."""
+    from murmuration.operators.cluster import connected_components  # here, so that workers need not load what it needs
+
     return cut_lineage(connected_components(links), "components")
 
 

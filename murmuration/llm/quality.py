@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import text_slices
+from murmuration.llm.common import text_slices, tidy
 from murmuration.llm.features import Features, Rows, labelled_sample, remainder
 
 FEATURES = Features(grams=(3, 4), bits=17, repeats=True)
@@ -92,6 +92,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
         table, offset = shared.value
         found = [FEATURES.means(table, data, bounds) for _, _, data, bounds in text_slices(column)]
         raw = np.concatenate(found) + offset if found else np.empty(0)
+        tidy()
         return pa.array(1 / (1 + np.exp(-np.clip(raw, -500, 500))), pa.float64())
 
     return docs.select(*[c for c in docs.columns if c != out], chance(text).alias(out))

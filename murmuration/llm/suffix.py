@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import gram_hash, mix, prefix_hash, span_hash, text_bytes, text_slices
+from murmuration.llm.common import gram_hash, mix, prefix_hash, span_hash, text_bytes, text_slices, tidy
 from murmuration.session import cut_lineage
 
 FIRST_GRAM = 32  # bytes of the first buckets' strings
@@ -87,6 +87,7 @@ def sampled_blocks(texts: DataFrame, length: int) -> DataFrame:
                 row, bucket, whole, *places = blocks_of(data, bounds, length)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, whole, keys[first + row], *places)], names=BLOCKS)
+        tidy()
 
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in BLOCKS))
 
@@ -115,6 +116,7 @@ def part_blocks(open_blocks: DataFrame, length: int) -> DataFrame:
                 whole = mix(span_hash(prefix, begin, end + length) + (at - begin).astype(np.uint64) * STEP)
                 columns = [bucket.view(np.int64), whole.view(np.int64), np.full(len(of), key), begin, end, at]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(known[of])], names=[*BLOCKS, "known"])
+        tidy()
 
     return open_blocks.mapInArrow(run, ", ".join(f"{c} long" for c in BLOCKS) + ", known boolean")
 
@@ -148,6 +150,7 @@ def refined_starts(open_blocks: DataFrame, length: int) -> DataFrame:
                 start = np.arange(sizes.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
                 arrays = [pa.array(name[start].view(np.int64)), pa.array(np.full(len(start), key)), pa.array(start), pa.array(known)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["name", "key", "low", "known"])
+        tidy()
 
     return open_blocks.mapInArrow(run, "name long, key long, low long, known boolean")
 
