@@ -105,14 +105,21 @@ BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark) -> None:
-    """Let batches of rows on their way to Python hold about 4 MB each, where the session allows more.
+SMALLER = {  # settings that hold rows back in memory, and what they may be at most
+    BATCH_SETTING: BATCH_BYTES,
+    "parquet.block.size": 8 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 1024,
+}
+
 
-    With long texts a task otherwise keeps several copies of 64 MB outside the heap. No result depends on it.
+def small_batches(spark) -> None:
+    """Let what a task holds of long texts be small: batches on their way to Python of about 4 MB, row groups of 8 MB, 1,024 rows
+    read at once, where the session allows more. Otherwise a task keeps several copies of 64 MB. No result depends on it.
     """
-    held = spark.conf.get(BATCH_SETTING, None)
-    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    for name, most in SMALLER.items():
+        held = spark.conf.get(name, None)
+        if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
 
 def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
