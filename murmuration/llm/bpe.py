@@ -80,7 +80,7 @@ class WordBpe:
     def __init__(self, file: str, others: dict[int, str] | None = None, cases: dict[int, str] | None = None):
         self.others = other_classes(file) if others is None else others
         self.cases = other_cases(file) if cases is None else cases
-        self.other = regex.compile("[" + "".join(map(regex.escape, map(chr, self.others))) + "]") if self.others else None
+        self.other_chars, self.case_chars = (frozenset(map(chr, x)) for x in (self.others, self.cases))
         with open(file, encoding="utf-8") as source:
             spec = json.load(source)
         model = spec["model"]
@@ -206,12 +206,12 @@ class WordBpe:
         parts = self.cut.split(chunk) if self.cut and "<|" in chunk else [chunk]
         words: list[str] = []
         for part in parts:
-            words += [part] if part in self.special else self.words_of(self.normal(part if part.isascii() else part.translate(self.cases)))
+            words += [part] if part in self.special else self.words_of(self.normal(part if part.isascii() or self.case_chars.isdisjoint(part) else part.translate(self.cases)))
         return words
 
     def words_of(self, part: str) -> list[str]:
         """What the splitting pattern finds, characters taken for the kinds that the library takes them for."""
-        if self.other is None or part.isascii() or not self.other.search(part):
+        if part.isascii() or self.other_chars.isdisjoint(part):
             return self.pattern.findall(part)
         return [part[slice(*m.span())] for m in self.pattern.finditer(part.translate(self.others))]
 
