@@ -210,15 +210,21 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(connected_components(links), "components")
 
 
-def regions(company: DataFrame, named: DataFrame) -> DataFrame:
-    """``(region, node, n, comp, odd, pieces, blocks)``: the rows of regions in which more than one component meets.
+def merged_components(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Components that further links tie together; each old one stands for all its rows."""
+    stars = named.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return with_components(named, links.unionByName(stars))
+
+
+def regions(company: DataFrame, named: DataFrame, depth: int = BASE_DEPTH) -> DataFrame:
+    """``(region, label, node, n, comp, odd, pieces, blocks)``: the rows of regions in which more than one component meets.
 
     ``odd`` rows are those outside the region's largest component. A region is one prefix of one order,
-    ``BASE_DEPTH`` hashes long however many rows share it.
+    ``depth`` hashes long.
     """
     rows = company.join(named, "node", "left").select("tree", "label", "node", "n", F.coalesce("component", "node").alias("comp"))
-    prefix = F.expr(f"substring(label, 1, {2 * BASE_DEPTH})")
-    keyed = cut_lineage(rows.withColumn("region", F.struct("tree", prefix.alias("prefix"))).drop("tree", "label"), "company")
+    prefix = F.expr(f"substring(label, 1, {2 * depth})")
+    keyed = cut_lineage(rows.withColumn("region", F.struct("tree", prefix.alias("prefix"))).drop("tree"), "company")
     parts = keyed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("rows"))
     sizes = parts.groupBy("region").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"))
     mixed = sizes.where("parts > 1").select(
@@ -228,7 +234,7 @@ def regions(company: DataFrame, named: DataFrame) -> DataFrame:
         F.ceil((F.col("rows") - F.col("main.rows")) / FEW).cast("int").alias("blocks"),
     )
     met = keyed.join(mixed, "region").withColumn("odd", F.col("comp") != F.col("main"))
-    return cut_lineage(met.select("region", "node", "n", "comp", "odd", "pieces", "blocks"), "regions")
+    return cut_lineage(met.select("region", "label", "node", "n", "comp", "odd", "pieces", "blocks"), "regions")
 
 
 def in_pieces(rows: DataFrame) -> DataFrame:
@@ -240,10 +246,10 @@ def in_pieces(rows: DataFrame) -> DataFrame:
     return own.unionByName(every)
 
 
-def candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(table: pa.Table, percent: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each odd row of a piece with those of other components that look similar by their signatures.
 
-    A pair that shares regions of several orders comes up in the first of them.
+    A pair comes up once in all: at the depth of its longest common prefix in any order, in the first such order.
     """
     odd = table["odd"].to_numpy()
     n, comp, tree = table["n"].to_numpy(), table["comp"].to_numpy(), table["region"][0].as_py()["tree"]
@@ -254,21 +260,22 @@ def candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]
         if len(other):
             same = sig[other] == sig[row]
             good = same.mean(axis=(1, 2)) >= ESTIMATE
-            good &= same[:, :, :BASE_DEPTH].all(axis=2).argmax(axis=1) == tree
+            good &= same[:, :, :depth].all(axis=2).argmax(axis=1) == tree
+            good &= ~same[:, :, : depth + 1].all(axis=2).any(axis=1) if depth < DEPTH else True  # met deeper
             if good.any():
                 yield row, other[good]
 
 
-def across_components(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(a, b)``: confirmed links between components that meet in a region, one for each row and component.
+def across_components(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, depth: int) -> DataFrame:
+    """``(a, b)``: confirmed links between components that meet in a region of a depth, one for each row and component.
 
     Signatures tell the rows that have anyone to be compared with; only their sets travel. Pairs stay in the task.
     """
-    signed = cut_lineage(rows.join(classes.select("node", "sig"), "node"), "signed")
+    signed = cut_lineage(rows.drop("label").join(classes.select("node", "sig"), "node"), "signed")
 
     def look(table: pa.Table) -> pa.Table:
         found = np.zeros(table.num_rows, bool)
-        for row, others in candidates(table, percent):
+        for row, others in candidates(table, percent, depth):
             found[row] = True
             found[others] = True
         return table.filter(pa.array(found)).select(["region", "node"])
@@ -282,7 +289,7 @@ def across_components(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: i
         node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
         members = table["members"].to_pylist()
         out = []
-        for row, others in candidates(table, percent):
+        for row, others in candidates(table, percent, depth):
             own = np.frombuffer(members[row], np.uint64)
             sizes = np.array([len(members[x]) // 8 for x in others])
             held = np.frombuffer(b"".join(members[x] for x in others), np.uint64)
@@ -309,9 +316,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
 
     Equal sets become one node first, whatever their number. The nodes' signatures are sorted in ``TREES`` orders,
     each cut into ranges, so no prefix fills one task. Neighbours in some orders are confirmed and joined to
-    components, which leaves groups of copies in one piece. In every order each region - the rows that share the
-    first ``BASE_DEPTH`` hashes - then has only the rows outside its largest component compared, block by block
-    with all its pieces: the work grows with these rows times the region's. Sets are compared by 64-bit hashes of shingles.
+    components, which leaves groups of copies in one piece. The depth then adapts to what is left: regions of rows that
+    share all ``DEPTH`` hashes of an order are compared first and what they link is joined; then only regions in which
+    several components still meet climb to one hash less, down to ``BASE_DEPTH``. In a region the rows outside its largest
+    component are compared, block by block with all its pieces: the work grows with these rows times the region's, and
+    no pair is compared on whole sets twice. Sets are compared by 64-bit hashes of shingles.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -330,10 +339,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     named = with_components(classes, links)
     columns = ["tree", "label", "node", "n"]
     company = found.where("kind = 1").select(*columns).unionByName(spark.createDataFrame(edge_company, "tree int, label binary, node long, n long"))
-    further = across_components(regions(company.distinct(), named), classes, source, k, percent)
-    if not further.isEmpty():
-        links = links.unionByName(further)
-        named = with_components(classes, links)
+    # components only merge, so what is in one piece at the base depth stays so at every depth
+    apart = regions(company.distinct(), named).select("region.tree", "label", "node", "n")
+    for depth in range(DEPTH, BASE_DEPTH - 1, -1):
+        if apart.isEmpty():
+            break
+        further = across_components(regions(apart, named, depth), classes, source, k, percent, depth)
+        if not further.isEmpty():
+            named = merged_components(named, further)
     reps = classes.select("node", "rep").join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     # repeated ids tie the nodes they name together
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from llm_helpers import documents, odd_texts, words
 
 from murmuration.llm import minhash
@@ -109,3 +110,40 @@ def test_crowded_regions_compare_pairs_of_the_base_depth(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 0.5)  # one odd row is a crowd
     found = minhash.near_copies(documents(spark, texts)).collect()
     assert {r.component_id for r in found} == {0}
+
+
+def test_every_pair_comes_up_once_over_all_orders_and_depths():
+    """Rows of one region each time, none linked: a pair is a candidate exactly if it shares the base depth somewhere."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 3, (12, minhash.TREES, minhash.DEPTH)).astype(np.uint16)
+    sig[rng.random(sig.shape) < 0.6] = 0
+    seen = {}
+    for depth in range(minhash.DEPTH, minhash.BASE_DEPTH - 1, -1):
+        for tree in range(minhash.TREES):
+            prefixes = {}
+            for row in range(len(sig)):
+                prefixes.setdefault(sig[row, tree, :depth].tobytes(), []).append(row)
+            for prefix, rows in prefixes.items():
+                piece = pa.table({
+                    "odd": [True] * len(rows) + [False] * len(rows), "n": [50] * (2 * len(rows)), "comp": rows + rows,
+                    "region": [{"tree": tree, "prefix": prefix}] * (2 * len(rows)), "sig": [sig[r].tobytes() for r in rows + rows],
+                })
+                for row, others in minhash.candidates(piece, 75, depth):
+                    for other in others:
+                        pair = tuple(sorted((rows[row], rows[other - len(rows)])))
+                        seen.setdefault(pair, set()).add((depth, tree))
+    expected = set()
+    for a in range(len(sig)):
+        for b in range(a + 1, len(sig)):
+            same = sig[a] == sig[b]
+            if same.mean() >= minhash.ESTIMATE and same[:, : minhash.BASE_DEPTH].all(axis=1).any():
+                expected.add((a, b))
+    assert expected and set(seen) == expected
+    assert all(len(places) == 1 for places in seen.values())
+
+
+def test_components_tied_by_later_links(spark):
+    named = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(6, 2), (7, 9)], "a long, b long")
+    found = {r.node: r.component for r in minhash.merged_components(named, links).collect()}
+    assert found == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7}
