@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from murmuration.functions import text as T
 from murmuration.operators import lexicon, measure, vocab
 from murmuration.operators.search import document_search as search
+from murmuration.operators.search_index import SearchIndex, build_index
 from murmuration.plans import sql
 from murmuration.plans.plane import PLANE, plane
 from murmuration.plans.registry import documents, query, table
@@ -291,6 +292,29 @@ def document_search(spark, sf_dir):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+SECOND_SEARCH = "thereon queque nicht nicht"
+
+
+@query(
+    "indexed_search",
+    f"{BASE}, {TFIDF}, q0 AS (SELECT 0 AS search, unnest(regexp_extract_all('{SEARCH}', '[a-z]+')) AS term "
+    f"UNION ALL SELECT 1, unnest(regexp_extract_all('{SECOND_SEARCH}', '[a-z]+'))), "
+    "q1 AS (SELECT search, term, count(*) AS cnt FROM q0 GROUP BY ALL), "
+    f"q2 AS (SELECT search, term, cnt * ({SMOOTH}) AS v FROM q1 JOIN stats USING (term)), "
+    "q AS (SELECT search, term, v / sqrt(sum(v * v) OVER (PARTITION BY search)) AS qv FROM q2), "
+    "s AS (SELECT search, doc_id, sum(tfidf * qv) AS x FROM tfidf JOIN q USING (term) GROUP BY ALL) "
+    "SELECT search, doc_id, round(x, 6) AS similarity FROM s "
+    "QUALIFY row_number() OVER (PARTITION BY search ORDER BY round(x, 9) DESC, doc_id) <= 10",
+)
+def indexed_search(spark, sf_dir):
+    """Two searches of one saved index."""
+    path = scratch_path(spark, "search-index")
+    build_index(preprocessed(spark, sf_dir), path)
+    index = SearchIndex(spark, path)
+    hits = [index.search(words.split(), top_n=10).withColumn("search", F.lit(i)) for i, words in enumerate((SEARCH, SECOND_SEARCH))]
+    return hits[0].unionByName(hits[1]).select("search", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 # --- lexicons
 
 
