@@ -612,7 +612,7 @@ def stream_weekly_term_counts(spark, sf_dir):
 def stream_moments(spark, sf_dir):
     """Means from the moment sums a stream of documents leaves behind."""
     words = vocab.pin(vocab.build_vocab(preprocessed(spark, sf_dir), **SMALL))[1]
-    stream = jobs.stream_table(spark, sf_dir, "documents").select(
+    stream = jobs.stream_table(spark, sf_dir, "documents", spark.sparkContext.defaultParallelism).select(
         "doc_id", T.preprocess(F.col("text"), normalize=False).alias("tokens")
     )
     path = scratch_path(spark, "moments")

@@ -86,8 +86,12 @@ def read_moments(spark: SparkSession, path: str, width: int) -> M.Moments:
     return M.Moments.from_rows(rows.collect(), width)[0]
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table as a stream, a file at a time."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_at_once: int | None = None) -> DataFrame:
+    """A driver table, one file or a folder of files, as a stream; ``files_at_once`` limits the files of a micro-batch.
+
+    Without a limit all present files come in one micro-batch, so no row is late because its file came after another.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
-    return reader.parquet(folder)
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern, since a plain path would have to be a folder
