@@ -65,14 +65,37 @@ def cumulant_gradient(phi: np.ndarray, mean_tensor: np.ndarray, alpha0: float =
     return pull - 3 * (1 + alpha0) * (2 + alpha0) / 2 * contract(mean_tensor, phi)
 
 
-def descend(phi: np.ndarray, tensors: np.ndarray, params: TopicParams, first_epoch: int = 1) -> np.ndarray:
-    """Epochs of minibatch steps on the driver, over tensors of at most ``TENSOR_BYTES``."""
+def batch_loss(phi: np.ndarray, mean_tensor: np.ndarray, alpha0: float = 1.0, theta: float = 1.0) -> float:
+    """What a step on a batch lowers: the function whose gradient is ``cumulant_gradient``."""
+    pull = (1 + theta) / 2 * ((phi.T @ phi) ** 3).sum()
+    return float(pull - (1 + alpha0) * (2 + alpha0) / 2 * (phi * contract(mean_tensor, phi)).sum())
+
+
+def steady_step(phi: np.ndarray, tensor: np.ndarray, rate: float, params: TopicParams) -> np.ndarray:
+    """The step on a batch, halved until it does not raise the batch's loss; a step that lowers it is taken as it is."""
+    gradient = cumulant_gradient(phi, tensor, params.alpha0, params.theta)
+    before = batch_loss(phi, tensor, params.alpha0, params.theta)
+    allowed = before + 1e-9 * abs(before)  # rounding near the bottom is no rise
+    for _ in range(200):
+        fresh = phi - rate * gradient
+        if batch_loss(fresh, tensor, params.alpha0, params.theta) <= allowed:  # never of what is not finite
+            return fresh
+        rate /= 2
+    return phi if np.isfinite(before) else fresh
+
+
+def descend(phi: np.ndarray, tensors: np.ndarray, params: TopicParams, first_epoch: int = 1, steady: bool = False) -> np.ndarray:
+    """Epochs of minibatch steps on the driver, over tensors of at most ``TENSOR_BYTES``. With ``steady`` a step too long
+    for its batch is shortened, for batches unlike those that the learning rate was chosen for."""
     phi = phi.copy()
     for epoch in range(first_epoch, params.n_iter):
         rate = step_size(params, epoch)
         with np.errstate(over="ignore", invalid="ignore"):
             for tensor in tensors:
-                phi -= rate * cumulant_gradient(phi, tensor, params.alpha0, params.theta)
+                if steady:
+                    phi = steady_step(phi, tensor, rate, params)
+                else:
+                    phi -= rate * cumulant_gradient(phi, tensor, params.alpha0, params.theta)
         if not np.isfinite(phi).all():
             raise FloatingPointError("the descent left the finite range; use a smaller learning rate")
     return phi
@@ -200,11 +223,13 @@ class TopicModel:
         return (a + 1) * (a + 2) / 2 * np.average(self.tensors, axis=0, weights=self.counts)
 
     def partial_fit(self, tensors: np.ndarray, counts: np.ndarray, n_iter: int | None = None) -> "TopicModel":
-        """Continue from the present factors with the tensors of further batches."""
+        """Continue from the present factors with the tensors of further batches.
+
+        Their documents may be unlike those the model was whitened by, so a step too long for them is shortened."""
         params = self.params if n_iter is None else replace(self.params, n_iter=n_iter)
         if self.tensors is None:
             raise ValueError("this model keeps no tensors; use partial_fit_on_data")
-        phi = descend(self.factors, tensors, params)
+        phi = descend(self.factors, tensors, params, steady=True)
         return TopicModel(
             self.params,
             self.whitening,

@@ -355,3 +355,21 @@ def test_joint_sentiment(spark):
     lexicon = spark.createDataFrame([("good", 0.8, 0.1, 0.1)], "token string, positive double, negative double, neutral double")
     got = {r.term_id: r.v for r in topics.sentiment_blocks(bow, words, lexicon).collect()}
     assert got == pytest.approx({0: 2.4, 1: 1.0, 2: 0.3, 3: 1.0, 4: 0.3, 5: 1.0})
+
+
+def test_further_batches_unlike_the_first_are_learned_without_leaving_the_finite_range():
+    rng = np.random.default_rng(4)
+    params = tensor_lda.TopicParams(K, 0.003, 200, 100, 0.002, init="scaled")
+    usual = tensor_lda.rebuild(rng.normal(size=(K, K)))[None]
+    factors = tensor_lda.descend(tensor_lda.initial_factors(params), usual, params)
+    model = tensor_lda.TopicModel(params, None, factors, usual, np.array([100.0]))
+    assert np.array_equal(model.partial_fit(usual, np.array([9.0])).factors, tensor_lda.descend(factors, usual, params))
+    larger = 1e4 * tensor_lda.rebuild(rng.normal(size=(K, K)))[None]
+    with pytest.raises(FloatingPointError):
+        tensor_lda.descend(factors, larger, params)
+    found = model.partial_fit(larger, np.array([9.0])).factors
+    before, after = (tensor_lda.batch_loss(x, larger[0], params.alpha0) for x in (factors, found))
+    assert np.isfinite(found).all() and after < before
+    steps = 1e-6 * rng.normal(size=(K, K))  # the gradient is that of the loss
+    slope = (tensor_lda.batch_loss(factors + steps, usual[0]) - tensor_lda.batch_loss(factors - steps, usual[0])) / 2
+    assert slope == pytest.approx(float((tensor_lda.cumulant_gradient(factors, usual[0]) * steps).sum()), rel=1e-4)
