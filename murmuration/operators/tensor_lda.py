@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,7 +250,9 @@ class TopicModel:
 
 def topic_frame(spark, table: np.ndarray, vocabulary: DataFrame | None = None) -> DataFrame:
     """A V x topics table in long form; model-sized, one row per term before the split by topic."""
-    rows = [(i, [float(v) for v in row]) for i, row in enumerate(table)]
+    size, topics = table.shape
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * topics, pa.int32()), pa.array(np.ascontiguousarray(table, float).ravel()))
+    rows = pa.table({"term_id": pa.array(np.arange(size), pa.int64()), "w": cells})
     frame = spark.createDataFrame(rows, "term_id long, w array<double>").select(
         F.posexplode("w").alias("topic", "weight"), "term_id"
     )
