@@ -54,3 +54,10 @@ def test_weights_inside_rows_equal_joined_ones(spark, monkeypatch, most):
         assert sorted((r[0], r[1], round(r[2], 12)) for r in fn(docs).collect()) == want[name]
     assert [w for d, t, w in want["s"] if d == 4] == [1.0]
     assert vocab.tfidf_smooth(docs.where("doc_id < 0")).count() == 0
+
+
+def test_term_totals_are_counted_without_batches_of_texts(spark):
+    lists = [["b", "a", "b"], ["a", None, "é", None], [], None, ["é"] * 5, ["b", "a", "b"]]
+    stats = vocab.term_stats(docs_of(spark, lists))
+    assert sorted(map(tuple, stats.collect())) == [("a", 3, 3), ("b", 4, 2), ("é", 6, 2)]
+    assert "Python" not in stats._jdf.queryExecution().executedPlan().toString()
