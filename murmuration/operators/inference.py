@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.numeric import dirichlet_expectation, gammaln, log_sum_exp
 
+CELLS_AT_ONCE = 1 << 15  # words of documents worked on together; each opens a few numbers for every topic
+
 
 def beta_matrix(topics: DataFrame, n_terms: int, value: str = "p") -> np.ndarray:
     """The V x topics table of a normalised topic table; model-sized, grouped to one row per term."""
@@ -52,6 +54,16 @@ def normalize_gamma(gamma):
     return weight / weight.sum(axis=1, keepdims=True)
 
 
+def pieces(sizes: np.ndarray, rows: int, cells: int = CELLS_AT_ONCE):
+    """Slices of a batch of documents with at most ``rows`` of them and ``cells`` words, or one document with more."""
+    through, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = through[begin - 1] if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(through, before + cells, side="right"))))
+        yield slice(begin, end)
+        begin = end
+
+
 def infer_doc_topics(
     vectors: DataFrame,
     beta: np.ndarray,
@@ -69,8 +81,8 @@ def infer_doc_topics(
 
     def apply(frames):
         for pdf in frames:
-            for begin in range(0, len(pdf), block):
-                part = pdf.iloc[begin : begin + block]
+            for piece in pieces(pdf["ids"].map(len).to_numpy(dtype=np.int64), block):
+                part = pdf.iloc[piece]
                 sizes = part["ids"].map(len).to_numpy()
                 some = sizes.sum() > 0
                 ids = np.concatenate(part["ids"].to_numpy()) if some else np.zeros(0, dtype=int)
@@ -98,8 +110,8 @@ def perplexity(vectors: DataFrame, inferred: DataFrame, beta: np.ndarray, alpha:
 
     def apply(frames):
         for pdf in frames:
-            for begin in range(0, len(pdf), 2048):
-                part = pdf.iloc[begin : begin + 2048]
+            for piece in pieces(pdf["ids"].map(len).to_numpy(dtype=np.int64), 2048):
+                part = pdf.iloc[piece]
                 sizes = part["ids"].map(len).to_numpy()
                 owner = np.repeat(np.arange(len(part)), sizes)
                 some = len(owner) > 0

@@ -373,3 +373,21 @@ def test_further_batches_unlike_the_first_are_learned_without_leaving_the_finite
     steps = 1e-6 * rng.normal(size=(K, K))  # the gradient is that of the loss
     slope = (tensor_lda.batch_loss(factors + steps, usual[0]) - tensor_lda.batch_loss(factors - steps, usual[0])) / 2
     assert slope == pytest.approx(float((tensor_lda.cumulant_gradient(factors, usual[0]) * steps).sum()), rel=1e-4)
+
+
+def test_documents_are_worked_on_a_bounded_number_of_words_at_a_time(spark, monkeypatch):
+    sizes = np.array([3, 0, 4, 9, 0, 0, 2, 2, 1])
+    cut = [(p.start, p.stop) for p in inference.pieces(sizes, 3, 5)]
+    assert cut == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(inference.pieces(np.zeros(0, np.int64), 3)) == []
+    counts, phi = planted(seed=6, n=40)
+    sparse = [np.flatnonzero(row) for row in counts]
+    ids, sizes = np.concatenate(sparse), np.array([len(x) for x in sparse])
+    cnts, start = np.concatenate([row[x] for row, x in zip(counts, sparse, strict=True)]), np.ones((40, K))
+    whole = inference.infer_block(ids, cnts, sizes, phi.T, start, 0.1, 50)
+    ends = np.cumsum(sizes)
+    parts = []
+    for p in inference.pieces(sizes, 2048, 100):
+        words = slice(ends[p.start] - sizes[p.start], ends[p.stop - 1])
+        parts.append(inference.infer_block(ids[words], cnts[words], sizes[p], phi.T, start[p], 0.1, 50))
+    assert len(parts) > 3 and np.array_equal(np.vstack(parts), whole)
