@@ -92,3 +92,42 @@ def test_few_unusable_and_unequal_vectors(spark):
     assert clusters == {0: (0, True), 1: (0, True), 5: (-1, False), 6: (6, True), 7: (6, True)}
     empty = table(spark, rows).where("vec_id < 0")
     assert metric.knn(empty, 3)[0].count() == 0 and metric.dbscan(empty, 0.1, 2).count() == 0
+
+
+def test_visitors_travel_to_tiles_and_not_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(metric, "CELL_ROWS", 20)
+    monkeypatch.setattr(metric, "TILE_ROWS", 128)
+    v = np.random.default_rng(5).standard_normal((400, 64))  # distances alike, so every cell may hold a near point
+    ids = np.arange(400)
+    found, work = metric.knn(table(spark, v), 4)
+    assert work["cells"] == 20 and work["visits"] <= 400 * 5  # 400 * 20 when each cell was a visit of its own
+    got = {(r.vec_id, r.nn): r.neighbour for r in found.collect()}
+    assert got == {(i, n): near[1] for i, x in brute_knn(v, ids, 4).items() for n, near in enumerate(x)}
+
+
+def test_known_sets_are_not_visited_again(spark, monkeypatch):
+    monkeypatch.setattr(metric, "CELL_ROWS", 20)
+    monkeypatch.setattr(metric, "TILE_ROWS", 64)
+    visits, plain = [], metric.visit
+
+    def counted(*args, **options):
+        met, n = plain(*args, **options)
+        visits.append(n)
+        return met, n
+
+    monkeypatch.setattr(metric, "visit", counted)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((400, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    got = {r.vec_id: (r.cluster, r.core) for r in metric.dbscan(table(spark, v), 1.4, 4).collect()}
+    assert got == brute_dbscan(v, np.arange(400), 1.4, 4)
+    count, beside, apart, border = visits  # 400 * 20 twice when all visited all
+    assert count == border == apart == 0 and beside <= 400
+
+
+def test_cells_share_tiles():
+    block, tiles = metric.packed(np.array([[0.0], [9.0], [1.0], [8.0], [2.0]]), np.array([3, 4, 3, 30, 2]), 8)
+    assert block.tolist() == [0, 2, 0, 1, 0] and tiles.tolist() == [1, 4, 1]
+    label = np.arange(6)
+    tied = metric._united(label, np.array([0, 5, 4, 1]), np.array([4, 4, 1, 0]))
+    assert label.tolist() == [0, 0, 2, 3, 0, 0] and sum(len(a) for a, _ in tied) == 3
