@@ -34,15 +34,27 @@ def build_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS, bucket
     n_docs = cut_lineage(classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "document-count")
     parts = classes.select("class", F.ceil(F.col("n") / block_docs).alias("parts"))
     block = F.shiftleft(F.col("class").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    # rows carry their block through the weighing, so that postings are shuffled once; rows that share an id carry the blocks of all
     placed = sized.join(F.broadcast(parts), "class").select("doc_id", block.alias("block"))
-    postings = tfidf_smooth(docs, stats=stats, n_docs=n_docs).join(placed, "doc_id").groupBy("term", "block").agg(
-        F.max("tfidf").alias("most"), F.collect_list(F.struct("doc_id", "tfidf")).alias("docs")
-    )
+    shared = placed.groupBy("doc_id").agg(F.collect_list("block").alias("blocks")).where(F.size("blocks") > 1)
+    shared = cut_lineage(shared.select("doc_id", F.array_sort("blocks").alias("blocks")), "repeated-ids")
+    one = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens", F.floor(F.log2(words)).cast("int").alias("class")).join(F.broadcast(parts), "class")
+    if shared.isEmpty():
+        carried = one.select(F.struct("doc_id", block.alias("block")).alias("doc_id"), "tokens")
+        of = F.col("doc_id.block")
+    else:
+        blocks = F.coalesce("blocks", F.array(block)).alias("blocks")
+        carried = one.join(shared, "doc_id", "left").select(F.struct("doc_id", blocks).alias("doc_id"), "tokens")
+        of = F.explode("doc_id.blocks")
+    weights = tfidf_smooth(carried, stats=stats, n_docs=n_docs).select("term", "doc_id.doc_id", "tfidf", of.alias("block"))
     terms = stats.select("term", "df", _bucket("term", buckets).alias("bucket"))
     files = terms.groupBy("bucket").agg(F.ceil(F.sum("df") / FILE_POSTINGS).alias("files"))  # a row a folder
-    spread = postings.withColumn("bucket", _bucket("term", buckets)).join(F.broadcast(files), "bucket")
-    spread = spread.withColumn("file", F.pmod(F.xxhash64("block"), F.col("files"))).repartition("bucket", "file")
-    ordered = spread.drop("file", "files").sortWithinPartitions("bucket", "term", "block")
+    spread = weights.withColumn("bucket", _bucket("term", buckets)).join(F.broadcast(files), "bucket")
+    spread = spread.withColumn("file", F.pmod(F.xxhash64("block"), F.col("files")).cast("int")).drop("files").repartition("bucket", "file")
+    postings = spread.groupBy("bucket", "file", "term", "block").agg(  # where they lie already
+        F.max("tfidf").alias("most"), F.collect_list(F.struct("doc_id", "tfidf")).alias("docs")
+    )
+    ordered = postings.select("term", "block", "most", "docs", "bucket").sortWithinPartitions("bucket", "term", "block")
     ordered.write.partitionBy("bucket").parquet(f"{path}/postings")
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from murmuration.operators import search_index
 from murmuration.operators.search import document_search
 from murmuration.operators.search_index import SearchIndex, build_index
 from murmuration.session import scratch_path
@@ -52,3 +53,18 @@ def test_empty_corpus(spark):
     path = scratch_path(spark, "index")
     build_index(spark.createDataFrame([], "doc_id long, tokens array<string>"), path)
     assert SearchIndex(spark, path).search(["garlic"], 3).collect() == []
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    """Rows that share an id or have none; and the plan that writes the postings."""
+    rows = [(1, ["a", "b"]), (1, ["a", "c", "c"]), (2, ["a"]), (None, ["a", "b"]), (3, ["b", "d", "e", "f", "g"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    plans, plain = [], search_index.tfidf_smooth
+    monkeypatch.setattr(search_index, "tfidf_smooth", lambda docs, **given: plans.append(docs) or plain(docs, **given))
+    path = scratch_path(spark, "index")
+    build_index(docs, path, buckets=4)
+    weights = {(w.doc_id, w.term, round(w.tfidf, 9)) for w in plain(docs.where("doc_id IS NOT NULL"), stats=SearchIndex(spark, path).terms, n_docs=SearchIndex(spark, path).n_docs).collect()}
+    found = spark.read.parquet(f"{path}/postings").selectExpr("term", "block", "most", "explode(docs) AS d").collect()
+    assert {(r.d.doc_id, r.term, round(r.d.tfidf, 9)) for r in found} == weights and all(r.d.tfidf <= r.most for r in found)
+    assert len([r for r in found if r.d.doc_id == 1]) == 8 and len([r for r in found if r.d.doc_id == 3]) == 5  # ids that repeat: all their blocks
+    assert [c for c in plans[0].columns] == ["doc_id", "tokens"] and plans[0].schema["doc_id"].dataType.names == ["doc_id", "blocks"]
