@@ -14,7 +14,7 @@ from murmuration.llm import langid, minhash, packing, quality, suffix
 from murmuration.llm.common import small_batches
 from murmuration.llm.queries import TOKENIZER
 from murmuration.plans.registry import table
-from murmuration.session import cut_lineage
+from murmuration.session import cut_lineage, drop_scratch, scratch_made
 
 LEAST_LANGUAGE_SCORE = 0.2
 LEAST_QUALITY = 0.3
@@ -52,7 +52,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     behind = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     several = several.select("row", F.when(F.col("n") == 1, F.col("id")).otherwise(behind).alias("id"), "text")
     rows = known.join(repeated, "id", "left_anti").select("row", "id", "text").unionByName(cut_lineage(several, "repeated-rows"))
+    mark = scratch_made(spark)
     copies = cut_lineage(minhash.near_copies(rows.select("id", "text"), "id").where("NOT kept").select("id"), "copies")
+    drop_scratch(spark, mark, "copies")
     copies = F.broadcast(copies) if copies.count() <= COPIES_BROADCAST else copies
     return rows.join(copies, "id", "left_anti").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 

@@ -111,7 +111,7 @@ class Features:
             [(np.repeat(np.arange(n), np.diff(of_text)) << 32 | bucket)[bucket != self.none] for bucket, of_text in found]
         )
         keys, count = np.unique(keys, return_counts=True)
-        row, column = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int64)
+        row, column = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
         starts = np.searchsorted(row, np.arange(n + 1))
         return Rows(column, (count / np.maximum(self.totals(found), 1)[row]).astype(np.float32), starts)
 

@@ -158,7 +158,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     Every language is learned; of over 64 each gives fewer documents, more than 1,024 are an error. ``each`` and ``largest``
     (bytes of a text) bound what is fitted on; everything is predicted on. A language of larger texts alone gives its smallest.
     """
-    return fit(labelled_sample(docs.where(remainder(id_col, 4) != 2), id_col, lang, text, each, largest))
+    model = fit(labelled_sample(docs.where(remainder(id_col, 4) != 2), id_col, lang, text, each, largest))
+    tidy()  # the driver goes on to other work
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -77,7 +77,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     Labels other than 0 and 1 are not used. ``each`` and ``largest`` (bytes of a text) bound what is fitted on.
     """
     known = labels.where((remainder(id_col, 5) != 0) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias("_label"))
-    return fit(labelled_sample(docs.where(remainder(id_col, 5) != 0), id_col, "_label", text, each, largest, labels=2, known=known))
+    model = fit(labelled_sample(docs.where(remainder(id_col, 5) != 0), id_col, "_label", text, each, largest, labels=2, known=known))
+    tidy()  # the driver goes on to other work
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

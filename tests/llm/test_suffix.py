@@ -1,13 +1,16 @@
 """Repeated strings against a table of all strings."""
 
+import random
 from collections import Counter
 from hashlib import sha256
 
 import pytest
-from llm_helpers import documents, odd_texts
+from llm_helpers import documents, odd_texts, words
 from pyspark.sql import functions as F
 
+from murmuration import session
 from murmuration.llm import suffix
+from murmuration.session import scratch_made
 
 
 def brute(texts, length):
@@ -64,3 +67,14 @@ def test_removed_strings_are_gone(spark):
     docs = documents(spark, odd_texts(2))
     left = suffix.without_repeats(docs, length=50).where(F.octet_length("text") > 0)
     assert left.join(docs.withColumnRenamed("text", "old"), "doc_id").where(F.octet_length("text") > F.octet_length("old")).count() == 0
+
+
+def test_tables_on_the_way_go(spark):
+    rng = random.Random(77)
+    passage = " ".join(words(rng, 120))
+    docs = documents(spark, [" ".join(words(rng, 20)) + passage + " ".join(words(rng, n)) for n in (5, 9, 40)])
+    before = scratch_made(spark)
+    kept = suffix.without_repeats(docs)
+    left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in session._MADE[spark.sparkContext.applicationId][before:]]
+    assert sorted(left) == ["spans", "touched", "touched-rows"]  # nothing of the search for repeats stays on disk
+    assert all(passage not in r.text for r in kept.collect())
