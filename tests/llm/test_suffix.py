@@ -1,6 +1,7 @@
 """Repeated strings against a table of all strings."""
 
 import random
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -78,3 +79,36 @@ def test_tables_on_the_way_go(spark):
     left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in session._MADE[spark.sparkContext.applicationId][before:]]
     assert sorted(left) == ["spans", "touched", "touched-rows"]  # nothing of the search for repeats stays on disk
     assert all(passage not in r.text for r in kept.collect())
+
+
+def test_tables_and_shuffles_on_the_way_go_early(spark, monkeypatch):
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = [f"{i} {''.join(rng.choice('stuvwxyz ') for _ in range(300))}{shared[i:]} end {i}" for i in range(40)]
+    docs = session.cut_lineage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> int:
+        return sum("shuffle_" in f for f in files.getAllFiles().mkString("|").split("|"))
+
+    session.release_shuffles(spark)
+    time.sleep(1)
+    labels, before, real, held = [], shuffles(), session.cut_lineage, {}
+
+    def seen(df, label):
+        labels.append(label)
+        at = real(df, label)
+        kinds = {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in session._MADE[spark.sparkContext.applicationId]}
+        held.setdefault(label, kinds)
+        return at
+
+    monkeypatch.setattr(suffix, "cut_lineage", seen)
+    left = suffix.without_repeats(docs).select("text").collect()
+    assert sum(len(r.text) for r in left) < sum(map(len, texts)) - 40 * 600
+    assert "texts" not in labels and "blocks" not in held["marked"] and "shared-buckets" not in held["opened"]
+    session.release_shuffles(spark)
+    for _ in range(50):  # Spark deletes them beside the jobs
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
