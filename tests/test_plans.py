@@ -54,3 +54,16 @@ def test_day_files_are_pruned(spark, tmp_path):
     chosen = posts.select_files_by_day(spark.read.parquet(str(tmp_path / "t")), ["2024-01-03"])
     assert chosen.count() == 2
     assert len(chosen.select("_metadata.file_path").distinct().collect()) <= 2
+
+
+def test_lda_over_weights_makes_as_many_passes_as_over_counts(spark, tmp_path, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    words = ["garden", "flower", "engine", "wheels"]
+    rows = [(i, " ".join(words[(i + j) % 4] for j in range(1 + i % 2)), "en", "s", 0) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: made.append((self.getMaxIter(), self.getSubsamplingRate(), self.getK())) or real(self, df))
+    for name in ("lda_online", "lda_tfidf"):
+        assert all_queries.QUERIES[name](spark, str(tmp_path)).count() == 40 * 14
+    assert made == [(25, 0.2, 14)] * 2
