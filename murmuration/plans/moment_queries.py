@@ -365,9 +365,9 @@ def reconstruction_error(spark, sf_dir):
 # --- fitted models
 
 
-def fitted_model(spark, sf_dir: str, params=PARAMS, limits=FIT):
+def fitted_model(spark, sf_dir: str, params=PARAMS, limits=FIT, finite: bool = False):
     vectors, terms, words = prepared(spark, sf_dir, limits, scale=True)
-    return tensor_lda.fit(vectors, len(words), params), vectors, terms
+    return tensor_lda.fit(vectors, len(words), params, finite), vectors, terms
 
 
 @query("tlda_fit")
@@ -399,7 +399,7 @@ def tlda_fit_options(spark, sf_dir):
     params = tensor_lda.TopicParams(
         5, ALPHA0, 600, 200, 0.0005, theta=5.0, init="scaled", scale=0.877, schedule="cosine", seed=1
     )
-    model, _, _ = fitted_model(spark, sf_dir, params)
+    model, _, _ = fitted_model(spark, sf_dir, params, finite=True)
     losses = tensor_lda.tensor_losses(model.factors, model.cumulant(), params.theta)
     rows = [(len(model.counts), float(model.counts.sum()), *(losses[c] for c in ("total", "ortho", "rec", "rec_relative")))]
     return spark.createDataFrame(

@@ -391,3 +391,27 @@ def test_documents_are_worked_on_a_bounded_number_of_words_at_a_time(spark, monk
         words = slice(ends[p.start] - sizes[p.start], ends[p.stop - 1])
         parts.append(inference.infer_block(ids[words], cnts[words], sizes[p], phi.T, start[p], 0.1, 50))
     assert len(parts) > 3 and np.array_equal(np.vstack(parts), whole)
+
+
+def test_a_descent_that_a_few_batches_drive_out_of_the_finite_range_is_taken_in_shorter_steps(spark, corpus):
+    rng = np.random.default_rng(7)
+    params = tensor_lda.TopicParams(K, 0.003, 60, 100, 0.002, init="scaled")
+    tensors = np.array([tensor_lda.rebuild(rng.normal(size=(K, K))) for _ in range(20)])
+    start = tensor_lda.initial_factors(params)
+    assert np.array_equal(tensor_lda.descend_finite(start, tensors, params), tensor_lda.descend(start, tensors, params))
+    tensors[7] *= 1e4  # documents much alike, all in one batch
+    with pytest.raises(FloatingPointError):
+        tensor_lda.descend(start, tensors, params)
+    found = tensor_lda.descend_finite(start, tensors, params)
+    assert np.isfinite(found).all()
+    for tensor in tensors[:8]:  # a shortened step is halves of the plain one, and the first that does not raise the loss
+        for rate in (1e-4, 1.0):
+            step = found - tensor_lda.steady_step(found, tensor, rate, params)
+            gradient = tensor_lda.cumulant_gradient(found, tensor, params.alpha0)
+            halves = np.log2(rate * np.linalg.norm(gradient) / np.linalg.norm(step))
+            assert halves == pytest.approx(round(halves), abs=1e-6) and np.allclose(step, rate / 2 ** round(halves) * gradient)
+            low = tensor_lda.batch_loss(found, tensor, params.alpha0)
+            assert tensor_lda.batch_loss(found - step, tensor, params.alpha0) <= low + 1e-8 * abs(low)
+            assert round(halves) == 0 or tensor_lda.batch_loss(found - 2 * step, tensor, params.alpha0) > low
+    wild = tensor_lda.TopicParams(K, ALPHA0, 500, 15000, 5.0, init="scaled")  # what test_divergence_is_reported reports
+    assert np.isfinite(tensor_lda.fit(corpus[2], V, wild, finite=True).factors).all()
